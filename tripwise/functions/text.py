@@ -64,13 +64,20 @@ def drop_stop_words(words: Column | str, stop_words: Iterable[str] | None = None
 
 
 def word_ngrams(words: Column | str, n: int) -> Column:
-    """All runs of ``n`` neighbouring words, joined by a space."""
+    """All runs of ``n`` neighbouring words, joined by a space.
+
+    Each run of n - 1 words is paired with the word after it, which stays linear
+    in the length of the text; slicing every run out of the array would not.
+    """
     words = F.col(words) if isinstance(words, str) else words
-    if n == 1:
-        return words
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+    grams = words
+    for shift in range(1, n):
+        pairs = F.greatest(F.size(words) - shift, F.lit(0))
+        following = F.slice(words, shift + 1, pairs)
+        grams = F.zip_with(
+            F.slice(grams, 1, pairs), following, lambda left, right: F.concat_ws(" ", left, right)
+        )
+    return grams
 
 
 def with_terms(
@@ -86,3 +93,14 @@ def with_terms(
     staged = staged.withColumn("words", drop_stop_words(tokens("clean_text"), stop_words))
     grams = [word_ngrams("words", n) for n in range(low, high + 1)]
     return staged.withColumn(terms, F.concat(*grams) if len(grams) > 1 else grams[0])
+
+
+def exploded(df: DataFrame, values: Column | str, name: str, *keep: str) -> DataFrame:
+    """``keep`` columns and one row per array element.
+
+    A plain ``explode`` makes Spark infer a "not empty" filter and push it below
+    the projections that compute the array, which runs the text regexes again in
+    the filter. The outer form infers nothing; its null for an empty array goes here.
+    """
+    rows = df.select(*keep, F.explode_outer(values).alias(name))
+    return rows.filter(F.col(name).isNotNull())

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripwise.functions.text import exploded
+
 # The opinion words of the review generator and their polarity.
 POSITIVE_ADJECTIVES = [
     "amazing", "fantastic", "great", "excellent", "awesome",
@@ -20,6 +24,10 @@ REVIEW_LEXICON = {
 }
 
 
+def _among(members: list[str]) -> Callable[[Column], Column]:
+    return lambda word: word.isin(members)
+
+
 def polarity(words: Column | str, lexicon: dict[str, float]) -> Column:
     """Mean polarity of the words that the lexicon knows, 0 without any.
 
@@ -31,7 +39,7 @@ def polarity(words: Column | str, lexicon: dict[str, float]) -> Column:
         by_value.setdefault(float(value), []).append(word)
     known, total = F.lit(0), F.lit(0.0)
     for value, members in sorted(by_value.items()):
-        hits = F.size(F.filter(words, lambda w, m=members: w.isin(m)))
+        hits = F.size(F.filter(words, _among(members)))
         known = known + hits
         total = total + hits * F.lit(value)
     return F.coalesce(F.try_divide(total, known.cast("double")), F.lit(0.0))
@@ -54,7 +62,7 @@ def class_phrases(df: DataFrame, class_column: str, phrases: str, k: int = 5) ->
     task before the counts move to the class's task.
     """
     counted = (
-        df.select(class_column, F.explode(phrases).alias("phrase"))
+        exploded(df, phrases, "phrase", class_column)
         .groupBy(class_column, "phrase")
         .agg(F.count("*").alias("n"))
     )

@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+# Spark's own CSV formats stop at milliseconds.
+CSV_FORMATS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+}
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -23,7 +30,7 @@ def write_table(
     if force_csv or suffix.endswith((".csv", ".csv.gz")):
         if compression is None and suffix.endswith(".gz"):
             compression = "gzip"
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).options(**CSV_FORMATS)
         if compression:
             writer = writer.option("compression", compression)
         writer.csv(path)
