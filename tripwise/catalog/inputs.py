@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise.sources.reviews import reviews_for
-from tripwise.sources.tables import load_table
+from tripwise.sources.tables import load_table, spread_scan
 
 # One text for both engines; ``{events}`` is the events table. The case
 # distinctions put nulls, zeros and negative values among the trips.
@@ -31,8 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load_table(spark, f"{sf_dir}/{name}.parquet")
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TRIPS_SQL, events=table(spark, sf_dir, "events"))
+def trips(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    return spark.sql(TRIPS_SQL, events=spread_scan(events) if spread else events)
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +69,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A positive and a negative review per order."""
-    return reviews_for(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return reviews_for(spread_scan(orders), "o_orderkey")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))

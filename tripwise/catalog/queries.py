@@ -412,13 +412,13 @@ def high_margin_categories(spark, sf_dir):
 
 @query
 def rf_predictions(spark, sf_dir):
-    result = classify_tips(inputs.trips(spark, sf_dir), "trip_id")
+    result = classify_tips(inputs.trips(spark, sf_dir, spread=True), "trip_id")
     return rounded(result.predictions, 6, "score")
 
 
 @query
 def rf_evaluation(spark, sf_dir):
-    return classify_tips(inputs.trips(spark, sf_dir), "trip_id").metrics()
+    return classify_tips(inputs.trips(spark, sf_dir, spread=True), "trip_id").metrics()
 
 
 @query
