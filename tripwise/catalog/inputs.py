@@ -73,5 +73,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews_for(spread_scan(orders), "o_orderkey")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_scan(texts) if spread else texts

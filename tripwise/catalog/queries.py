@@ -287,9 +287,14 @@ def stopword_filtered(spark, sf_dir):
     return _listed(words.select("doc_id", drop_stop_words("words").alias("words")))
 
 
+def _clustered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = inputs.documents(spark, sf_dir, spread=False)
+    return with_terms(tfidf.by_document(texts, "doc_id")).select("doc_id", "terms")
+
+
 @query
 def ngram_counts(spark, sf_dir):
-    return tfidf.term_counts(with_terms(inputs.documents(spark, sf_dir)), "doc_id")
+    return tfidf.term_counts(_clustered_terms(spark, sf_dir), "doc_id")
 
 
 @query
@@ -301,7 +306,7 @@ def doc_freq_vocab(spark, sf_dir):
 @query
 def document_tfidf(spark, sf_dir):
     terms = with_terms(inputs.documents(spark, sf_dir)).select("doc_id", "terms")
-    weights = tfidf.fit_tfidf(terms).transform(terms, "doc_id")
+    weights = tfidf.fit_tfidf(terms).transform(_clustered_terms(spark, sf_dir), "doc_id")
     return rounded(weights, 6, "tfidf")
 
 
