@@ -107,15 +107,22 @@ def head_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def shuffled(df: DataFrame, key: str, seed: int = 42, position: str = "position") -> DataFrame:
+def shuffled(
+    df: DataFrame,
+    key: str,
+    seed: int = 42,
+    position: str = "position",
+    prefix_digits: int = PREFIX_DIGITS,
+) -> DataFrame:
     """Number all rows 0, 1, 2, ... in random order.
 
-    The position is the row count of all smaller hash prefixes (a table of at most
-    65,536 rows, hence the broadcast) plus the rank among the rows of the same prefix.
+    The position is the row count of all smaller hash prefixes plus the rank among
+    the rows of the same prefix. There are at most ``16 ** prefix_digits`` prefixes,
+    which bounds both the broadcast table of counts and the one window over it; five
+    digits suit tables of some 10^11 rows and more.
     """
-    hashed = df.withColumns(
-        {"_hash": shuffle_key(key, seed), "_lead": F.substring(shuffle_key(key, seed), 1, PREFIX_DIGITS)}
-    )
+    hashed = df.withColumn("_hash", shuffle_key(key, seed))
+    hashed = hashed.withColumn("_lead", F.substring("_hash", 1, prefix_digits))
     counts = hashed.groupBy("_lead").agg(F.count("*").alias("n"))
     preceding = Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_lead", F.coalesce(F.sum("n").over(preceding), F.lit(0)).alias("_offset"))
