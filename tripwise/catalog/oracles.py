@@ -239,7 +239,7 @@ def oracle_sql() -> dict[str, str]:
     trips_whole = f"WITH {TRIPS} SELECT * FROM trips"
     features_whole = f"WITH {FEATURES} SELECT * FROM features"
     words = "SELECT doc_id, CAST(len(words) AS INTEGER) AS n_words, array_to_string(words, ' ') AS words"
-    daily = "SELECT sale_date, CAST(sum(sales) AS DOUBLE) AS sales FROM sales"
+    daily = "SELECT CAST(sale_date AS VARCHAR) AS sale_date, CAST(sum(sales) AS DOUBLE) AS sales FROM sales"
     sampled = f"WITH {TRIPS} SELECT {{columns}} FROM trips ORDER BY {_hash('trip_id', '42')}, trip_id LIMIT "
     filled = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'missing') AS {c}" for c in CATEGORICAL)
     return {

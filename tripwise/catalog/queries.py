@@ -386,15 +386,20 @@ def confusion_matrix(spark, sf_dir):
 # Sales
 
 
+def _dated(daily: DataFrame) -> DataFrame:
+    """Days as ISO text, which every client reads the same way."""
+    return daily.withColumn("sale_date", F.col("sale_date").cast("string"))
+
+
 @query
 def daily_sales(spark, sf_dir):
-    return sales.daily_sales(inputs.sales(spark, sf_dir))
+    return _dated(sales.daily_sales(inputs.sales(spark, sf_dir)))
 
 
 @query
 def daily_sales_filtered(spark, sf_dir):
     chosen = sales.filter_sales(inputs.sales(spark, sf_dir), SHOWN_REGIONS, SHOWN_CATEGORIES)
-    return sales.daily_sales(chosen)
+    return _dated(sales.daily_sales(chosen))
 
 
 @query
