@@ -287,16 +287,16 @@ SELECT doc_id, quality, toxic, split FROM split""",
         "one_hot": _one_hot(),
         "synthetic_reviews": f"WITH {REVIEWS} SELECT * FROM reviews",
         "sentiment_label_counts": f"WITH {REVIEWS} SELECT sentiment, count(*) AS n FROM reviews GROUP BY 1",
-        "clean_documents": f"WITH {CLEANED} SELECT * FROM cleaned",
-        "document_tokens": f"""WITH {CLEANED},
+        "clean_text": f"WITH {CLEANED} SELECT * FROM cleaned",
+        "tokens": f"""WITH {CLEANED},
 worded AS (SELECT doc_id, {_words("clean_text", stop=False)} AS words FROM cleaned)
 {words} FROM worded""",
         "stopword_filtered": f"""WITH {CLEANED},
 worded AS (SELECT doc_id, {_words("clean_text", stop=True)} AS words FROM cleaned)
 {words} FROM worded""",
-        "ngram_counts": f"WITH {TERMS} SELECT * FROM tf",
+        "ngrams": f"WITH {TERMS} SELECT * FROM tf",
         "doc_freq_vocab": f"WITH {VOCABULARY} SELECT term, df, round(idf, 6) AS idf FROM vocabulary",
-        "document_tfidf": f"""WITH {VOCABULARY},
+        "tfidf": f"""WITH {VOCABULARY},
 weighted AS (SELECT doc_id, term, tf, tf * idf AS w FROM tf JOIN vocabulary USING (term))
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf
 FROM weighted""",

@@ -30,9 +30,12 @@ SHOWN_REGIONS = ["ASIA", "EUROPE"]
 SHOWN_CATEGORIES = ["ECONOMY", "PROMO"]
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -47,71 +50,71 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Trip profile
 
 
-@query
+@query("hourly_profile")
 def hourly_profile(spark, sf_dir):
     hourly = profile_trips(inputs.trips(spark, sf_dir)).hourly
     return rounded(rounded(hourly, 6, "avg_fare"), 4, "total_fare")
 
 
-@query
+@query("busiest_hour")
 def busiest_hour(spark, sf_dir):
     best = profile_trips(inputs.trips(spark, sf_dir)).busiest_hour
     return rounded(rounded(best, 6, "avg_fare"), 4, "total_fare")
 
 
-@query
+@query("highest_avg_fare_hour")
 def highest_avg_fare_hour(spark, sf_dir):
     best = profile_trips(inputs.trips(spark, sf_dir)).highest_avg_fare_hour
     return rounded(rounded(best, 6, "avg_fare"), 4, "total_fare")
 
 
-@query
+@query("revenue_totals")
 def revenue_totals(spark, sf_dir):
     summary = profile_trips(inputs.trips(spark, sf_dir)).summary
     totals = ["total_fare_amount", "total_tip_amount", "total_amount"]
     return rounded(summary.select("total_rides", *totals), 4, *totals)
 
 
-@query
+@query("fare_averages")
 def fare_averages(spark, sf_dir):
     summary = profile_trips(inputs.trips(spark, sf_dir)).summary
     means = ["average_fare", "average_tip", "average_total"]
     return rounded(summary.select(*means), 6, *means)
 
 
-@query
+@query("weekday_weekend")
 def weekday_weekend(spark, sf_dir):
     return rounded(profile_trips(inputs.trips(spark, sf_dir)).weekend, 6, "avg_fare")
 
 
-@query
+@query("weekday_weekend_fri_sat")
 def weekday_weekend_fri_sat(spark, sf_dir):
     profile = profile_trips(inputs.trips(spark, sf_dir), weekend_days="fri_sat")
     return rounded(profile.weekend, 6, "avg_fare")
 
 
-@query
+@query("trips_preview")
 def trips_preview(spark, sf_dir):
     columns = ["trip_id", "tpep_pickup_datetime", "fare_amount", "tip_amount", "total_amount"]
     return profiles.preview(inputs.trips(spark, sf_dir), "trip_id", 5, columns)
 
 
-@query
+@query("trips_projected")
 def trips_projected(spark, sf_dir):
     return inputs.trips(spark, sf_dir).select(*TRIP_COLUMNS)
 
 
-@query
+@query("valid_trips")
 def valid_trips(spark, sf_dir):
     return _valid(spark, sf_dir)
 
 
-@query
+@query("high_tip_counts")
 def high_tip_counts(spark, sf_dir):
     return profiles.value_counts(features.trip_features(inputs.trips(spark, sf_dir)), "high_tip")
 
 
-@query
+@query("tip_rate_histogram")
 def tip_rate_histogram(spark, sf_dir):
     rated = features.trip_features(inputs.trips(spark, sf_dir))
     return profiles.histogram(rated, F.coalesce("tip_rate", F.lit(0.0)), bins=30)
@@ -125,31 +128,31 @@ def _reload(df: DataFrame, name: str, schema: StructType | None = None, **option
     return load_table(df.sparkSession, path, schema)
 
 
-@query
+@query("parquet_roundtrip")
 def parquet_roundtrip(spark, sf_dir):
     hourly = hourly_profile(spark, sf_dir)
     return _reload(hourly, "hourly.parquet", single_file=True)
 
 
-@query
+@query("csv_roundtrip")
 def csv_roundtrip(spark, sf_dir):
     hourly = hourly_profile(spark, sf_dir)
     return _reload(hourly, "hourly.csv", hourly.schema, single_file=True)
 
 
-@query
+@query("csv_gzip_roundtrip")
 def csv_gzip_roundtrip(spark, sf_dir):
     trips = inputs.trips(spark, sf_dir)
     return _reload(trips, "trips.csv.gz", trips.schema)
 
 
-@query
+@query("processed_export")
 def processed_export(spark, sf_dir):
     processed = features.trip_features(inputs.trips(spark, sf_dir))
     return _reload(processed, "processed.csv", processed.schema)
 
 
-@query
+@query("timestamp_coercion")
 def timestamp_coercion(spark, sf_dir):
     trips = inputs.trips(spark, sf_dir)
     text = F.when(F.col("trip_id") % 19 == 0, F.concat(F.lit("bad "), F.col("trip_id").cast("string")))
@@ -163,28 +166,28 @@ def timestamp_coercion(spark, sf_dir):
 # Samples, shuffles, splits
 
 
-@query
+@query("sample_exact")
 def sample_exact(spark, sf_dir):
     return sampling.sample_exact(inputs.trips(spark, sf_dir), "trip_id", SAMPLE_ROWS)
 
 
-@query
+@query("sample_exact_by_cut")
 def sample_exact_by_cut(spark, sf_dir):
     sampled = sampling.sample_exact(inputs.trips(spark, sf_dir), "trip_id", 10 * SAMPLE_ROWS, top_k_rows=0)
     return sampled.select("trip_id", "fare_amount")
 
 
-@query
+@query("head_sample")
 def head_sample(spark, sf_dir):
     return sampling.head_sample(inputs.trips(spark, sf_dir), "trip_id", SAMPLE_ROWS)
 
 
-@query
+@query("shuffled_reviews")
 def shuffled_reviews(spark, sf_dir):
     return sampling.shuffled(inputs.reviews(spark, sf_dir), "review_id")
 
 
-@query
+@query("stratified_split")
 def stratified_split(spark, sf_dir):
     labels = inputs.table(spark, sf_dir, "labels")
     return sampling.stratified_split(labels, "doc_id", "toxic", 0.25)
@@ -193,12 +196,12 @@ def stratified_split(spark, sf_dir):
 # Feature preparation
 
 
-@query
+@query("trip_features")
 def trip_features(spark, sf_dir):
     return features.trip_features(inputs.trips(spark, sf_dir))
 
 
-@query
+@query("model_input")
 def model_input(spark, sf_dir):
     return features.model_input(features.trip_features(inputs.trips(spark, sf_dir)), "trip_id")
 
@@ -208,7 +211,7 @@ def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("trip_id", *features.NUMERIC_FEATURES)
 
 
-@query
+@query("median_impute")
 def median_impute(spark, sf_dir):
     numbers = _numeric(spark, sf_dir)
     names = features.NUMERIC_FEATURES
@@ -216,7 +219,7 @@ def median_impute(spark, sf_dir):
     return model.transform(numbers)
 
 
-@query
+@query("standard_scale")
 def standard_scale(spark, sf_dir):
     numbers = features.model_input(features.trip_features(inputs.trips(spark, sf_dir)), "trip_id")
     names = features.NUMERIC_FEATURES
@@ -224,14 +227,14 @@ def standard_scale(spark, sf_dir):
     return rounded(model.transform(numbers).select("trip_id", *names), 6, *names)
 
 
-@query
+@query("constant_impute")
 def constant_impute(spark, sf_dir):
     names = features.CATEGORICAL_FEATURES
     trips = inputs.trips(spark, sf_dir).select("trip_id", *names)
     return features.constant_impute(trips, names)
 
 
-@query
+@query("one_hot")
 def one_hot(spark, sf_dir):
     """The slot of the 1 in each category's vector, 0 for all zeros; fitted on the training rows."""
     names = features.CATEGORICAL_FEATURES
@@ -250,17 +253,17 @@ def one_hot(spark, sf_dir):
 # Text
 
 
-@query
+@query("synthetic_reviews")
 def synthetic_reviews(spark, sf_dir):
     return inputs.reviews(spark, sf_dir)
 
 
-@query
+@query("sentiment_label_counts")
 def sentiment_label_counts(spark, sf_dir):
     return profiles.value_counts(inputs.reviews(spark, sf_dir), "sentiment")
 
 
-@query
+@query("clean_text")
 def clean_documents(spark, sf_dir):
     return inputs.documents(spark, sf_dir).select("doc_id", clean_text("text").alias("clean_text"))
 
@@ -276,12 +279,12 @@ def _listed(words: DataFrame) -> DataFrame:
     )
 
 
-@query
+@query("tokens")
 def document_tokens(spark, sf_dir):
     return _listed(_words(spark, sf_dir))
 
 
-@query
+@query("stopword_filtered")
 def stopword_filtered(spark, sf_dir):
     words = _words(spark, sf_dir)
     return _listed(words.select("doc_id", drop_stop_words("words").alias("words")))
@@ -292,18 +295,18 @@ def _clustered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_terms(tfidf.by_document(texts, "doc_id")).select("doc_id", "terms")
 
 
-@query
+@query("ngrams")
 def ngram_counts(spark, sf_dir):
     return tfidf.term_counts(_clustered_terms(spark, sf_dir), "doc_id")
 
 
-@query
+@query("doc_freq_vocab")
 def doc_freq_vocab(spark, sf_dir):
     terms = with_terms(inputs.documents(spark, sf_dir))
     return rounded(tfidf.vocabulary(terms), 6, "idf")
 
 
-@query
+@query("tfidf")
 def document_tfidf(spark, sf_dir):
     terms = with_terms(inputs.documents(spark, sf_dir)).select("doc_id", "terms")
     weights = tfidf.fit_tfidf(terms).transform(_clustered_terms(spark, sf_dir), "doc_id")
@@ -313,7 +316,7 @@ def document_tfidf(spark, sf_dir):
 # Sentiment
 
 
-@query
+@query("lexicon_polarity")
 def lexicon_polarity(spark, sf_dir):
     words = _words(spark, sf_dir)
     scored = sentiment.with_sentiment(words, "words", DOCUMENT_LEXICON)
@@ -326,12 +329,12 @@ def _scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentiment.with_sentiment(words, "words", sentiment.REVIEW_LEXICON)
 
 
-@query
+@query("sentiment_classes")
 def sentiment_classes(spark, sf_dir):
     return profiles.value_counts(_scored_reviews(spark, sf_dir), "sentiment_class")
 
 
-@query
+@query("sentiment_phrases")
 def sentiment_phrases(spark, sf_dir):
     reviews = with_terms(inputs.reviews(spark, sf_dir), ngram_range=(2, 2), terms="phrases")
     scored = sentiment.with_sentiment(reviews, "words", sentiment.REVIEW_LEXICON)
@@ -359,26 +362,26 @@ def _ruled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
+@query("binary_metrics")
 def binary_metrics(spark, sf_dir):
     result = metrics.binary_metrics(_ruled_trips(spark, sf_dir))
     return rounded(result, 6, "accuracy", "precision", "recall", "f1")
 
 
-@query
+@query("roc_auc")
 def roc_auc(spark, sf_dir):
     ruled = _ruled_trips(spark, sf_dir)
     area = metrics.roc_auc(ruled)
     return ruled.agg(F.count("*").alias("n"), F.round(F.lit(area), 6).alias("roc_auc"))
 
 
-@query
+@query("classification_report")
 def classification_report(spark, sf_dir):
     result = metrics.classification_report(_ruled_reviews(spark, sf_dir))
     return rounded(result, 6, "precision", "recall", "f1")
 
 
-@query
+@query("confusion_matrix")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion_matrix(_ruled_reviews(spark, sf_dir), ["positive", "negative"])
 
@@ -391,28 +394,28 @@ def _dated(daily: DataFrame) -> DataFrame:
     return daily.withColumn("sale_date", F.col("sale_date").cast("string"))
 
 
-@query
+@query("daily_sales")
 def daily_sales(spark, sf_dir):
     return _dated(sales.daily_sales(inputs.sales(spark, sf_dir)))
 
 
-@query
+@query("daily_sales_filtered")
 def daily_sales_filtered(spark, sf_dir):
     chosen = sales.filter_sales(inputs.sales(spark, sf_dir), SHOWN_REGIONS, SHOWN_CATEGORIES)
     return _dated(sales.daily_sales(chosen))
 
 
-@query
+@query("profit_share")
 def profit_share(spark, sf_dir):
     return rounded(sales.profit_share(inputs.sales(spark, sf_dir)), 6, "share")
 
 
-@query
+@query("underperforming_regions")
 def underperforming_regions(spark, sf_dir):
     return sales.underperforming_regions(inputs.sales(spark, sf_dir))
 
 
-@query
+@query("high_margin_categories")
 def high_margin_categories(spark, sf_dir):
     return rounded(sales.high_margin_categories(inputs.sales(spark, sf_dir)), 6, "margin")
 
@@ -420,29 +423,29 @@ def high_margin_categories(spark, sf_dir):
 # Fitted models: no SQL counterpart
 
 
-@query
+@query("rf_predictions")
 def rf_predictions(spark, sf_dir):
     result = classify_tips(inputs.trips(spark, sf_dir, spread=True), "trip_id")
     return rounded(result.predictions, 6, "score")
 
 
-@query
+@query("rf_evaluation")
 def rf_evaluation(spark, sf_dir):
     return classify_tips(inputs.trips(spark, sf_dir, spread=True), "trip_id").metrics()
 
 
-@query
+@query("lr_predictions")
 def lr_predictions(spark, sf_dir):
     result = classify_reviews(inputs.reviews(spark, sf_dir), "review_id")
     return rounded(result.predictions, 6, "score")
 
 
-@query
+@query("lr_evaluation")
 def lr_evaluation(spark, sf_dir):
     return classify_reviews(inputs.reviews(spark, sf_dir), "review_id").report()
 
 
-@query
+@query("top_tokens")
 def top_tokens(spark, sf_dir):
     result = classify_reviews(inputs.reviews(spark, sf_dir), "review_id")
     return rounded(result.top_tokens(12), 6, "coefficient")

@@ -129,7 +129,7 @@ def histogram(df: DataFrame, value: Column | str, bins: int = 30) -> DataFrame:
         ).alias("bin"),
         F.lit(1).cast("bigint").alias("one"),
     )
-    empty = df.sparkSession.range(bins).select(
+    empty = df.sparkSession.range(0, bins, 1, numPartitions=1).select(
         F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("one")
     )
     return (

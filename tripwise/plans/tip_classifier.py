@@ -19,12 +19,15 @@ from tripwise.operators.features import (
 from tripwise.operators.metrics import binary_metrics, classification_report, roc_auc
 from tripwise.operators.models import score, train_forest
 from tripwise.operators.sampling import sample_exact, stratified_split
+from tripwise.sources.shared import written
 
 TEST_FRACTION = 0.25
 
 
 @dataclass
 class TipClassifier:
+    """``predictions`` is a written table: each metric reads it instead of scoring again."""
+
     model: PipelineModel
     train: DataFrame
     test: DataFrame
@@ -63,4 +66,5 @@ def classify_tips(
     model = train_forest(
         train, numeric, CATEGORICAL_FEATURES, TARGET, num_trees, max_depth, seed
     )
-    return TipClassifier(model, train, test, score(model, test, [key, TARGET]))
+    scored = written(score(model, test, [key, TARGET]), "tip_predictions")
+    return TipClassifier(model, train, test, scored)
