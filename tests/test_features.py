@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.plans import plan_of
 from tripwise.operators import features
+from tripwise.operators.ranks import values_at_ranks
 from tripwise.sources.shared import fresh_path
 from tripwise.sources.tables import TRIP_SCHEMA
 
@@ -89,6 +90,15 @@ def test_median_equals_a_full_sort(spark, values, bins):
     assert found == pytest.approx(statistics.median(values), rel=1e-15, abs=1e-300)
 
 
+def test_ranks_of_infinite_and_tiny_values(spark):
+    values = [float("-inf"), -1.0, 0.0, 5e-324, 1e-323, 1.0, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = values_at_ranks(df, {"x": lambda n: range(n)}, bins=2)
+    assert found == {"x": dict(enumerate(values))}
+    with pytest.raises(ValueError):
+        values_at_ranks(df, {"x": lambda n: [n]})
+
+
 def test_median_with_a_third_of_all_rows_on_one_value(spark):
     df = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, 7.25).otherwise(F.col("id") / 100.0).alias("x")

@@ -25,7 +25,7 @@ def rows(spark):
 
 @pytest.mark.parametrize("n", [0, 1, 137, 1000, 5000])
 def test_both_ways_of_sampling_agree(rows, n):
-    by_top_k = sampling.sample_exact(rows, "id", n)
+    by_top_k = sampling.sample_exact(rows, "id", n, top_k_rows=5000)
     by_cut = sampling.sample_exact(rows, "id", n, top_k_rows=-1)
     expected = sorted(order(range(1000))[:n])
     assert sorted(r["id"] for r in by_top_k.collect()) == expected
@@ -90,5 +90,14 @@ def test_split_itself_is_a_filter_without_shuffle(rows):
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
-def test_head_is_in_key_order(rows):
-    assert [r["id"] for r in sampling.head_sample(rows.repartition(9), "id", 4).collect()] == [0, 1, 2, 3]
+@pytest.mark.parametrize("n", [0, 4, 137, 5000])
+def test_both_ways_of_taking_the_head_agree(rows, n):
+    large = rows.repartition(9).withColumn("id", F.col("id") + 2**62)
+    for top_k_rows in (0, 5000):
+        head = sampling.head_sample(large, "id", n, top_k_rows)
+        assert [r["id"] - 2**62 for r in head.orderBy("id").collect()] == list(range(min(n, 1000)))
+
+
+def test_head_by_text_key(spark):
+    names = spark.createDataFrame([("b",), ("c",), ("a",)], "name string")
+    assert [r["name"] for r in sampling.head_sample(names, "name", 2, top_k_rows=0).collect()] == ["a", "b"]

@@ -173,7 +173,7 @@ def sample_exact(spark, sf_dir):
 
 @query("sample_exact_by_cut")
 def sample_exact_by_cut(spark, sf_dir):
-    sampled = sampling.sample_exact(inputs.trips(spark, sf_dir), "trip_id", 10 * SAMPLE_ROWS, top_k_rows=0)
+    sampled = sampling.sample_exact(inputs.trips(spark, sf_dir), "trip_id", 10 * SAMPLE_ROWS)
     return sampled.select("trip_id", "fare_amount")
 
 

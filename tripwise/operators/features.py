@@ -12,11 +12,12 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwise.functions.timeparts import monday_based_day, pickup_hour
 from tripwise.operators.profiles import PICKUP, above
+from tripwise.operators.ranks import BINS, values_at_ranks
 from tripwise.sources.tables import blank_nan
 
 NUMERIC_FEATURES = [
@@ -35,9 +36,6 @@ MISSING = "missing"
 # The fare is the divisor of the label and the total contains the tip.
 LEAKY_FEATURES = ["fare_amount", "total_amount"]
 
-MEDIAN_BINS = 4096
-
-
 def with_pickup_parts(df: DataFrame, ts: str = PICKUP) -> DataFrame:
     """Add pickup hour and day of week (0 = Monday)."""
     return df.withColumns({"pickup_hour": pickup_hour(ts), "pickup_dayofweek": monday_based_day(ts)})
@@ -80,93 +78,14 @@ def feature_names(exclude_leaky: bool = False) -> list[str]:
     return [n for n in names if n not in LEAKY_FEATURES] if exclude_leaky else names
 
 
-def exact_medians(df: DataFrame, columns: list[str], bins: int = MEDIAN_BINS) -> dict[str, float]:
+def exact_medians(df: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, float]:
     """Exact medians (mean of the two middle values for an even count), null and NaN left out.
 
-    Spark's ``median`` keeps every distinct value of a column in one task. This
-    narrows a bracket instead: each pass counts the values inside the bracket in
-    ``bins`` equal steps, keeps the step with the wanted rank and continues
-    between the smallest and largest value in it, until both are equal. A pass
-    shuffles at most ``bins`` rows per column, so two or three scans replace a
-    full sort. A column without values has no entry in the result.
+    Spark's ``median`` keeps every distinct value of a column in one task; the
+    rank search does not. A column without values has no entry in the result.
     """
-    values = {c: F.col(c).cast("double") for c in columns}
-    values = {c: F.when(~F.isnan(v), v) for c, v in values.items()}
-    row = df.agg(
-        *[
-            part
-            for i, c in enumerate(columns)
-            for part in (
-                F.count(values[c]).alias(f"n{i}"),
-                F.min(values[c]).alias(f"lo{i}"),
-                F.max(values[c]).alias(f"hi{i}"),
-            )
-        ]
-    ).first()
-    # (column, rank) -> smallest and largest candidate, rows below the bracket
-    brackets: dict[tuple[str, int], tuple[float, float, int]] = {}
-    middles: dict[str, tuple[int, int]] = {}
-    for i, c in enumerate(columns):
-        n = row[f"n{i}"]
-        if n:
-            middles[c] = ((n - 1) // 2, n // 2)
-            for rank in set(middles[c]):
-                brackets[c, rank] = (row[f"lo{i}"], row[f"hi{i}"], 0)
-
-    while True:
-        open_slots = [slot for slot, (lo, hi, _) in brackets.items() if lo < hi]
-        if not open_slots:
-            break
-        for slot, found in _narrow(df, values, open_slots, brackets, bins).items():
-            brackets[slot] = found
-    return {c: brackets[c, a][0] / 2 + brackets[c, b][0] / 2 for c, (a, b) in middles.items()}
-
-
-def _narrow(
-    df: DataFrame,
-    values: dict[str, Column],
-    slots: list[tuple[str, int]],
-    brackets: dict[tuple[str, int], tuple[float, float, int]],
-    bins: int,
-) -> dict[tuple[str, int], tuple[float, float, int]]:
-    spans = sorted({(c, *brackets[c, rank]) for c, rank in slots})
-    pieces, wanted = [], F.lit(False)
-    for i, (c, lo, hi, below) in enumerate(spans):
-        x = values[c]
-        # Halving keeps the width finite for values at both ends of the double range.
-        step = F.floor((x / 2 - lo / 2) / F.lit(hi / 2 - lo / 2) * F.lit(float(bins)))
-        pieces.append(
-            F.struct(
-                F.lit(i).alias("span"),
-                F.when(x.between(lo, hi), F.least(step, F.lit(bins - 1))).alias("step"),
-                x.alias("x"),
-            )
-        )
-        for rank in {r for c2, r in slots if c2 == c and brackets[c2, r] == (lo, hi, below)}:
-            wanted = wanted | (
-                (F.col("span") == i)
-                & (F.col("before") <= rank - below)
-                & (F.lit(rank - below) < F.col("before") + F.col("n"))
-            )
-    counted = (
-        df.select(F.explode(F.array(*pieces)).alias("p"))
-        .select("p.*")
-        .filter(F.col("step").isNotNull())
-        .groupBy("span", "step")
-        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    )
-    in_order = Window.partitionBy("span").orderBy("step")
-    before = F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    found = counted.withColumn("before", F.coalesce(before, F.lit(0))).filter(wanted).collect()
-    result = {}
-    for c, rank in slots:
-        for hit in found:
-            span = spans[hit["span"]]
-            if span == (c, *brackets[c, rank]):
-                offset = rank - span[3]
-                if hit["before"] <= offset < hit["before"] + hit["n"]:
-                    result[c, rank] = (hit["lo"], hit["hi"], span[3] + hit["before"])
-    return result
+    middles = values_at_ranks(df, {c: lambda n: {(n - 1) // 2, n // 2} for c in columns}, bins)
+    return {c: min(found.values()) / 2 + max(found.values()) / 2 for c, found in middles.items()}
 
 
 class _PerColumn(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):

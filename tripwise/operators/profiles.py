@@ -112,22 +112,23 @@ def histogram(df: DataFrame, value: Column | str, bins: int = 30) -> DataFrame:
     span = data.agg(
         F.struct((F.min("x") - widen).alias("lo"), (F.max("x") + widen).alias("hi")).alias("span")
     ).scalar()
-    lo, hi = span.getField("lo"), span.getField("hi")
+    bounds = [span.getField("lo").alias("lo"), span.getField("hi").alias("hi")]
+    lo, hi = F.col("lo"), F.col("hi")
 
     def edge(i: Column) -> Column:
         return F.when(i == bins, hi).otherwise(lo + i * ((hi - lo) / F.lit(float(bins))))
 
     last = F.lit(bins - 1).cast("bigint")
     guess = F.least(F.floor((F.col("x") - lo) / (hi - lo) * F.lit(float(bins))), last)
-    placed = data.withColumn("guess", guess).select(
-        (
-            F.col("guess")
-            - F.when(F.col("x") < edge(F.col("guess")), 1).otherwise(0)
-            + F.when(
-                (F.col("guess") < last) & (F.col("x") >= edge(F.col("guess") + 1)), 1
-            ).otherwise(0)
-        ).alias("bin"),
-        F.lit(1).cast("bigint").alias("one"),
+    too_high = F.col("x") < edge(F.col("guess"))
+    too_low = (F.col("guess") < last) & (F.col("x") >= edge(F.col("guess") + 1))
+    placed = (
+        data.select("x", *bounds)
+        .withColumn("guess", guess)
+        .select(
+            (F.col("guess") - too_high.cast("int") + too_low.cast("int")).alias("bin"),
+            F.lit(1).cast("bigint").alias("one"),
+        )
     )
     empty = df.sparkSession.range(0, bins, 1, numPartitions=1).select(
         F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("one")
@@ -136,6 +137,7 @@ def histogram(df: DataFrame, value: Column | str, bins: int = 30) -> DataFrame:
         placed.unionByName(empty)
         .groupBy("bin")
         .agg(F.sum("one").alias("n"))
+        .select("bin", "n", *bounds)
         .select(
             "bin",
             edge(F.col("bin")).alias("lower"),

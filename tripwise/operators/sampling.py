@@ -13,14 +13,16 @@ from collections.abc import Callable
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tripwise.functions.keys import shuffle_key
+from tripwise.operators.ranks import values_at_ranks
 from tripwise.sources.shared import broadcast_rows, settled, small_table
 
 PREFIX_DIGITS = 4
 HASH_DIGITS = 32
 RANKED_ROWS = 1_000_000
-TOP_K_ROWS = 50_000
+TOP_K_ROWS = 100
 
 
 def _cuts(
@@ -88,9 +90,9 @@ def sample_exact(
 ) -> DataFrame:
     """``min(n, rows)`` random rows without replacement.
 
-    Small samples are a top-k by hash. Beyond ``top_k_rows``, where the top-k heap
-    and its merge would grow with ``n``, the cut hash is found first and the rows
-    are then a plain filter; both ways give the same rows.
+    A handful of rows is a top-k by hash. Top-k sends ``n`` whole rows per input
+    split to one task, so beyond ``top_k_rows`` the hash of the n-th row is found
+    first and the sample is a plain filter; both ways give the same rows.
     """
     if n <= top_k_rows:
         return df.orderBy(shuffle_key(key, seed), key).limit(n)
@@ -102,8 +104,16 @@ def sample_exact(
     return df.filter(F.struct(shuffle_key(key, seed), F.col(key)) <= cut)
 
 
-def head_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in key order."""
+def head_sample(df: DataFrame, key: str, n: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
+    """The first ``n`` rows in key order.
+
+    Beyond ``top_k_rows`` the n-th key of a numeric ``key`` is found first, and only
+    the rows up to it take part in the top-k.
+    """
+    if n > top_k_rows and isinstance(df.schema[key].dataType, NumericType):
+        found = values_at_ranks(df.select(key), {key: lambda rows: [min(n, rows) - 1]})
+        for last in found.get(key, {}).values():
+            df = df.filter(F.col(key).cast("double") <= F.lit(last))
     return df.orderBy(key).limit(n)
 
 
