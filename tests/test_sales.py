@@ -6,6 +6,7 @@ import pytest
 from tests.plans import plan_of, unpartitioned_windows
 from tripwise.catalog import inputs
 from tripwise.operators import sales
+from tripwise.plans.sales_dashboard import build_dashboard
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +46,14 @@ def test_margins(rows):
     assert [(r["category"], round(r["margin"], 6)) for r in best] == [("toys", round(6 / 30.3, 6))]
 
 
+def test_dashboard_of_one_region(rows):
+    dashboard = build_dashboard(rows, regions=["south"], best=1)
+    assert [r["sales"] for r in dashboard.daily.collect()] == [20.2, 69.7]
+    assert sum(r["share"] for r in dashboard.profit_share.collect()) == pytest.approx(1.0)
+    assert dashboard.underperforming_regions.count() == 0
+    assert [r["category"] for r in dashboard.high_margin_categories.collect()] == ["toys"]
+
+
 def test_sales_plan_has_no_cross_join_and_prunes_columns(spark):
     daily = sales.daily_sales(inputs.sales(spark, "/root/testdata/sf0.001"))
     plan = plan_of(daily, "formatted")

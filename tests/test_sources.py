@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.plans import plan_of
+from tripwise.plans.tip_report import report_tips
 from tripwise.plans.trip_profile import profile_trips, run_profile
 from tripwise.sources.shared import fresh_path, settled, shared_folder, written
 from tripwise.sources.sinks import write_table
@@ -120,3 +121,12 @@ def test_run_profile_saves_the_hourly_table(spark, trips):
     result = run_profile(spark, source, target)
     saved = load_table(spark, target, result.hourly.schema)
     assert saved.collect() == result.hourly.collect()
+
+
+def test_tip_report_of_a_sample_is_exported(spark, trips):
+    keyed = trips.withColumn("trip_id", F.monotonically_increasing_id())
+    target = fresh_path(spark, "processed.csv")
+    report = report_tips(keyed, "trip_id", sample_size=2, bins=3, export_path=target)
+    saved = load_table(spark, target, report.processed.schema)
+    assert sorted(map(repr, saved.collect())) == sorted(map(repr, report.processed.collect()))
+    assert sum(r["n"] for r in report.tip_rates.collect()) == report.processed.count()

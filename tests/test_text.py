@@ -17,6 +17,7 @@ from tripwise.functions.text import (
     word_ngrams,
 )
 from tripwise.operators import sentiment, tfidf
+from tripwise.plans.review_sentiment import review_sentiment
 from tripwise.sources.reviews import synthetic_reviews
 
 TEXTS = [
@@ -169,3 +170,12 @@ def test_phrases_per_class_are_pruned_before_the_shuffle(spark):
         ("n", "late", 2),
     }
     assert "WindowGroupLimit" in plan_of(top)
+
+
+def test_lexicon_may_hold_stop_words(spark):
+    reviews = frame(spark, ["not what we ordered", "broken items again, broken items"])
+    result = review_sentiment(reviews, lexicon={"not": -1.0, "broken": -0.5}, phrases_per_class=1)
+    assert [r["polarity"] for r in result.scored.orderBy("doc_id").collect()] == [-1.0, -0.5]
+    assert [tuple(r) for r in result.classes.collect()] == [("Negative", 2)]
+    assert [(r["phrase"], r["n"]) for r in result.phrases.collect()] == [("broken items", 2)]
+    assert result.scored.columns == ["doc_id", "text", "polarity", "sentiment_class"]

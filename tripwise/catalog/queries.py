@@ -15,7 +15,9 @@ from tripwise.functions.keys import draw
 from tripwise.functions.text import clean_text, drop_stop_words, tokens, with_terms
 from tripwise.operators import features, metrics, profiles, sales, sampling, sentiment, tfidf
 from tripwise.plans.review_classifier import classify_reviews
+from tripwise.plans.review_sentiment import review_sentiment
 from tripwise.plans.tip_classifier import classify_tips
+from tripwise.plans.tip_report import report_tips
 from tripwise.plans.trip_profile import profile_trips
 from tripwise.sources.shared import fresh_path
 from tripwise.sources.sinks import write_table
@@ -111,13 +113,12 @@ def valid_trips(spark, sf_dir):
 
 @query("high_tip_counts")
 def high_tip_counts(spark, sf_dir):
-    return profiles.value_counts(features.trip_features(inputs.trips(spark, sf_dir)), "high_tip")
+    return report_tips(inputs.trips(spark, sf_dir), "trip_id").high_tips
 
 
 @query("tip_rate_histogram")
 def tip_rate_histogram(spark, sf_dir):
-    rated = features.trip_features(inputs.trips(spark, sf_dir))
-    return profiles.histogram(rated, F.coalesce("tip_rate", F.lit(0.0)), bins=30)
+    return report_tips(inputs.trips(spark, sf_dir), "trip_id").tip_rates
 
 
 # Sources and sinks
@@ -148,8 +149,9 @@ def csv_gzip_roundtrip(spark, sf_dir):
 
 @query("processed_export")
 def processed_export(spark, sf_dir):
-    processed = features.trip_features(inputs.trips(spark, sf_dir))
-    return _reload(processed, "processed.csv", processed.schema)
+    path = fresh_path(spark, "processed.csv")
+    report = report_tips(inputs.trips(spark, sf_dir), "trip_id", export_path=path)
+    return load_table(spark, path, report.processed.schema)
 
 
 @query("timestamp_coercion")
@@ -323,22 +325,14 @@ def lexicon_polarity(spark, sf_dir):
     return rounded(scored.select("doc_id", "polarity", "sentiment_class"), 6, "polarity")
 
 
-def _scored_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reviews = inputs.reviews(spark, sf_dir).withColumn("clean_text", clean_text("text"))
-    words = reviews.withColumn("words", tokens("clean_text"))
-    return sentiment.with_sentiment(words, "words", sentiment.REVIEW_LEXICON)
-
-
 @query("sentiment_classes")
 def sentiment_classes(spark, sf_dir):
-    return profiles.value_counts(_scored_reviews(spark, sf_dir), "sentiment_class")
+    return review_sentiment(inputs.reviews(spark, sf_dir)).classes
 
 
 @query("sentiment_phrases")
 def sentiment_phrases(spark, sf_dir):
-    reviews = with_terms(inputs.reviews(spark, sf_dir), ngram_range=(2, 2), terms="phrases")
-    scored = sentiment.with_sentiment(reviews, "words", sentiment.REVIEW_LEXICON)
-    return sentiment.class_phrases(scored, "sentiment_class", "phrases", k=5)
+    return review_sentiment(inputs.reviews(spark, sf_dir)).phrases
 
 
 # Evaluation of fixed rules, so that the metrics are checked exactly
@@ -357,7 +351,7 @@ def _ruled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = F.when(F.col("polarity") > 0, "positive").otherwise("negative")
     wrong = F.when(F.col("polarity") > 0, "negative").otherwise("positive")
     flipped = draw("review_id", "flip", 10) == 0
-    return _scored_reviews(spark, sf_dir).select(
+    return review_sentiment(inputs.reviews(spark, sf_dir)).scored.select(
         F.col("sentiment").alias("label"), F.when(flipped, wrong).otherwise(right).alias("prediction")
     )
 

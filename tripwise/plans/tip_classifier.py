@@ -51,6 +51,7 @@ def classify_tips(
     num_trees: int = 100,
     max_depth: int = 10,
     exclude_leaky: bool = False,
+    drop_null_tip: bool = False,
 ) -> TipClassifier:
     """Features, stratified split, training on one side and scoring of the other.
 
@@ -58,7 +59,7 @@ def classify_tips(
     """
     if sample_size is not None:
         trips = sample_exact(trips, key, sample_size, seed)
-    rows = model_input(trip_features(trips), key, exclude_leaky)
+    rows = model_input(trip_features(trips, drop_null_tip=drop_null_tip), key, exclude_leaky)
     numeric = [c for c in NUMERIC_FEATURES if not (exclude_leaky and c in LEAKY_FEATURES)]
     split = stratified_split(rows, key, TARGET, test_fraction, seed)
     train = split.filter("split = 'train'").drop("split")
