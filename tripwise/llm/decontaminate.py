@@ -179,17 +179,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **op
             for low, high in slices(batch["text"]):
                 part = batch.slice(low, high - low)
                 words = words_of(part["text"], letter_words(), fold=True)
-                texts = part["text"].to_pylist()
-                for row, spans in enumerate(part["spans"].to_pylist()):
-                    if not spans:
-                        continue
-                    raw, at, kept = texts[row].encode(), 0, []
+                texts, base = [], 0
+                for row, (text, spans) in enumerate(zip(part["text"].to_pylist(), part["spans"].to_pylist())):
+                    raw, at, kept = (text or "").encode(), 0, []
                     first = words.bounds[row]
-                    base = sum(len(x.encode()) for x in texts[:row] if x)
                     for span in spans:
                         kept.append(raw[at : words.starts[first + span["first"]] - base])
                         at = words.ends[first + span["last"] - 1] - base
-                    texts[row] = b"".join([*kept, raw[at:]]).decode()
+                    texts.append(b"".join([*kept, raw[at:]]).decode() if spans else text)
+                    base += len(raw)
                 yield pa.RecordBatch.from_arrays([part["row"], pa.array(texts, pa.string())], ["row", "text"])
 
     marked = contamination(docs, benchmark, text=text, **options).select("row", "text", "spans")

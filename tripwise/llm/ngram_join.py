@@ -143,7 +143,7 @@ def _classes(percent: int, sizes: np.ndarray) -> Classes:
 
 
 SCANNED = (
-    "kind int, id bigint, n bigint, node bigint, check bigint, "
+    "kind int, id bigint, own bigint, n bigint, node bigint, check bigint, "
     "shard bigint, signatures binary, nodes binary, signature bigint, pivot bigint"
 )
 _SCANNED = pa.schema(
@@ -188,9 +188,10 @@ def _scan(docs: DataFrame, n: int, percent: int, shards: int, seed: int) -> Data
                 cuts = np.searchsorted(row, np.arange(high - low + 1))
                 sizes = np.diff(cuts)
                 node, check = set_digests(value, cuts, seed)
-                yield _rows(0, high - low, id=batch["id"].slice(low, high - low), n=sizes, node=node, check=check)
-                signature, own = fragment_signatures(row, value, sizes, _classes(percent, sizes))
-                held.append((signature, node[own]))
+                own, ids = (batch[c].slice(low, high - low) for c in ("own", "id"))
+                yield _rows(0, high - low, id=ids, own=own, n=sizes, node=node, check=check)
+                signature, holder = fragment_signatures(row, value, sizes, _classes(percent, sizes))
+                held.append((signature, node[holder]))
                 n_bytes += len(words.data)
                 if n_bytes >= BLOCK_BYTES:
                     yield from block_rows(*map(np.concatenate, zip(*held)))
@@ -278,11 +279,13 @@ def set_components(
     fragments: int = COUNTED_FRAGMENTS,
     seed: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
-    """``id, n, node`` of every document, and ``node, component`` of the sets that link."""
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    """``id, own`` (hash of the text), ``n, node`` of every document, and ``node, component`` of the sets that link."""
+    rows = docs.select(
+        F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text")
+    )
     shards = parts_for(text_bytes(rows, "text"))
     scanned = written(_scan(rows, n, percent, shards, seed), "scanned")
-    sets = scanned.filter("kind = 0").select("id", "n", "node", "check")
+    sets = scanned.filter("kind = 0").select("id", "own", "n", "node", "check")
     nodes = sets.filter("n > 0").groupBy("node").agg(
         F.min("id").alias("of"), F.min("check").alias("low"), F.max("check").alias("high")
     )
@@ -316,7 +319,7 @@ def set_components(
         )
         split = written(spans.filter(f"low < high AND size > {max(2, pivots)}").select("signature"), "split_groups")
         if split.isEmpty():
-            return sets.select("id", "n", "node"), done
+            return sets.drop("check"), done
         own = written(labelled.join(split, "signature"), "undecided")
         rank = F.row_number().over(Window.partitionBy("signature").orderBy("node"))
         pivots *= 2
@@ -334,13 +337,17 @@ def set_components(
             done = components(links)
 
 
-def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``id, n_shingles, component_id`` of every document."""
+def _labelled(docs: DataFrame, key: str, text: str, options: dict) -> DataFrame:
     sets, done = set_components(docs, key, text, **options)
-    labelled = sets.join(done, "node", "left").select(
-        "id", "n", F.coalesce("component", "node").alias("component")
+    labelled = sets.join(done, "node", "left")
+    return written(
+        labelled.select("id", "own", "n", F.coalesce("component", "node").alias("component")), "labelled"
     )
-    labelled = written(labelled, "labelled")
+
+
+def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``id, n_shingles, component_id`` of every document."""
+    labelled = _labelled(docs, key, text, options)
     least = labelled.filter("n > 0").groupBy("component").agg(F.min("id").alias("least"))
     least = written(least, "least_ids")
     own = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
@@ -350,8 +357,17 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents whose id is the smallest of their group; repeated rows of it stay one."""
-    linked = linked_documents(docs, key, text, **options)
-    kept = linked.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("bigint").alias("_id"))
-    return rows.join(written(kept, "kept"), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").select("row.*")
+    """The document of each group with the smallest id (null last); of rows equal in id and text one stays."""
+    labelled = _labelled(docs, key, text, options)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "own"))
+    grouped = labelled.filter("n > 0").groupBy("component").agg(first.alias("kept"))
+    kept = grouped.select(F.col("kept.id").alias("_kept"), F.col("kept.own").alias("_text")).unionByName(
+        labelled.filter("n = 0").select(F.col("id").alias("_kept"), F.col("own").alias("_text")).distinct()
+    )
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_own")
+    )
+    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_text"))
+    joined = rows.join(written(kept, "kept"), same, "left_semi")
+    repeated = Window.partitionBy("_id", "_own").orderBy("_id")
+    return joined.withColumn("_copy", F.row_number().over(repeated)).filter("_copy = 1").select("row.*")

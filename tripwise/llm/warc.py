@@ -104,7 +104,8 @@ def _page_of(urn: bytes | None) -> str | None:
 def _segment(file: str, block: int, at: int, value: bytes) -> list:
     """A candidate record; ``at`` is where its bytes behind the magic start."""
     size = len(value) + len(BETWEEN)
-    head = value.find(b"\r\n\r\n")
+    # A payload that begins with the magic takes the last line break of its header with it.
+    head = (value + b"\r\n").find(b"\r\n\r\n")
     fields = {}
     for line in value[:head].split(b"\r\n")[1:] if head > 0 else ():
         name, _, content = line.partition(b":")
