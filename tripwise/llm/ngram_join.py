@@ -6,9 +6,13 @@ more: similar sets then agree on at least two whole fragments. Sets that agree o
 are candidates; their overlap is counted fragment by fragment and summed per pair.
 
 Equal sets are one class from the start. In a group of sets that share a fragment every
-member is compared with the smallest only; what this leaves undecided (members of different
-components that were never compared) goes on with twice as many of the smallest in every
-round. So no pair inside a component is listed and no link between components is missed.
+member is compared with one pivot only, the member that shares most fragments with others
+(the original of a family of copies does). What this leaves undecided (members of different
+components that were never compared) is grouped anew by rare n-grams: in any order of the
+n-grams, similar sets share one of their first, and an order that puts frequent ones last
+keeps texts apart that only share a passage. Each round compares with twice as many pivots
+of these groups. So no pair inside a component is listed and no link between components is
+missed.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 null ids and repeated rows are rows of their own, joined to their class by the set, not by
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.llm.components import components
-from tripwise.llm.tables import parts_for, text_bytes
+from tripwise.llm.tables import discard, parts_for, text_bytes
 from tripwise.llm.words import Words, mixed, packed, per_worker, slices, space_words, words_of
 from tripwise.sources.shared import written
 
@@ -33,6 +37,9 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK_BYTES = 4 << 20
 COUNTED_FRAGMENTS = 4
+# Undecided sets in which n-grams are counted, and n-grams that are known to be frequent.
+SAMPLED_SETS = 2_000
+FREQUENT_GRAMS = 50_000
 
 
 class Classes:
@@ -298,35 +305,47 @@ def set_components(
     across = scanned.filter("kind = 2").select("shard", "signatures", "nodes")
     across = across.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard_members, MEMBERS)
     members = written(local.unionByName(across), "members")
+    sets = written(sets, "sets")
+    nodes = written(nodes.select("node", "of"), "nodes")
+    discard(scanned)
 
-    # Every node of a group with its signature; pivots are members of their own groups.
+    # Every node of a group with its signature; local pivots are members as well.
     groups = members.select("signature", "node").unionByName(
         members.select("signature", F.col("pivot").alias("node"))
     )
-    groups = written(groups.distinct(), "groups")
-    pairs = written(members.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    plain = written(groups.distinct(), "groups")
+    discard(members)
+    sizes = written(plain.groupBy("signature").agg(F.count("*").alias("size")), "group_sizes")
+    shared = plain.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("shared"))
+    groups = plain.join(written(shared, "shared"), "node").select(
+        "signature", "node", F.struct(-F.col("shared"), "node").alias("order"), F.lit(True).alias("is_pivot")
+    )
+    groups = written(groups, "ordered_groups")
+    discard(plain, sizes)
+    pivot = groups.groupBy("signature").agg(F.min("order").alias("first"))
+    pairs = groups.join(written(pivot, "pivots"), "signature").filter(F.col("order") != F.col("first"))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
     wanted = nodes.join(groups.select("node").distinct(), "node").select("node", "of")
     grams = written(_fragment_rows(rows, written(wanted, "wanted"), n, seed, fragments), "fragments")
     links = written(_verified(pairs, grams, percent), "links")
     done, compared = components(links), pairs
-    pivots = 1
+    spans = _spans(groups, done).filter("low < high AND pivots > 2").select("signature")
+    open_ = groups.join(spans, "signature").groupBy("node").agg(F.min("order").alias("order"))
+    groups = written(_rare_groups(grams, written(open_, "undecided_sets"), percent), "rare_groups")
+    pivots = 0
     while True:
-        labelled = groups.join(done, "node", "left").select(
-            "signature", "node", F.coalesce("component", "node").alias("component")
-        )
-        spans = labelled.groupBy("signature").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-        )
-        split = written(spans.filter(f"low < high AND size > {max(2, pivots)}").select("signature"), "split_groups")
+        split = _spans(groups, done).filter(f"low < high AND pivots > {pivots}")
+        split = written(split.select("signature"), "split_groups")
         if split.isEmpty():
             return sets.drop("check"), done
-        own = written(labelled.join(split, "signature"), "undecided")
-        rank = F.row_number().over(Window.partitionBy("signature").orderBy("node"))
-        pivots *= 2
-        heads = own.withColumn("rank", rank).filter(F.col("rank") <= pivots).select(
-            "signature", F.col("node").alias("b"), F.col("component").alias("of_b")
+        own = written(_with_component(groups, done).join(split, "signature"), "undecided")
+        rank = F.row_number().over(Window.partitionBy("signature").orderBy("order"))
+        pivots = 2 * pivots + 1
+        heads = own.filter("is_pivot").withColumn("rank", rank).filter(F.col("rank") <= pivots).select(
+            "signature", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b")
         )
-        fresh = own.join(written(heads, "heads"), "signature").filter("component <> of_b")
+        fresh = own.join(written(heads, "heads"), "signature").filter("component <> of_b AND n_b <= n")
         fresh = fresh.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         seen = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = written(fresh.join(seen, ["a", "b"], "left_anti"), "more_pairs")
@@ -337,6 +356,71 @@ def set_components(
             done = components(links)
 
 
+def _with_component(groups: DataFrame, done: DataFrame) -> DataFrame:
+    joined = groups.join(done, "node", "left")
+    return joined.withColumn("component", F.coalesce("component", "node"))
+
+
+def _spans(groups: DataFrame, done: DataFrame) -> DataFrame:
+    """``signature, low, high, pivots``: whether a group lies in one component, and its possible pivots."""
+    return _with_component(groups, done).groupBy("signature").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("is_pivot").alias("pivots")
+    )
+
+
+def _rare_groups(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """``signature, node, order, n, is_pivot``: each undecided set under the first n-grams of its own.
+
+    Similar sets share an n-gram that is among the first of both, and for the smaller one an even
+    shorter prefix will do; only sets that have the n-gram in that prefix can be pivots of the
+    group, for partners of their size or larger. Any total order of the n-grams is right. This one counts them in about ``SAMPLED_SETS`` of
+    the sets and puts the ``FREQUENT_GRAMS`` most frequent last, so what is broadcast is bounded.
+    """
+    share = min(1.0, SAMPLED_SETS / max(1, open_.count()))
+    drawn = open_.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch["grams"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own.as_py(), np.int64))], ["gram"])
+
+    counted = grams.join(drawn.select("node"), "node").select("grams").mapInArrow(exploded, "gram bigint")
+    counted = counted.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2")
+    frequent = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).toArrow()
+    values = frequent["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    shared = grams.sparkSession.sparkContext.broadcast((values[order], frequent["n"].to_numpy()[order]))
+
+    def first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = shared.value
+        for batch in batches:
+            nodes, signatures, sizes, heads = [], [], [], []
+            for node, parts in zip(batch["node"].to_pylist(), batch["parts"].to_pylist()):
+                own = np.frombuffer(b"".join(parts), np.uint64)
+                at = np.searchsorted(values, own)
+                n = np.zeros(len(own), np.int64)
+                inside = at < len(values)
+                inside[inside] = values[at[inside]] == own[inside]
+                n[inside] = counts[at[inside]]
+                take = len(own) - -(-percent * len(own) // 100) + 1
+                first = own[np.lexsort((own, n))[:take]]
+                short = len(own) - -(-2 * percent * len(own) // (100 + percent)) + 1
+                nodes += [node] * take
+                sizes += [len(own)] * take
+                heads += [k < short for k in range(take)]
+                signatures.append(first.view(np.int64))
+            if nodes:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(signatures)), pa.array(nodes), pa.array(sizes), pa.array(heads)],
+                    ["signature", "node", "n", "is_pivot"],
+                )
+
+    # A repeated row has the same fragments twice.
+    whole = grams.join(open_.select("node"), "node").groupBy("node").agg(F.collect_set("grams").alias("parts"))
+    listed = whole.mapInArrow(first_grams, "signature bigint, node bigint, n bigint, is_pivot boolean")
+    return listed.join(open_, "node")
+
+
 def _labelled(docs: DataFrame, key: str, text: str, options: dict) -> DataFrame:
     sets, done = set_components(docs, key, text, **options)
     labelled = sets.join(done, "node", "left")
