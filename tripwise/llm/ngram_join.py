@@ -343,9 +343,11 @@ def set_components(
         rank = F.row_number().over(Window.partitionBy("signature").orderBy("order"))
         pivots = 2 * pivots + 1
         heads = own.filter("is_pivot").withColumn("rank", rank).filter(F.col("rank") <= pivots).select(
-            "signature", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b")
+            "signature", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), F.col("lone").alias("lone_b")
         )
         fresh = own.join(written(heads, "heads"), "signature").filter("component <> of_b AND n_b <= n")
+        # N-grams that no other undecided set has count towards the difference of any pair.
+        fresh = fresh.filter(f"(lone + lone_b) * {100 + percent} <= (n + n_b) * {100 - percent}")
         fresh = fresh.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         seen = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         fresh = written(fresh.join(seen, ["a", "b"], "left_anti"), "more_pairs")
@@ -369,7 +371,7 @@ def _spans(groups: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def _rare_groups(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """``signature, node, order, n, is_pivot``: each undecided set under the first n-grams of its own.
+    """``signature, node, order, n, lone, is_pivot``: each undecided set under the first n-grams of its own.
 
     Similar sets share an n-gram that is among the first of both, and for the smaller one an even
     shorter prefix will do; only sets that have the n-gram in that prefix can be pivots of the
@@ -417,6 +419,20 @@ def _rare_groups(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
 
     # A repeated row has the same fragments twice.
     whole = grams.join(open_.select("node"), "node").groupBy("node").agg(F.collect_set("grams").alias("parts"))
+    whole = written(whole, "undecided_grams")
+
+    def listed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, parts in zip(batch["node"].to_pylist(), batch["parts"].to_pylist()):
+                own = np.frombuffer(b"".join(parts), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array(np.full(len(own), node))], ["gram", "node"]
+                )
+
+    holders = whole.mapInArrow(listed_grams, "gram bigint, node bigint")
+    holders = holders.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    lone = holders.filter("node = other").groupBy("node").agg(F.count("*").alias("lone"))
+    open_ = open_.join(lone, "node", "left").fillna(0, ["lone"])
     listed = whole.mapInArrow(first_grams, "signature bigint, node bigint, n bigint, is_pivot boolean")
     return listed.join(open_, "node")
 
