@@ -155,7 +155,8 @@ def _affected(left: pa.Table, right: pa.Table) -> pa.Table:
         for keys, ids, anchors in zip(left["keys"], left["ids"], left["anchors"]):
             for key, id_, own in zip(keys.as_py(), ids.as_py(), anchors.as_py()):
                 own = np.frombuffer(own, np.uint64)
-                held = own[np.isin(own, found)]
+                at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+                held = own[found[at] == own]
                 if len(held):
                     out.append((key, id_, packed(held)))
     columns = zip(*out) if out else ((), (), ())
