@@ -5,9 +5,10 @@ import pytest
 import __spark_entry__ as driver
 from tests.compare import connect, differences, duckdb_result, spark_result
 from tests.plans import plan_of
+from tripwise import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = driver.oracle_sql()
+ORACLES = catalog.oracle_sql()
 QUERIES = driver.queries()
 
 

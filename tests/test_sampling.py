@@ -91,13 +91,22 @@ def test_split_itself_is_a_filter_without_shuffle(rows):
 
 
 @pytest.mark.parametrize("n", [0, 4, 137, 5000])
-def test_both_ways_of_taking_the_head_agree(rows, n):
+def test_head_of_large_keys(rows, n):
     large = rows.repartition(9).withColumn("id", F.col("id") + 2**62)
-    for top_k_rows in (0, 5000):
-        head = sampling.head_sample(large, "id", n, top_k_rows)
-        assert [r["id"] - 2**62 for r in head.orderBy("id").collect()] == list(range(min(n, 1000)))
+    head = sampling.head_sample(large, "id", n)
+    assert [r["id"] - 2**62 for r in head.orderBy("id").collect()] == list(range(min(n, 1000)))
 
 
 def test_head_by_text_key(spark):
     names = spark.createDataFrame([("b",), ("c",), ("a",)], "name string")
-    assert [r["name"] for r in sampling.head_sample(names, "name", 2, top_k_rows=0).collect()] == ["a", "b"]
+    assert [r["name"] for r in sampling.head_sample(names, "name", 2).collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("n, nulls", [(20, 20), (50, 50), (100, 50), (995, 50), (2000, 50)])
+def test_head_keeps_null_and_nan_keys(spark, n, nulls):
+    key = "CASE WHEN id < 50 THEN NULL WHEN id >= 990 THEN double('NaN') ELSE id + 0.5D END AS key"
+    rows = spark.range(1000).selectExpr("id", key)
+    head = sampling.head_sample(rows, "key", n).collect()
+    assert len(head) == min(n, 1000)
+    assert sum(r["key"] is None for r in head) == nulls
+    assert [r["id"] for r in head if r["key"] is not None and r["key"] == r["key"]] == list(range(50, min(max(n, 50), 990)))

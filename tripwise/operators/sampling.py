@@ -104,16 +104,22 @@ def sample_exact(
     return df.filter(F.struct(shuffle_key(key, seed), F.col(key)) <= cut)
 
 
-def head_sample(df: DataFrame, key: str, n: int, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """The first ``n`` rows in key order.
+def head_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows in key order: null keys first, NaN last.
 
-    Beyond ``top_k_rows`` the n-th key of a numeric ``key`` is found first, and only
-    the rows up to it take part in the top-k.
+    The last key wanted of a numeric ``key`` is found first, and only the rows up to it
+    take part in the top-k.
     """
-    if n > top_k_rows and isinstance(df.schema[key].dataType, NumericType):
-        found = values_at_ranks(df.select(key), {key: lambda rows: [min(n, rows) - 1]})
-        for last in found.get(key, {}).values():
-            df = df.filter(F.col(key).cast("double") <= F.lit(last))
+    if isinstance(df.schema[key].dataType, NumericType):
+        left = n - df.filter(F.col(key).isNull()).count()
+        if left <= 0:
+            df = df.filter(F.col(key).isNull())
+        else:
+            found = values_at_ranks(
+                df.select(key), {key: lambda rows: [left - 1] if left <= rows else []}
+            )
+            for last in found.get(key, {}).values():
+                df = df.filter(F.col(key).isNull() | (F.col(key).cast("double") <= F.lit(last)))
     return df.orderBy(key).limit(n)
 
 
