@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,9 @@ END_ID = 0
 SHARD_BYTES = 4 << 20
 BLOCK = 512
 CACHED_PIECES = 400_000
+JOINED_PIECES = 64
+# How byte-level vocabularies spell a space.
+BYTE_SPACE = "Ġ"
 
 
 class WaveletMatrix:
@@ -114,14 +117,14 @@ class WaveletMatrix:
         return block * BLOCK + int(inside[k - counts[block]])
 
     def decode(self) -> np.ndarray:
-        """All ids: follows every position through the planes at once."""
-        at = np.arange(self.size)
+        """All ids: merges zeros and ones back, from the lowest plane to the highest."""
         values = np.zeros(self.size, np.uint32)
-        for bits, zeros in zip(self.bits, self.zeros):
-            ones = np.cumsum(bits, dtype=np.int64) - bits
-            bit = bits[at]
-            at = np.where(bit, zeros + ones[at], at - ones[at])
-            values = values << np.uint32(1) | bit
+        for k, (bits, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
+            one = bits.view(bool)
+            merged = np.empty_like(values)
+            merged[one] = values[zeros:] | np.uint32(1 << k)
+            merged[~one] = values[:zeros]
+            values = merged
         return values
 
 
@@ -159,6 +162,9 @@ class Encoder:
         # Ids of "part" and of " part", for parts without white space at their ends.
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(tokens.values()) + 1, bool)
+        self.spaced[[i for token, i in tokens.items() if token.startswith(BYTE_SPACE)]] = True
 
     def _run(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -167,18 +173,32 @@ class Encoder:
             out += [np.array(f.ids, "<u4").tobytes() for f in found]
         return out
 
-    def _learn(self, known: dict[str, bytes], lead: str, parts: set[str]) -> None:
-        new = [p for p in parts if p not in known and _solid(p)]
+    def _run_spaced(self, parts: list[str]) -> list[bytes]:
+        """Ids of " part" for each part: some parts run as one text, cut at the ids that begin with a space."""
+        out = []
+        for at in range(0, len(parts), JOINED_PIECES):
+            own = parts[at : at + JOINED_PIECES]
+            ids = np.frombuffer(self._run([" " + " ".join(own)])[0], "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(own):
+                out += self._run([" " + p for p in own])
+                continue
+            raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def _learn(self, known: dict[str, bytes], run: Callable, parts: set[str]) -> None:
+        new = [p for p in parts.difference(known) if _solid(p)]
         if len(known) + len(new) > CACHED_PIECES:
             known.clear()
             new = [p for p in parts if _solid(p)]
-        known.update(zip(new, self._run([lead + p for p in new])))
+        known.update(zip(new, run(new)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [text.split(" ") for text in texts]
-        self._learn(self.first, "", {parts[0] for parts in cut})
-        self._learn(self.later, " ", {p for parts in cut for p in parts[1:]})
+        self._learn(self.first, self._run, {parts[0] for parts in cut})
+        self._learn(self.later, self._run_spaced, {p for parts in cut for p in parts[1:]})
         out = []
         for parts in cut:
             found = [self.first.get(parts[0]), *map(self.later.get, parts[1:])]
