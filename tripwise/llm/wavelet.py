@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,22 +250,39 @@ def write_shards(
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = parts_for(n_bytes, 1, shard_bytes)
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = np.ones(batch.num_rows, bool)
+            id_, text = batch["id"], batch["text"]
+            null = id_.is_null().to_numpy(False)
+            value = id_.fill_null(0).to_numpy()
+            same = pc.equal(text[1:], text[:-1]).to_numpy(False)
+            first[1:] = (null[1:] != null[:-1]) | (value[1:] != value[:-1]) | ~same
+            at = np.flatnonzero(first)
+            copies = np.diff(np.append(at, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([id_.take(pa.array(at)), text.take(pa.array(at)), pa.array(copies)], ["id", "text", "copies"])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(f"encoder_{tokenizer}", lambda: Encoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, parts = [], [], []
         for batch in batches:
-            doc_ids += batch["id"].to_pylist()
+            copies = batch["copies"].to_pylist()
+            for id_, n in zip(batch["id"].to_pylist(), copies):
+                doc_ids += [id_] * n
             for at in range(0, batch.num_rows, 128):
-                for ids in encoder.encode(batch["text"].slice(at, 128).to_pylist()):
-                    lengths.append(len(ids) // 4 + 1)
-                    parts.append(ids + end)
+                texts = batch["text"].slice(at, 128).to_pylist()
+                for ids, n in zip(encoder.encode(texts), copies[at : at + 128]):
+                    lengths += [len(ids) // 4 + 1] * n
+                    parts += [ids + end] * n
         if doc_ids:
             ids = np.frombuffer(b"".join(parts), "<u4")
             parts.clear()
             payload = encode_shard(doc_ids, np.array(lengths, np.int64), ids, planes)
             yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], ["payload"])
 
+    # Equal rows that follow each other, as a mix of sources leaves them, move and are encoded once.
+    rows = rows.mapInArrow(runs, "id bigint, text string, copies bigint")
     ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), "text")
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     ordered.mapInArrow(encode, "payload binary").write.parquet(path)
