@@ -62,10 +62,10 @@ def without_repeated_lines(
 ) -> DataFrame:
     """``row`` (the document), ``n_lines, n_removed, kept`` (the text that stays) and ``kept_sha256``."""
     found = written(repeated_positions(docs, key, text, n), "repeated_lines")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
-    joined = rows.withColumn("hash", F.xxhash64("text")).join(
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
+    joined = rows.join(
         found, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("own")), "left"
-    ).select("row", "text", "positions")
+    ).select("row", F.col("row").getField(text).alias("text"), "positions")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("row", "n_lines", "n_removed", "kept", "kept_sha256")
