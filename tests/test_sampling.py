@@ -24,17 +24,40 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 137, 1000, 5000])
-def test_both_ways_of_sampling_agree(rows, n):
-    by_top_k = sampling.sample_exact(rows, "id", n, top_k_rows=5000)
-    by_cut = sampling.sample_exact(rows, "id", n, top_k_rows=-1)
-    expected = sorted(order(range(1000))[:n])
-    assert sorted(r["id"] for r in by_top_k.collect()) == expected
-    assert sorted(r["id"] for r in by_cut.collect()) == expected
+def test_sample_is_exact(rows, n):
+    sample = sampling.sample_exact(rows, "id", n).collect()
+    assert sorted(r["id"] for r in sample) == sorted(order(range(1000))[:n])
+
+
+@pytest.fixture(scope="module")
+def keyed(spark):
+    """1,000 rows: 200 without a key, the others share 160 keys; ``id`` tells them apart."""
+    return spark.range(1000).selectExpr(
+        "id", "CASE WHEN id >= 200 THEN id % 160 END AS key", "id % 2 AS label"
+    )
+
+
+@pytest.mark.parametrize("n", [90, 110, 150, 2000])
+def test_sample_of_null_and_repeated_keys(keyed, n):
+    assert sampling.sample_exact(keyed, ["key", "id"], n).count() == min(n, 1000)
+
+
+def test_split_of_null_and_repeated_keys(keyed):
+    split = sampling.stratified_split(keyed, ["key", "id"], "label", 0.02)
+    assert {(r["label"], r["count"]) for r in split.filter("split = 'test'").groupBy("label").count().collect()} == {(0, 10), (1, 10)}
+
+
+def test_one_null_key_is_a_key_and_a_repeated_key_is_refused(spark, keyed):
+    single = spark.range(100).selectExpr("CASE WHEN id > 0 THEN id END AS key")
+    for n in range(0, 101, 10):
+        assert sampling.sample_exact(single, "key", n).count() == n
+    with pytest.raises(Exception, match="does not identify a row"):
+        sampling.sample_exact(keyed.selectExpr("1 AS key"), "key", 150).count()
 
 
 def test_sample_does_not_depend_on_the_partitioning_but_on_the_seed(rows):
     def ids(df, seed):
-        return {r["id"] for r in sampling.sample_exact(df, "id", 50, seed, top_k_rows=0).collect()}
+        return {r["id"] for r in sampling.sample_exact(df, "id", 50, seed).collect()}
 
     assert ids(rows, 1) == ids(rows.repartition(13), 1)
     assert ids(rows, 1) != ids(rows, 2)

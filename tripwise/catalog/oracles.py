@@ -273,6 +273,8 @@ SELECT trip_id, try_cast(CASE WHEN trip_id % 19 = 0 THEN concat('bad ', CAST(tri
   ELSE CAST(tpep_pickup_datetime AS VARCHAR) END AS TIMESTAMP) AS tpep_pickup_datetime FROM trips""",
         "sample_exact": sampled.format(columns="*") + "1000",
         "sample_exact_by_cut": sampled.format(columns="trip_id, fare_amount") + "10000",
+        "sample_exact_null_keys": f"""WITH {TRIPS} SELECT trip_id, store_and_fwd_flag FROM trips
+ORDER BY md5(concat(coalesce(store_and_fwd_flag, ''), '|', CAST(trip_id AS VARCHAR), ':42')) LIMIT 1000""",
         "head_sample": f"{trips_whole} ORDER BY trip_id LIMIT 1000",
         "shuffled_reviews": f"""WITH {REVIEWS}
 SELECT *, row_number() OVER (ORDER BY {_hash("review_id", "42")}, review_id) - 1 AS position

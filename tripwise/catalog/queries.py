@@ -179,6 +179,14 @@ def sample_exact_by_cut(spark, sf_dir):
     return sampled.select("trip_id", "fare_amount")
 
 
+@query("sample_exact_null_keys")
+def sample_exact_null_keys(spark, sf_dir):
+    """A key that is null or repeated for many trips, with a second column that tells them apart."""
+    trips = inputs.trips(spark, sf_dir)
+    sampled = sampling.sample_exact(trips, ["store_and_fwd_flag", "trip_id"], SAMPLE_ROWS)
+    return sampled.select("trip_id", "store_and_fwd_flag")
+
+
 @query("head_sample")
 def head_sample(spark, sf_dir):
     return sampling.head_sample(inputs.trips(spark, sf_dir), "trip_id", SAMPLE_ROWS)

@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def shuffle_key(key: Column | str, seed: int | str) -> Column:
-    """32 hex digits that order rows randomly but repeatably."""
-    text = (F.col(key) if isinstance(key, str) else key).cast("string")
+def shuffle_key(key: Column | str | list[str], seed: int | str) -> Column:
+    """32 hex digits that order rows randomly but repeatably; a null hashes as an empty text."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in (key if isinstance(key, list) else [key])]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return F.md5(F.concat(text, F.lit(f":{seed}")))
 
 

@@ -1,6 +1,7 @@
 """Exact samples, shuffles and splits that do not depend on the partitioning.
 
-Rows are ordered by the md5 of ``key`` and ``seed``; ``key`` must identify a row.
+Rows are ordered by the md5 of ``key`` and ``seed``, nulls first among equal hashes. ``key``,
+a column or a list of columns, must identify a row; a key that repeats at a cut is refused.
 Exact sizes need the hash of the k-th row. It is found by counting hash prefixes
 (at most 65,536 groups per class, combined before the shuffle) and ranking only
 the rows of the one prefix that holds it, so no class ever meets in one task.
@@ -22,7 +23,6 @@ from tripwise.sources.shared import broadcast_rows, settled, small_table
 PREFIX_DIGITS = 4
 HASH_DIGITS = 32
 RANKED_ROWS = 1_000_000
-TOP_K_ROWS = 100
 
 
 def _cuts(
@@ -57,13 +57,18 @@ def _cuts(
         rows = small_table(holding)
         found = broadcast_rows(holding, rows)
 
-    ranked = _inside(hashed, found, digits).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("class").orderBy("hash", "key"))
+    in_order = Window.partitionBy("class").orderBy("hash", "key")
+    ranked = _inside(hashed, found, digits).select(
+        "*",
+        F.row_number().over(in_order).alias("rank"),
+        F.lead(F.struct("hash", "key")).over(in_order).alias("next"),
     )
+    repeats = F.coalesce(F.col("next") == F.struct("hash", "key"), F.lit(False))
+    message = "The key does not identify a row: add columns that tell its rows apart"
     return settled(
         ranked.filter(F.col("rank") == F.col("want")).select(
             F.col("class").alias("cut_class"),
-            F.col("hash").alias("cut_hash"),
+            F.when(repeats, F.raise_error(F.lit(message))).otherwise(F.col("hash")).alias("cut_hash"),
             F.col("key").alias("cut_key"),
         )
     )
@@ -85,23 +90,18 @@ def _inside(hashed: DataFrame, found: DataFrame, digits: int) -> DataFrame:
     ).select("class", "key", "hash", "want")
 
 
-def sample_exact(
-    df: DataFrame, key: str, n: int, seed: int = 42, top_k_rows: int = TOP_K_ROWS
-) -> DataFrame:
-    """``min(n, rows)`` random rows without replacement.
+def _key(key: str | list[str]) -> Column:
+    return F.struct(*key) if isinstance(key, list) else F.col(key)
 
-    A handful of rows is a top-k by hash. Top-k sends ``n`` whole rows per input
-    split to one task, so beyond ``top_k_rows`` the hash of the n-th row is found
-    first and the sample is a plain filter; both ways give the same rows.
-    """
-    if n <= top_k_rows:
-        return df.orderBy(shuffle_key(key, seed), key).limit(n)
+
+def sample_exact(df: DataFrame, key: str | list[str], n: int, seed: int = 42) -> DataFrame:
+    """``min(n, rows)`` random rows without replacement: a plain filter up to the hash of the n-th row."""
     hashed = df.select(
-        F.lit(0).alias("class"), F.col(key).alias("key"), shuffle_key(key, seed).alias("hash")
+        F.lit(0).alias("class"), _key(key).alias("key"), shuffle_key(key, seed).alias("hash")
     )
     cuts = _cuts(hashed, lambda total: F.least(F.lit(n).cast("bigint"), total))
     cut = cuts.select(F.struct("cut_hash", "cut_key").alias("cut")).scalar()
-    return df.filter(F.struct(shuffle_key(key, seed), F.col(key)) <= cut)
+    return df.filter(F.struct(shuffle_key(key, seed), _key(key)) <= cut)
 
 
 def head_sample(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -151,7 +151,7 @@ def shuffled(
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_fraction: float, seed: int = 42
+    df: DataFrame, key: str | list[str], label: str, test_fraction: float, seed: int = 42
 ) -> DataFrame:
     """Add ``split``: the share ``test_fraction`` of every class is 'test', rounded per class.
 
@@ -163,10 +163,10 @@ def stratified_split(
         return F.least(wanted, total - 1)
 
     hashed = df.select(
-        F.col(label).alias("class"), F.col(key).alias("key"), shuffle_key(key, seed).alias("hash")
+        F.col(label).alias("class"), _key(key).alias("key"), shuffle_key(key, seed).alias("hash")
     )
     cuts = _cuts(hashed, quota)
-    in_test = F.struct(shuffle_key(key, seed), F.col(key)) <= F.struct("cut_hash", "cut_key")
+    in_test = F.struct(shuffle_key(key, seed), _key(key)) <= F.struct("cut_hash", "cut_key")
     in_test = F.col("cut_hash").isNotNull() & in_test
     return df.join(cuts, F.col(label).eqNullSafe(F.col("cut_class")), "left").select(
         *df.columns, F.when(in_test, "test").otherwise("train").alias("split")
