@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
@@ -137,6 +138,17 @@ def test_token_table_edges(cases):
     assert wavelet.token_table(cases.limit(0), public_tokenizers.path(TOKENIZER)).count() == 0
 
 
+def test_consecutive_copies_keep_their_places(spark):
+    docs = spark.createDataFrame([(None, "x"), (0, "x"), (2, "a b"), (2, "c"), (3, None)], "doc_id long, text string")
+    copied = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    path = public_tokenizers.path(TOKENIZER)
+    once = {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.token_table(docs, path).collect()}
+    rows = wavelet.token_table(copied.coalesce(1), path).orderBy("start").collect()
+    assert len(rows) == 15 and {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows} == once
+    assert [r["doc_id"] for r in rows] == [None] * 3 + [0] * 3 + [2] * 6 + [3] * 3
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(15)]
+
+
 def test_wavelet_matrix_queries():
     ids = np.random.default_rng(1).integers(0, 40, 3000).astype(np.uint32)
     matrix = wavelet.WaveletMatrix(wavelet.encode_shard([5, None], np.array([1000, 2000]), ids, 6))
