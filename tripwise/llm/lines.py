@@ -7,6 +7,9 @@ covered lines of overlapping windows counting once.
 Defined cases: a null text has no lines; a text of fewer than three lines has no window and
 stays whole; null ids come first; rows that are equal in id and text are judged alike, as
 the first of them; extra columns travel in one struct.
+
+Both joins shuffle at every size: what repeats grows with the data, so it is never
+broadcast, and a small table runs the plan that a large one runs.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ def repeated_positions(
     place = F.struct("doc", "own", "pos")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = written(first.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), "first_windows")
-    later = windows.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    later = windows.join(first.hint("shuffle_hash"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc", "own").agg(F.collect_set("pos").alias("positions"))
 
 
@@ -64,7 +67,7 @@ def without_repeated_lines(
     found = written(repeated_positions(docs, key, text, n), "repeated_lines")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
     joined = rows.join(
-        found, F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("own")), "left"
+        found.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("own")), "left"
     ).select("row", F.col("row").getField(text).alias("text"), "positions")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
