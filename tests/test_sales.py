@@ -54,6 +54,15 @@ def test_dashboard_of_one_region(rows):
     assert [r["category"] for r in dashboard.high_margin_categories.collect()] == ["toys"]
 
 
+def test_only_the_tables_of_the_columns_are_joined(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    shares = plan_of(inputs.sales(spark, sf_dir, "category", "profit"))
+    assert "o_orderkey" not in shares and "p_partkey" in shares
+    daily = plan_of(inputs.sales(spark, sf_dir, "sale_date", "sales"))
+    assert "p_partkey" not in daily and "c_custkey" not in daily and "o_orderkey" in daily
+    assert inputs.sales(spark, sf_dir).columns == list(inputs.SALES_COLUMNS)
+
+
 def test_sales_plan_has_no_cross_join_and_prunes_columns(spark):
     daily = sales.daily_sales(inputs.sales(spark, "/root/testdata/sf0.001"))
     plan = plan_of(daily, "formatted")

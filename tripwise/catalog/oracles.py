@@ -9,6 +9,8 @@ from tripwise.functions.text import (
     NOT_WORD_PATTERN,
     URL_PATTERN,
 )
+from tripwise.operators.features import CATEGORICAL_FEATURES as CATEGORICAL
+from tripwise.operators.features import NUMERIC_FEATURES as NUMERIC
 from tripwise.operators.sentiment import NEGATIVE_ADJECTIVES, POSITIVE_ADJECTIVES
 from tripwise.sources.reviews import (
     ACTIVITIES,
@@ -17,8 +19,6 @@ from tripwise.sources.reviews import (
     PRODUCTS,
 )
 
-NUMERIC = "passenger_count trip_distance fare_amount total_amount pickup_hour pickup_dayofweek".split()
-CATEGORICAL = "VendorID RatecodeID store_and_fwd_flag payment_type".split()
 
 
 def _text(value: str) -> str:

@@ -398,28 +398,30 @@ def _dated(daily: DataFrame) -> DataFrame:
 
 @query("daily_sales")
 def daily_sales(spark, sf_dir):
-    return _dated(sales.daily_sales(inputs.sales(spark, sf_dir)))
+    return _dated(sales.daily_sales(inputs.sales(spark, sf_dir, "sale_date", "sales")))
 
 
 @query("daily_sales_filtered")
 def daily_sales_filtered(spark, sf_dir):
-    chosen = sales.filter_sales(inputs.sales(spark, sf_dir), SHOWN_REGIONS, SHOWN_CATEGORIES)
+    rows = inputs.sales(spark, sf_dir, "sale_date", "region", "category", "sales")
+    chosen = sales.filter_sales(rows, SHOWN_REGIONS, SHOWN_CATEGORIES)
     return _dated(sales.daily_sales(chosen))
 
 
 @query("profit_share")
 def profit_share(spark, sf_dir):
-    return rounded(sales.profit_share(inputs.sales(spark, sf_dir)), 6, "share")
+    return rounded(sales.profit_share(inputs.sales(spark, sf_dir, "category", "profit")), 6, "share")
 
 
 @query("underperforming_regions")
 def underperforming_regions(spark, sf_dir):
-    return sales.underperforming_regions(inputs.sales(spark, sf_dir))
+    return sales.underperforming_regions(inputs.sales(spark, sf_dir, "region", "sales"))
 
 
 @query("high_margin_categories")
 def high_margin_categories(spark, sf_dir):
-    return rounded(sales.high_margin_categories(inputs.sales(spark, sf_dir)), 6, "margin")
+    rows = inputs.sales(spark, sf_dir, "category", "sales", "profit")
+    return rounded(sales.high_margin_categories(rows), 6, "margin")
 
 
 # Fitted models: no SQL counterpart
@@ -427,13 +429,13 @@ def high_margin_categories(spark, sf_dir):
 
 @query("rf_predictions")
 def rf_predictions(spark, sf_dir):
-    result = classify_tips(inputs.trips(spark, sf_dir, spread=True), "trip_id")
+    result = classify_tips(inputs.trips(spark, sf_dir), "trip_id")
     return rounded(result.predictions, 6, "score")
 
 
 @query("rf_evaluation")
 def rf_evaluation(spark, sf_dir):
-    return classify_tips(inputs.trips(spark, sf_dir, spread=True), "trip_id").metrics()
+    return classify_tips(inputs.trips(spark, sf_dir), "trip_id").metrics()
 
 
 @query("lr_predictions")

@@ -20,6 +20,7 @@ from tripwise.operators.profiles import PICKUP, above
 from tripwise.operators.ranks import BINS, values_at_ranks
 from tripwise.sources.tables import blank_nan
 
+# The features of the tip model.
 NUMERIC_FEATURES = [
     "passenger_count",
     "trip_distance",

@@ -22,6 +22,7 @@ from tripwise.operators.sampling import sample_exact, stratified_split
 from tripwise.sources.shared import written
 
 TEST_FRACTION = 0.25
+FIT_ROWS = 5_000_000
 
 
 @dataclass
@@ -52,20 +53,23 @@ def classify_tips(
     max_depth: int = 10,
     exclude_leaky: bool = False,
     drop_null_tip: bool = False,
+    fit_rows: int = FIT_ROWS,
 ) -> TipClassifier:
     """Features, stratified split, training on one side and scoring of the other.
 
     All trips are used unless ``sample_size`` asks for an exact random sample.
+    Of the training side at most ``fit_rows`` random rows are fitted; every row of the
+    test side is scored.
     """
     if sample_size is not None:
         trips = sample_exact(trips, key, sample_size, seed)
     rows = model_input(trip_features(trips, drop_null_tip=drop_null_tip), key, exclude_leaky)
     numeric = [c for c in NUMERIC_FEATURES if not (exclude_leaky and c in LEAKY_FEATURES)]
     split = stratified_split(rows, key, TARGET, test_fraction, seed)
-    train = split.filter("split = 'train'").drop("split")
+    train = sample_exact(split.filter("split = 'train'").drop("split"), key, fit_rows, seed + 1)
     test = split.filter("split = 'test'").drop("split")
     model = train_forest(
-        train, numeric, CATEGORICAL_FEATURES, TARGET, num_trees, max_depth, seed
+        train, key, numeric, CATEGORICAL_FEATURES, TARGET, num_trees, max_depth, seed
     )
     scored = written(score(model, test, [key, TARGET]), "tip_predictions")
     return TipClassifier(model, train, test, scored)

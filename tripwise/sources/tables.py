@@ -16,19 +16,7 @@ from pyspark.sql.types import (
     TimestampNTZType,
 )
 
-TRIP_COLUMNS = [
-    "tpep_pickup_datetime",
-    "VendorID",
-    "passenger_count",
-    "trip_distance",
-    "RatecodeID",
-    "store_and_fwd_flag",
-    "payment_type",
-    "fare_amount",
-    "tip_amount",
-    "total_amount",
-]
-
+# The columns of a trip table and their types.
 TRIP_SCHEMA = StructType(
     [
         StructField("tpep_pickup_datetime", TimestampNTZType()),
@@ -44,6 +32,8 @@ TRIP_SCHEMA = StructType(
     ]
 )
 
+TRIP_COLUMNS = TRIP_SCHEMA.names
+
 TIMESTAMP_COLUMNS = ("tpep_pickup_datetime",)
 
 
