@@ -14,6 +14,10 @@ from tripwise.sources.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+# Words of a shingle and the similarity of near copies in this stage; ``op5_`` has its own.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on those it is given, does not reject."""
@@ -22,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return ngram_join.one_of_each_group(docs)
+    """One document of each group of near copies: Jaccard similarity of five-word shingles 0.8 or more."""
+    return ngram_join.one_of_each_group(docs, n=STAGE_SHINGLE, percent=STAGE_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,6 +181,34 @@ def test_vector_edges(spark):
     assert vectors.linked_vectors(df.filter("vec_id = 4")).first()["n_links"] == 0
 
 
+def near_copies():
+    """Texts with scattered new words or appended ones, at similarities around 0.8 and 0.9."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for size in (60, 300, 900):
+        for share in (0.01, 0.015, 0.02, 0.022, 0.025, 0.03):
+            base = [f"s{size}_{share}_{i}" for i in range(size)]
+            own = list(base)
+            for at in rng.choice(size, max(1, round(share * size)), replace=False):
+                own[at] = f"n{rng.integers(1 << 40)}"
+            texts += [" ".join(base), " ".join(own)]
+        for share in (0.05, 0.12, 0.22, 0.26):
+            base = [f"b{size}_{share}_{i}" for i in range(size)]
+            more = [f"m{rng.integers(1 << 40)}" for _ in range(round(share * size))]
+            texts += [" ".join(base), " ".join(base + more)]
+    return texts
+
+
+def test_near_copy_stage_against_brute_force(spark):
+    texts = near_copies()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = [brute.shingles(t, 5) for t in texts]
+    links = brute.jaccard_links(sets, 80)
+    assert len(links) > len(brute.jaccard_links(sets, 90)) + 10
+    kept = corpus_pipeline.keep_one_of_each_group(spark, df, SF_DIR).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute.groups(range(len(texts)), links).values()))
+
+
 def test_pipeline(spark):
     docs = table(spark, SF_DIR, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
