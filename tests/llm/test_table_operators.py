@@ -152,6 +152,27 @@ def test_vectors_against_brute_force(spark, block):
     assert all(r["kept"] == (r["component_id"] == k) for k, r in found.items())
 
 
+def linked_partners(spark, hot, partners, **options):
+    """The share of the partners at cosine 0.91 that get into one component; the first ``hot`` rows are near copies."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    x = rng.normal(size=(n, 32))
+    x[:hot] = x[0] + 0.001 * rng.normal(size=(hot, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    first, second = np.arange(hot, hot + partners), np.arange(n - partners, n)
+    away = rng.normal(size=(partners, 32))
+    away -= (away * x[first]).sum(1)[:, None] * x[first]
+    x[second] = 0.91 * x[first] + (1 - 0.91**2) ** 0.5 * away / np.linalg.norm(away, axis=1)[:, None]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>").repartition(8)
+    found = vectors.linked_vectors(df, **options).select("row.vec_id", "component_id").collect()
+    own = {r["vec_id"]: r["component_id"] for r in found}
+    return np.mean([own[a] == own[b] for a, b in zip(first.tolist(), second.tolist())])
+
+
+def test_a_hot_group_does_not_set_the_visits_of_others(spark):
+    assert linked_partners(spark, hot=2000, partners=1000) >= 0.97
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
