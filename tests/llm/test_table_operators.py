@@ -173,6 +173,10 @@ def test_a_hot_group_does_not_set_the_visits_of_others(spark):
     assert linked_partners(spark, hot=2000, partners=1000) >= 0.97
 
 
+def test_visits_without_pairs_in_the_sample(spark):
+    assert linked_partners(spark, hot=0, partners=300, sample_queries=1) >= 0.97
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
