@@ -205,7 +205,8 @@ def test_jaccard_join_edges(cases):
     assert own[None, 58] == 1 and own[1, 58] == 1
     kept = ngram_join.one_of_each_group(cases)
     assert kept.columns == cases.columns
-    assert sorted(r["row"] for r in kept.collect()) [1:] == [-10, -9, -7, -5, -3, -2, 0] or True
+    # Rows -6 and -7 are equal in id and text; either may stay.
+    assert sorted(-7 if r["row"] == -6 else r["row"] for r in kept.collect()) == [-11, -10, -9, -7, -5, -3, -2, 0]
     assert ngram_join.linked_documents(cases.limit(0)).count() == 0
 
 
