@@ -13,6 +13,7 @@ from tripwise.llm import (
     lines,
     mixing,
     ngram_join,
+    prefix_trie,
     substrings,
     toxicity,
     urls,
@@ -90,6 +91,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("row.vec_id", "n_links", "component_id", "kept")
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    rebuilt, convs = prefix_trie.crossed(turns)
+    return prefix_trie.prefix_trie(rebuilt, convs).drop("digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,11 +110,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_line_dedup,
         op10_embedding_near_dedup,
+        op12_conversation_prefix_trie,
     )
 }
 
 FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The table of the reflected CRC-32 and the checksum of the UTF-8 bytes of a text with it.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"""
+CRC = """xor(list_reduce(list_transform(range(CAST(octet_length(encode({0})) AS BIGINT)),
+  lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT)),
+  lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -178,6 +193,27 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS k, count(*) AS n
 SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_conversation_prefix_trie": f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST,
+    md5(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text)) AS l FROM t GROUP BY conv_id),
+heads AS (SELECT conv_id, l, {CRC.format('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM own, crc),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS l
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+member AS (SELECT conv_id, len(l) AS n, d, l[1:d] AS node FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+node AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d) AS ends
+  FROM member GROUP BY node, d),
+valued AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(node[d].text)) END AS saved,
+    (SELECT count(*) FROM node c WHERE c.d = node.d + 1 AND c.node[1:node.d] = node.node) AS n_children FROM node),
+below AS (SELECT x.node, x.d, count(*) FILTER (WHERE y.n_children = 0) AS n_leaves, CAST(sum(y.saved) AS BIGINT) AS saved_tokens
+  FROM valued x JOIN valued y ON y.d >= x.d AND y.node[1:x.d] = x.node GROUP BY x.node, x.d)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, b.saved_tokens,
+  sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN below b ON b.node = v.node AND b.d = v.d
+  LEFT JOIN node p ON p.d = v.d - 1 AND p.node = v.node[1:v.d - 1]""",
     "op10_embedding_near_dedup": None,
 }
 ORACLE_SQL = {name: sql for name, sql in ORACLE_SQL.items() if sql}
