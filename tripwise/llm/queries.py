@@ -12,8 +12,10 @@ from tripwise.llm import (
     decontaminate,
     lines,
     mixing,
+    nearest,
     ngram_join,
     prefix_trie,
+    spelling,
     substrings,
     toxicity,
     urls,
@@ -91,12 +93,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("row.vec_id", "n_links", "component_id", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = spelling.spelling_groups(table(spark, sf_dir, "documents"))
+    return grouped.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     rebuilt, convs = prefix_trie.crossed(turns)
     return prefix_trie.prefix_trie(rebuilt, convs).drop("digest")
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,7 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_line_dedup,
         op10_embedding_near_dedup,
+        op11_spelling_variants,
         op12_conversation_prefix_trie,
+        op13_nearest_neighbours,
     )
 }
 
@@ -193,6 +206,29 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS k, count(*) AS n
 SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(l), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op11_spelling_variants": f"""
+WITH {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all({FOLD.format('text')}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+once AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+checked AS (SELECT run, k, {CRC.format("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS c FROM once, crc),
+damaged AS (SELECT k, CASE WHEN c % 97 = 0 THEN substr(run, 1, c % length(run)) || substr(run, c % length(run) + 2)
+  ELSE run END AS word FROM checked),
+vocab AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, n, p, substr(word, 1, p - 1) || '|' || substr(word, p + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocab)),
+gone AS (SELECT DISTINCT word, n, replace(rest, '|', '') AS rest FROM cut),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT g.word, g.n, v.word, v.n FROM gone g JOIN vocab v ON g.rest = v.word
+  UNION ALL SELECT v.word, v.n, g.word, g.n FROM gone g JOIN vocab v ON g.rest = v.word),
+best AS (SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n
+  FROM pairs GROUP BY word, n),
+known AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * v.n THEN b.near END AS form,
+    CASE WHEN b.near_n >= 2 * v.n THEN b.near_n END AS form_n FROM vocab v LEFT JOIN best b USING (word))
+SELECT k.*, last.root FROM known k JOIN (
+  WITH RECURSIVE steps AS (SELECT word, word AS root FROM known
+    UNION ALL SELECT s.word, k.form FROM steps s JOIN known k ON k.word = s.root WHERE k.form IS NOT NULL)
+  SELECT s.word, s.root FROM steps s JOIN known k ON k.word = s.root WHERE k.form IS NULL) last USING (word)""",
     "op12_conversation_prefix_trie": f"""
 WITH {CRC_TABLE},
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -214,6 +250,18 @@ SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_chil
   sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM valued v JOIN below b ON b.node = v.node AND b.d = v.d
   LEFT JOIN node p ON p.d = v.d - 1 AND p.node = v.node[1:v.d - 1]""",
+    # The windows of tables of up to about a thousand vectors hold them all; there the search is exact.
+    "op13_nearest_neighbours": """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, q.e,
+    sqrt(list_reduce(list_transform(range(len(q.e)), lambda i: (q.e[i + 1] - c.e[i + 1]) * (q.e[i + 1] - c.e[i + 1])),
+      lambda a, b: a + b, 0e0)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND len(q.e) = len(c.e) AND (q.vec_id <> c.vec_id OR q.e <> c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op10_embedding_near_dedup": None,
 }
 ORACLE_SQL = {name: sql for name, sql in ORACLE_SQL.items() if sql}
