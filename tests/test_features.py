@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tests.plans import plan_of
-from tripwise.operators import features
+from tripwise.operators import features, ranks
 from tripwise.operators.ranks import values_at_ranks
 from tripwise.sources.shared import fresh_path
 from tripwise.sources.tables import TRIP_SCHEMA
@@ -99,6 +99,15 @@ def test_ranks_of_infinite_and_tiny_values(spark):
         values_at_ranks(df, {"x": lambda n: [n]})
 
 
+def test_median_takes_at_most_three_scans(spark, monkeypatch):
+    scans = []
+    monkeypatch.setattr(ranks, "_scanned", lambda df: scans.append(1) or df.collect())
+    df = spark.range(300_000).select((F.xxhash64("id") / F.lit(2.0**40)).alias("x"), (F.col("id") % 7).alias("y"))
+    found = features.exact_medians(df, ["x", "y"])
+    assert len(scans) <= 3
+    assert found == {c: df.agg(F.median(c)).first()[0] for c in "xy"}
+
+
 def test_median_with_a_third_of_all_rows_on_one_value(spark):
     df = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, 7.25).otherwise(F.col("id") / 100.0).alias("x")

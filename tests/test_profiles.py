@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from tests.plans import plan_of
 from tripwise.operators import profiles
+from tripwise.plans.trip_profile import profile_trips, run_profile
 
 NAN = float("nan")
 SCHEMA = "tpep_pickup_datetime timestamp_ntz, fare_amount double, tip_amount double, total_amount double"
@@ -30,7 +31,7 @@ def trips(spark):
         (at(9, 7), None, 1.0, 1.0),
         (at(9, 7), NAN, 1.0, 1.0),
     ]
-    return profiles.valid_trips(spark.createDataFrame(rows, SCHEMA))
+    return profiles.time_cube(profiles.valid_trips(spark.createDataFrame(rows, SCHEMA)))
 
 
 def test_only_positive_fares_count_and_nan_is_skipped(trips):
@@ -66,6 +67,36 @@ def test_both_weekend_definitions(trips):
         profiles.weekend_profile(trips, days="mon")
 
 
+def test_profile_scans_the_trips_once(spark, tmp_path):
+    """The cube is one scan; nothing that the profile returns reads the trips."""
+    path = str(tmp_path / "trips.parquet")
+    spark.createDataFrame([(at(6 + i % 4, i % 24), i / 3, None, 1.0) for i in range(1, 500)], SCHEMA).write.parquet(path)
+    profile = run_profile(spark, path)
+    cube = profiles.time_cube(profiles.valid_trips(spark.read.parquet(path)))
+    assert plan_of(cube).count("FileScan") == 1 and plan_of(cube).count("Exchange") == 1
+    for result in (profile.cube, profile.summary, profile.hourly, profile.busiest_hour, profile.weekend):
+        assert not [file for file in result.inputFiles() if path in file]
+    assert profile.cube.count() <= 169
+
+
+def test_sums_are_exact_and_do_not_depend_on_the_layout(spark):
+    """0.1 ten thousand times beside a large value, in three layouts."""
+    rows = [(at(6, 1), 0.1, 0.1, 1e12)] * 10_000
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {tuple(profiles.revenue_summary(profiles.time_cube(df.repartition(n))).first()) for n in (1, 3, 8)}
+    assert found == {(10_000, 1000.0, 1000.0, 1e16, 0.1, 0.1, 1e12)}
+
+
+def test_profile_of_two_columns_infinite_fares_and_no_rows(spark):
+    rows = [(at(6, 18), 10.0), (at(6, 18), float("inf"))]
+    df = spark.createDataFrame(rows, "tpep_pickup_datetime timestamp_ntz, fare_amount double")
+    profile = profile_trips(df)
+    assert tuple(profile.summary.first()) == (2, 10.0, None, None, 10.0, None, None)
+    assert [tuple(r) for r in profile.hourly.collect()] == [(18, 10.0, 1, 10.0)]
+    empty = profile_trips(df.limit(0))
+    assert empty.summary.first()["total_rides"] == 0 and empty.hourly.count() == 0
+
+
 def test_value_counts_are_sorted_and_skip_null(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
     assert [tuple(r) for r in profiles.value_counts(df, "c").collect()] == [("a", 1), ("b", 2)]

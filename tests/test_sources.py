@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.plans import plan_of
 from tripwise.plans.tip_report import report_tips
 from tripwise.plans.trip_profile import profile_trips, run_profile
-from tripwise.sources.shared import fresh_path, settled, shared_folder, written
+from tripwise.sources.shared import discard, fresh_path, shared_folder, written
 from tripwise.sources.sinks import write_table
 from tripwise.sources.tables import (
     TRIP_COLUMNS,
@@ -82,17 +83,12 @@ def test_nan_becomes_null(spark):
     assert blank_nan(df, ["x", "n"]).agg(F.sum("x"), F.sum("n")).first() == (2.0, 3)
 
 
-def test_settled_keeps_large_frames_lazy(spark):
-    df = spark.range(20).toDF("n")
-    assert settled(df, max_rows=10) is df
-    small = settled(df, max_rows=20)
-    assert small is not df and small.count() == 20
-
-
 def test_written_table_is_under_the_named_folder(spark):
     table = written(spark.range(5).toDF("n"), "numbers")
     assert table.count() == 5
     assert all(shared_folder(spark).removeprefix("file:") in f for f in table.inputFiles())
+    discard(table)
+    assert not Path(table.written_to.removeprefix("file:")).exists()
 
 
 def test_spread_only_adds_partitions_to_narrow_scans(spark, trips):

@@ -135,18 +135,20 @@ SALES = """sales AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     JOIN part ON l_partkey = p_partkey)"""
+MONEY = {c: f"CAST({c} AS DECIMAL(28,4))" for c in ("fare_amount", "tip_amount", "total_amount")}
+SUM = {c: f"CAST(sum({value}) AS DOUBLE)" for c, value in MONEY.items()}
+MEAN = {c: f"CAST(sum({value}) AS DOUBLE) / count({c})" for c, value in MONEY.items()}
 HOURLY = f"""{VALID}, hourly AS (
-  SELECT CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour, avg(fare_amount) AS mean_fare,
-    count(fare_amount) AS trip_count, sum(fare_amount) AS fares
+  SELECT CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour, {MEAN["fare_amount"]} AS avg_fare,
+    count(fare_amount) AS trip_count, {SUM["fare_amount"]} AS total_fare
   FROM valid WHERE tpep_pickup_datetime IS NOT NULL GROUP BY 1)"""
-HOURLY_COLUMNS = "pickup_hour, round(mean_fare, 6) AS avg_fare, trip_count, round(fares, 4) AS total_fare"
 
 
 def _weekend(rule: str) -> str:
     return f"""WITH {VALID}
 SELECT CAST({rule} AS INTEGER) AS is_weekend,
   CASE WHEN {rule} THEN 'weekend' ELSE 'weekday' END AS day_type,
-  count(fare_amount) AS trip_count, round(avg(fare_amount), 6) AS avg_fare
+  count(fare_amount) AS trip_count, {MEAN["fare_amount"]} AS avg_fare
 FROM valid WHERE tpep_pickup_datetime IS NOT NULL GROUP BY 1, 2"""
 
 
@@ -155,10 +157,18 @@ def _ratio(part: str, whole: str) -> str:
 
 
 def _split(table: str, key: str, label: str) -> str:
-    return f"""SELECT *, CASE WHEN rn <= least(CAST(floor(total * 25e-2 + 5e-1) AS BIGINT), total - 1)
-    THEN 'test' ELSE 'train' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {_hash(key, "42")}, {key}) AS rn,
-    count(*) OVER (PARTITION BY {label}) AS total FROM {table})"""
+    return f"""SELECT * EXCLUDE (total, n, tested, whole, rest, room, extra, rn),
+    CASE WHEN rn <= whole + extra THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT t.*, c.* EXCLUDE ({label}),
+      row_number() OVER (PARTITION BY t.{label} ORDER BY {_hash("t." + key, "42")}, t.{key}) AS rn
+    FROM {table} t JOIN (
+      SELECT *, CASE WHEN room AND row_number() OVER (ORDER BY CASE WHEN room THEN rest ELSE -1 END DESC,
+        {label} NULLS FIRST) <= tested - CAST(sum(whole) OVER () AS BIGINT) THEN 1 ELSE 0 END AS extra
+      FROM (SELECT *, whole + 1 < total AS room FROM (
+        SELECT *, least(total * tested // n, total - 1) AS whole, total * tested % n AS rest
+        FROM (SELECT *, CAST(ceil(25e-2 * n) AS BIGINT) AS tested
+          FROM (SELECT {label}, count(*) AS total, CAST(sum(count(*)) OVER () AS BIGINT) AS n
+            FROM {table} GROUP BY {label}))))) c ON t.{label} IS NOT DISTINCT FROM c.{label})"""
 
 
 def _histogram() -> str:
@@ -235,7 +245,7 @@ SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1
 
 
 def oracle_sql() -> dict[str, str]:
-    hourly = f"WITH {HOURLY} SELECT {HOURLY_COLUMNS} FROM hourly"
+    hourly = f"WITH {HOURLY} SELECT * FROM hourly"
     trips_whole = f"WITH {TRIPS} SELECT * FROM trips"
     features_whole = f"WITH {FEATURES} SELECT * FROM features"
     words = "SELECT doc_id, CAST(len(words) AS INTEGER) AS n_words, array_to_string(words, ' ') AS words"
@@ -245,14 +255,18 @@ def oracle_sql() -> dict[str, str]:
     return {
         "hourly_profile": hourly,
         "busiest_hour": f"{hourly} ORDER BY trip_count DESC, pickup_hour LIMIT 1",
-        "highest_avg_fare_hour": f"{hourly} ORDER BY mean_fare DESC, pickup_hour LIMIT 1",
+        "highest_avg_fare_hour": f"{hourly} ORDER BY avg_fare DESC, pickup_hour LIMIT 1",
         "revenue_totals": f"""WITH {VALID}
-SELECT count(*) AS total_rides, round(sum(fare_amount), 4) AS total_fare_amount,
-  round(sum(tip_amount), 4) AS total_tip_amount, round(sum(total_amount), 4) AS total_amount
-FROM valid""",
+SELECT count(*) AS total_rides, {SUM["fare_amount"]} AS total_fare_amount,
+  {SUM["tip_amount"]} AS total_tip_amount, {SUM["total_amount"]} AS total_amount FROM valid""",
         "fare_averages": f"""WITH {VALID}
-SELECT round(avg(fare_amount), 6) AS average_fare, round(avg(tip_amount), 6) AS average_tip,
-  round(avg(total_amount), 6) AS average_total FROM valid""",
+SELECT {MEAN["fare_amount"]} AS average_fare, {MEAN["tip_amount"]} AS average_tip,
+  {MEAN["total_amount"]} AS average_total FROM valid""",
+        "time_cube": f"""WITH {VALID}
+SELECT CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
+  CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS day_of_week, count(*) AS n_rows,
+  {", ".join(f"count({c}) AS {c}_count, {SUM[c]} AS {c}_sum" for c in MONEY)}
+FROM valid GROUP BY 1, 2""",
         "weekday_weekend": _weekend("isodow(tpep_pickup_datetime) >= 6"),
         "weekday_weekend_fri_sat": _weekend("isodow(tpep_pickup_datetime) IN (5, 6)"),
         "trips_preview": f"""WITH {TRIPS}

@@ -20,10 +20,11 @@ def sunday_based_day(ts: str | Column) -> Column:
     return F.dayofweek(ts)
 
 
-def is_weekend(ts: str | Column, days: str = "sat_sun") -> Column:
-    """``sat_sun`` is the calendar weekend; ``fri_sat`` is day number 6 and up, counted from Sunday."""
+def is_weekend_day(day: str | Column, days: str = "sat_sun") -> Column:
+    """Of a day numbered from Sunday: ``sat_sun`` is the calendar weekend, ``fri_sat`` is day 6 and up."""
+    day = F.col(day) if isinstance(day, str) else day
     if days == "sat_sun":
-        return monday_based_day(ts) >= 5
+        return day.isin(7, 1)
     if days == "fri_sat":
-        return sunday_based_day(ts) >= 6
+        return day >= 6
     raise ValueError(f"Unknown weekend definition: {days}")

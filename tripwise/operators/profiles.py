@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.functions.timeparts import is_weekend, pickup_hour
+from tripwise.functions.timeparts import is_weekend_day, pickup_hour, sunday_based_day
 from tripwise.sources.tables import blank_nan
 
 PICKUP = "tpep_pickup_datetime"
 MEASURES = ("fare_amount", "tip_amount", "total_amount")
+MONEY = "decimal(28,4)"
 
 
 def above(column: str, bound: float, inclusive: bool = False) -> Column:
@@ -35,29 +36,57 @@ def preview(df: DataFrame, key: str, n: int = 5, columns: list[str] | None = Non
     return first.select(*columns) if columns else first
 
 
-def revenue_summary(trips: DataFrame) -> DataFrame:
-    """Ride count, sums and means of the three money columns in one pass over the data."""
-    return trips.agg(
-        F.count("*").alias("total_rides"),
-        F.sum("fare_amount").alias("total_fare_amount"),
-        F.sum("tip_amount").alias("total_tip_amount"),
-        F.sum("total_amount").alias("total_amount"),
-        F.avg("fare_amount").alias("average_fare"),
-        F.avg("tip_amount").alias("average_tip"),
-        F.avg("total_amount").alias("average_total"),
+def time_cube(df: DataFrame, ts: str = PICKUP) -> DataFrame:
+    """Row count, and per money column value count and sum, for each hour and day of the week.
+
+    At most 24 x 7 rows and one for trips without a time, whatever the size of the table; every
+    profile of this module rolls them up. ``day_of_week`` is 1 = Sunday to 7 = Saturday. Money is
+    added up as decimals, to a hundredth of a cent, so sums do not depend on their order; a value
+    that no decimal holds (infinity) is missing. A measure that the table does not have is too.
+    """
+    present = [c for c in MEASURES if c in df.columns]
+    money = {c: F.col(c).try_cast(MONEY) if c in present else F.lit(None).cast(MONEY) for c in MEASURES}
+    rows = df.select(
+        pickup_hour(ts).alias("pickup_hour"),
+        sunday_based_day(ts).alias("day_of_week"),
+        *[value.alias(c) for c, value in money.items()],
+    )
+    counts = [F.count(c).alias(f"{c}_count") for c in MEASURES]
+    sums = [F.sum(c).alias(f"{c}_sum") for c in MEASURES]
+    return rows.groupBy("pickup_hour", "day_of_week").agg(F.count("*").alias("n_rows"), *counts, *sums)
+
+
+def _total(measure: str) -> Column:
+    return F.sum(f"{measure}_sum").cast("double")
+
+
+def _mean(measure: str) -> Column:
+    return F.try_divide(_total(measure), F.sum(f"{measure}_count").cast("double"))
+
+
+def _count(measure: str) -> Column:
+    return F.coalesce(F.sum(f"{measure}_count"), F.lit(0)).cast("bigint")
+
+
+def revenue_summary(cube: DataFrame) -> DataFrame:
+    """Ride count, sums and means of the three money columns."""
+    return cube.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("total_rides"),
+        _total("fare_amount").alias("total_fare_amount"),
+        _total("tip_amount").alias("total_tip_amount"),
+        _total("total_amount").alias("total_amount"),
+        _mean("fare_amount").alias("average_fare"),
+        _mean("tip_amount").alias("average_tip"),
+        _mean("total_amount").alias("average_total"),
     )
 
 
-def hourly_profile(trips: DataFrame, ts: str = PICKUP, fare: str = "fare_amount") -> DataFrame:
-    """Mean fare, trip count and fare total per pickup hour, in hour order."""
+def hourly_profile(cube: DataFrame, fare: str = "fare_amount") -> DataFrame:
+    """Mean fare, trip count and fare total per pickup hour, in hour order; trips without a time are left out."""
     return (
-        trips.filter(F.col(ts).isNotNull())
-        .groupBy(pickup_hour(ts).alias("pickup_hour"))
-        .agg(
-            F.avg(fare).alias("avg_fare"),
-            F.count(fare).alias("trip_count"),
-            F.sum(fare).alias("total_fare"),
-        )
+        cube.filter(F.col("pickup_hour").isNotNull())
+        .groupBy("pickup_hour")
+        .agg(_mean(fare).alias("avg_fare"), _count(fare).alias("trip_count"), _total(fare).alias("total_fare"))
         .orderBy("pickup_hour")
     )
 
@@ -75,15 +104,13 @@ def highest_avg_fare_hour(hourly: DataFrame) -> DataFrame:
     return top_hour(hourly, "avg_fare")
 
 
-def weekend_profile(
-    trips: DataFrame, ts: str = PICKUP, fare: str = "fare_amount", days: str = "sat_sun"
-) -> DataFrame:
+def weekend_profile(cube: DataFrame, fare: str = "fare_amount", days: str = "sat_sun") -> DataFrame:
     """Trip count and mean fare, weekdays against the weekend."""
-    part = F.when(is_weekend(ts, days), "weekend").otherwise("weekday")
+    part = F.when(is_weekend_day("day_of_week", days), "weekend").otherwise("weekday")
     return (
-        trips.filter(F.col(ts).isNotNull())
+        cube.filter(F.col("day_of_week").isNotNull())
         .groupBy(part.alias("day_type"))
-        .agg(F.count(fare).alias("trip_count"), F.avg(fare).alias("avg_fare"))
+        .agg(_count(fare).alias("trip_count"), _mean(fare).alias("avg_fare"))
         .withColumn("is_weekend", (F.col("day_type") == "weekend").cast("int"))
         .select("is_weekend", "day_type", "trip_count", "avg_fare")
     )

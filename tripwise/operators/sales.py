@@ -1,7 +1,7 @@
 """Sales dashboard aggregates over ``sale_date, region, category, sales, profit``.
 
 Amounts are decimals, so sums do not depend on the order in which tasks finish.
-Where a result needs a total over its own groups, the groups are settled first;
+Where a result needs a total over its own groups, the groups are written first;
 as a subquery the total would run the whole aggregation a second time.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.sources.shared import settled
+from tripwise.sources.shared import written
 
 
 def filter_sales(
@@ -37,7 +37,8 @@ def daily_sales(sales: DataFrame) -> DataFrame:
 
 def profit_share(sales: DataFrame) -> DataFrame:
     """Profit per category and its share of the whole profit."""
-    per_category = settled(sales.groupBy("category").agg(F.sum("profit").alias("profit")))
+    per_category = sales.groupBy("category").agg(F.sum("profit").alias("profit"))
+    per_category = written(per_category, "category_profit")
     whole = per_category.agg(F.sum("profit").cast("double").alias("profit")).scalar()
     profit = F.col("profit").cast("double")
     return per_category.select(
@@ -47,9 +48,8 @@ def profit_share(sales: DataFrame) -> DataFrame:
 
 def underperforming_regions(sales: DataFrame) -> DataFrame:
     """Regions that sell less than the mean region."""
-    per_region = settled(
-        sales.groupBy("region").agg(F.sum("sales").cast("double").alias("sales"))
-    )
+    per_region = sales.groupBy("region").agg(F.sum("sales").cast("double").alias("sales"))
+    per_region = written(per_region, "region_sales")
     mean = per_region.agg(F.avg("sales").alias("sales")).scalar()
     return per_region.filter(F.col("sales") < mean)
 

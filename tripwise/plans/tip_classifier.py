@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tripwise.operators.features import (
     CATEGORICAL_FEATURES,
@@ -35,8 +34,8 @@ class TipClassifier:
     predictions: DataFrame
 
     def metrics(self) -> DataFrame:
-        area = roc_auc(self.predictions, TARGET)
-        return binary_metrics(self.predictions, TARGET).withColumn("roc_auc", F.lit(area))
+        area = roc_auc(self.predictions, TARGET).select("roc_auc").scalar()
+        return binary_metrics(self.predictions, TARGET).withColumn("roc_auc", area)
 
     def report(self) -> DataFrame:
         whole = self.predictions.withColumn("prediction", self.predictions["prediction"].cast("int"))

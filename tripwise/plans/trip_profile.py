@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tripwise.operators import profiles
+from tripwise.sources.shared import written
 from tripwise.sources.sinks import write_table
 from tripwise.sources.tables import load_table, require_columns
 
@@ -16,8 +17,9 @@ PROFILE_COLUMNS = [profiles.PICKUP, *profiles.MEASURES]
 
 @dataclass
 class TripProfile:
-    """Lazy results; each one is a single scan with a partial aggregation."""
+    """``cube`` is a written table of at most 169 rows; the others roll it up and read no trip."""
 
+    cube: DataFrame
     summary: DataFrame
     hourly: DataFrame
     busiest_hour: DataFrame
@@ -26,16 +28,18 @@ class TripProfile:
 
 
 def profile_trips(trips: DataFrame, weekend_days: str = "sat_sun") -> TripProfile:
+    """All profiles of the valid trips from one scan of them."""
     require_columns(trips, [profiles.PICKUP, "fare_amount"])
     used = trips.select(*[c for c in PROFILE_COLUMNS if c in trips.columns])
-    valid = profiles.valid_trips(used)
-    hourly = profiles.hourly_profile(valid)
+    cube = written(profiles.time_cube(profiles.valid_trips(used)), "time_cube")
+    hourly = profiles.hourly_profile(cube)
     return TripProfile(
-        summary=profiles.revenue_summary(valid),
+        cube=cube,
+        summary=profiles.revenue_summary(cube),
         hourly=hourly,
         busiest_hour=profiles.busiest_hour(hourly),
         highest_avg_fare_hour=profiles.highest_avg_fare_hour(hourly),
-        weekend=profiles.weekend_profile(valid, days=weekend_days),
+        weekend=profiles.weekend_profile(cube, days=weekend_days),
     )
 
 

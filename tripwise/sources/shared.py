@@ -1,13 +1,11 @@
-"""Shared folder for written intermediates, and small frames of proven size."""
+"""Shared folder for written intermediates."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -44,25 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, f"{name}.parquet")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def small_table(df: DataFrame, max_rows: int = 10_000) -> pa.Table | None:
-    """The computed rows if there are at most ``max_rows`` of them, else ``None``."""
-    head = df.limit(max_rows + 1).toArrow()
-    return head if head.num_rows <= max_rows else None
-
-
-def settled(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Compute a small aggregate once and hand it back as a broadcast frame.
-
-    The size is checked: with more than ``max_rows`` rows the lazy frame comes
-    back untouched, without a hint, and Spark joins it by shuffling.
-    """
-    return broadcast_rows(df, small_table(df, max_rows))
-
-
-def broadcast_rows(df: DataFrame, rows: pa.Table | None) -> DataFrame:
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``written`` wrote, once nothing reads it any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
