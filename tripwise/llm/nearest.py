@@ -2,8 +2,8 @@
 
 Vectors are projected to a few dimensions by random orthonormal directions, shifted at random and
 ordered along a Hilbert curve, once for each of ``CURVES`` curves. Spark range-partitions each
-ordering; its rows are packed into blocks in order, and a query is compared with the vectors of the
-blocks within ``window`` places of its own on every curve. What the curves find is merged, and the best
+ordering and numbers its rows; consecutive places are blocks, and a query is compared with the vectors
+of the blocks within ``window`` places of its own on every curve. What the curves find is merged, and the best
 are ranked again by the exact distance of the original vectors.
 
 The window is not a constant: true neighbours of a bounded sample of vectors are found by brute force,
@@ -24,13 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
 
-from tripwise.llm.tables import discard
-from tripwise.sources.shared import written
+from tripwise.operators.ranks import numbered
+from tripwise.sources.shared import discard, written
 
 CURVES = 8
 DIMENSIONS = 8
@@ -40,19 +38,7 @@ SAMPLE_QUERIES = 128
 TARGET_RECALL = 0.96
 LEAST_WINDOW = 1024
 BLOCK = 1024
-#: Consecutive rows of a curve; ``at`` counts those before them in the same partition.
-BLOCKS = pa.schema(
-    [
-        *[(name, pa.int32()) for name in ("part", "length", "curve")],
-        *[(name, pa.int64()) for name in ("seq", "at", "n")],
-        ("classes", pa.binary()),
-        ("codes", pa.binary()),
-        ("n_asking", pa.int64()),
-        ("asking", pa.binary()),
-        ("ask_codes", pa.binary()),
-    ]
-)
-#: Blocks whose queries search another block together.
+#: Queries from so many consecutive blocks search another block together.
 QUERY_BLOCKS = 64
 
 
@@ -262,9 +248,9 @@ def fit_window(
     return max(LEAST_WINDOW, int(needed.agg(F.percentile("n", target_recall)).first()[0]) + 1)
 
 
-def _placed(shared):
+def _coded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every class on every curve, its scaled vector as 32-bit numbers."""
+        """Every class with its keys on all curves and its scaled vector as 32-bit numbers."""
         curves = shared.value
         most = np.finfo(np.float32).max
         for batch in batches:
@@ -273,119 +259,76 @@ def _placed(shared):
                     part = rows.slice(at, 2048)
                     scaled = x[at : at + 2048] * curves.scale
                     codes = np.clip(scaled, -most, most).astype(np.float32)
-                    codes = pa.array([c.tobytes() for c in codes], pa.binary())
-                    n = part.num_rows
-                    for curve, keys in enumerate(curves.keys(scaled)):
-                        columns = [
-                            pa.array(np.full(n, x.shape[1], np.int32)),
-                            pa.array(np.full(n, curve, np.int32)),
-                            pa.array(keys),
-                            part["class"],
-                            part["asks"],
-                            codes,
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, ["length", "curve", "key", "class", "asks", "code"])
+                    columns = [
+                        part["class"],
+                        part["asks"],
+                        pa.array(np.full(part.num_rows, x.shape[1], np.int64)),
+                        pa.array(list(curves.keys(scaled).T), pa.list_(pa.int64())),
+                        pa.array([c.tobytes() for c in codes], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["class", "asks", "length", "keys", "code"])
 
     return run
 
 
-def _packed(block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows as blocks of one curve."""
-        part, seq, at = TaskContext.get().partitionId(), 0, 0
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def closed():
-            nonlocal seq, at, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            asking = table.filter(table["asks"])
-            first = table.slice(0, 1).to_pylist()[0]
-            row = [part, first["length"], first["curve"], seq, at, size]
-            for side in (table, asking):
-                if side is asking:
-                    row.append(len(side))
-                row += [side["class"].to_numpy().tobytes(), b"".join(side["code"].to_pylist())]
-            seq, at, size = seq + 1, at + size, 0
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, BLOCKS)], schema=BLOCKS)
-
-        curve = None
-        for batch in batches:
-            group = batch["length"].to_numpy().astype(np.int64) << 32 | batch["curve"].to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for low, high in zip(edges, edges[1:]):
-                if low == high:
-                    continue
-                if group[low] != curve:
-                    if size:
-                        yield closed()
-                    curve, at = group[low], 0
-                while low < high:
-                    take = min(block - size, high - low)
-                    held.append(batch.slice(low, take))
-                    size, low = size + take, low + take
-                    if size == block:
-                        yield closed()
-        if size:
-            yield closed()
-
-    return run
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and vectors of coded rows of one length."""
+    codes = b"".join(table["code"].to_pylist())
+    x = np.frombuffer(codes, np.float32).reshape(table.num_rows, -1)
+    return table["class"].to_numpy(), x.astype(np.float64)
 
 
 def _searched(count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(visitors: pa.Table, held: pa.Table) -> pa.Table:
         """The ``count`` nearest of a block for each query that visits it."""
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                length = row["length"]
-                x = np.frombuffer(row["codes"], np.float32).reshape(-1, length).astype(np.float64)
-                names = np.frombuffer(row["classes"], np.int64)
-                for visit in row["visits"]:
-                    q = np.frombuffer(visit["ask_codes"], np.float32).reshape(-1, length).astype(np.float64)
-                    d = _squared(q, x)
-                    best = _least(d, count)
-                    found = np.take_along_axis(d, best, axis=1)
-                    asking = np.repeat(np.frombuffer(visit["asking"], np.int64), best.shape[1])
-                    columns = [pa.array(asking), pa.array(names[best.ravel()]), pa.array(found.ravel())]
-                    yield pa.RecordBatch.from_arrays(columns, ["query", "class", "d"])
+        found = []
+        if visitors.num_rows and held.num_rows:
+            names, x = _matrix(held)
+            for at in range(0, visitors.num_rows, 1024):
+                asking, q = _matrix(visitors.slice(at, 1024))
+                d = _squared(q, x)
+                best = _least(d, count)
+                nearest = np.take_along_axis(d, best, axis=1)
+                found.append((np.repeat(asking, best.shape[1]), names[best.ravel()], nearest.ravel()))
+        columns = [np.concatenate(c) for c in zip(*found)] or [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(dict(zip(("query", "class", "d"), columns)))
 
     return run
 
 
 def window_candidates(classes: DataFrame, curves: Curves, window: int, count: int, block: int = BLOCK) -> DataFrame:
-    """``query, class, d``: the nearest classes in the windows of each asking class, ``count`` at least of each."""
+    """``query, class, d``: the nearest classes in the windows of each asking class, ``count`` at least of each.
+
+    Only keys are sorted; a vector is sent once for each curve, to the block of its place.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(curves)
-    order = ("length", "curve", "key", "class")
-    placed = classes.mapInArrow(
-        _placed(shared), "length int, curve int, key bigint, class bigint, asks boolean, code binary"
-    )
-    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = written(placed.mapInArrow(_packed(block), from_arrow_schema(BLOCKS)), "curve_blocks")
-
-    places = blocks.groupBy("part", "length", "curve").agg(F.sum("n").alias("rows"))
-    earlier = Window.partitionBy("length", "curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = places.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
-    start = F.col("before") + F.col("at")
-    where = ["part", "length", "curve"]
-    targets = blocks.select(*where, "seq", "at", "n").join(places, where)
-    targets = targets.select(*where, "seq", start.alias("start"), "n", (F.floor(start / block)).alias("cell"))
-    asking = blocks.filter("n_asking > 0").select(*where, "at", F.col("n").alias("own_n"), "asking", "ask_codes")
-    asking = asking.join(places, where).withColumn("own", start)
-    first = F.floor((F.col("own") - window - block) / block)
-    last = F.floor((F.col("own") + F.col("own_n") + window) / block)
-    asking = asking.withColumn("cell", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    asking = asking.drop("part", "at", "before")
-    met = targets.join(asking, ["length", "curve", "cell"])
-    near = (F.col("start") < F.col("own") + F.col("own_n") + window) & (F.col("start") + F.col("n") > F.col("own") - window)
-    together = F.floor(F.col("own") / (block * QUERY_BLOCKS))
-    visits = met.filter(near).groupBy("part", "seq", together.alias("together"))
-    visits = visits.agg(F.collect_list(F.struct("asking", "ask_codes")).alias("visits"))
-    pairs = blocks.select("part", "seq", "length", "classes", "codes").join(visits, ["part", "seq"])
-    found = pairs.select("length", "classes", "codes", "visits").mapInArrow(
-        _searched(count), "query bigint, class bigint, d double"
-    )
+    schema = "class bigint, asks boolean, length bigint, keys array<bigint>, code binary"
+    coded = written(classes.mapInArrow(_coded(shared), schema), "coded")
+    placed = coded.select("class", "asks", "length", F.posexplode("keys").alias("curve", "key"))
+    placed = numbered(placed, ["key", "class"], ["length", "curve"])
+    placed = written(placed.select("class", "asks", "length", "curve", (F.col("place") - 1).alias("place")), "places")
+    codes = coded.select("class", "code")
+    run = block * QUERY_BLOCKS
+    where = ("length", "curve", "block", "run")
+
+    def whole(place: Column, size: int) -> Column:
+        return F.floor(F.greatest(place, F.lit(0)) / size)
+
+    place = F.col("place")
+    asking = placed.filter("asks").withColumn("run", whole(place, run)).join(codes, "class")
+    visited = F.sequence(whole(place - window, block), whole(place + window, block))
+    visitors = asking.withColumn("block", F.explode(visited))
+    # Queries visit a block by runs of their places; the block goes to every run that may reach it.
+    held = placed.withColumn("block", whole(place, block))
+    first, last = F.col("block") * block - window, F.col("block") * block + (block - 1) + window
+    reached = F.sequence(whole(first - block, run), whole(last + block, run))
+    reached = held.select("length", "curve", "block").distinct().withColumn("run", F.explode(reached))
+    reached = reached.join(visitors.select(*where).distinct(), list(where), "left_semi")
+    held = held.join(reached, ["length", "curve", "block"]).join(codes, "class")
+    columns = (*where, "class", "code")
+    visitors, held = (side.select(*columns).toDF(*columns).groupBy(*where) for side in (visitors, held))
+    pairs = visitors.cogroup(held)
+    found = pairs.applyInArrow(_searched(count), "query bigint, class bigint, d double")
     return found.groupBy("query", "class").agg(F.min("d").alias("d"))
 
 

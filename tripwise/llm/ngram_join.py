@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.llm.components import components
-from tripwise.llm.tables import discard, parts_for, text_bytes
+from tripwise.llm.tables import parts_for, text_bytes
 from tripwise.llm.words import Words, mixed, packed, per_worker, slices, space_words, words_of
-from tripwise.sources.shared import written
+from tripwise.sources.shared import discard, written
 
 SHINGLE = 3
 PERCENT = 90

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwise.llm.tables import discard
-from tripwise.sources.shared import written
+from tripwise.operators.ranks import numbered
+from tripwise.sources.shared import discard, written
 
 #: Consecutive turns that are summed in one go.
 CHUNK_TURNS = 65_536
@@ -56,17 +56,8 @@ def ordered_turns(
         turn_digest(F.coalesce(F.col(role).cast("string"), F.lit("")), said).alias("digest"),
         F.octet_length(said).cast("bigint").alias("bytes"),
     )
-    ranged = turns.repartitionByRange("conv_id", "turn", "digest")
-    ranged = written(ranged.withColumn("part", F.spark_partition_id()), "turns")
-    of_part = Window.partitionBy("conv_id", "part").orderBy("turn", "digest")
-    counts = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    numbered = ranged.withColumn("place", F.row_number().over(of_part)).join(counts, ["conv_id", "part"])
-    pos = (F.col("place") + F.col("before")).alias("pos")
-    out = written(numbered.select("conv_id", pos, "digest", "bytes"), "ordered_turns")
-    discard(ranged)
-    return out
+    placed = numbered(turns, ["turn", "digest"], ["conv_id"], "pos")
+    return written(placed.select("conv_id", "pos", "digest", "bytes"), "ordered_turns")
 
 
 def crossed(turns: DataFrame, group: int = 5, modulus: int = 9) -> tuple[DataFrame, DataFrame]:

@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.llm.tables import discard
-from tripwise.sources.shared import written
+from tripwise.sources.shared import discard, written
 
 LETTERS = "[a-zÀ-ÿ]+"
 LEAST_LENGTH = 5
@@ -284,15 +283,15 @@ def roots(forms: DataFrame) -> DataFrame:
     links = written(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        joined = links.join(ahead, "root", "left")
+        joined = links.select("word", "root").join(ahead, "root", "left")
         longer = written(
             joined.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")),
             "roots",
         )
         discard(links)
-        links = longer.select("word", "root")
-        if longer.filter("moved").isEmpty():
-            return links
+        links = longer
+        if links.filter("moved").isEmpty():
+            return links.select("word", "root")
 
 
 def spelling_groups(

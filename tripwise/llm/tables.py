@@ -20,12 +20,3 @@ def parts_for(n_bytes: int, least: int = 12, task_bytes: int = TASK_BYTES) -> in
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove written intermediates that nothing reads any more."""
-    for written in tables:
-        spark = written.sparkSession
-        for folder in {file.rpartition("/")[0] for file in written.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
