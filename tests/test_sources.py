@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.plans import plan_of
+from tripwise.operators import profiles
 from tripwise.plans.tip_report import report_tips
 from tripwise.plans.trip_profile import profile_trips, run_profile
 from tripwise.sources.shared import discard, fresh_path, shared_folder, written
@@ -16,7 +17,6 @@ from tripwise.sources.tables import (
     load_table,
     parse_timestamps,
     require_columns,
-    spread_scan,
 )
 
 TS = dt.datetime(2023, 1, 6, 18, 30, 0, 123456)
@@ -91,20 +91,12 @@ def test_written_table_is_under_the_named_folder(spark):
     assert not Path(table.written_to.removeprefix("file:")).exists()
 
 
-def test_spread_only_adds_partitions_to_narrow_scans(spark, trips):
-    path = write_table(trips.coalesce(1), fresh_path(spark, "t.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    assert spread_scan(load_table(spark, path)).rdd.getNumPartitions() == cores
-    wide = spark.range(100, numPartitions=cores + 1)
-    assert spread_scan(wide) is wide
-
-
 def test_profile_reads_four_columns_and_pushes_the_fare_filter(spark, trips):
     path = write_table(trips, fresh_path(spark, "t.parquet"))
-    plan = plan_of(run_profile(spark, path).hourly, "formatted")
+    plan = plan_of(profiles.time_cube(profiles.valid_trips(load_table(spark, path))), "formatted")
     assert "GreaterThan(fare_amount,0.0)" in plan
-    assert "IsNotNull(tpep_pickup_datetime)" in plan
-    assert "ReadSchema: struct<tpep_pickup_datetime:timestamp_ntz,fare_amount:double>" in plan
+    read = "tpep_pickup_datetime:timestamp_ntz,fare_amount:double,tip_amount:double,total_amount:double"
+    assert f"ReadSchema: struct<{read}>" in plan
     projected = load_table(spark, path).select(*TRIP_COLUMNS[:2])
     assert "ReadSchema: struct<tpep_pickup_datetime:timestamp_ntz,VendorID:bigint>" in plan_of(
         projected, "formatted"

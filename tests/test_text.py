@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import functions as F
 
 from tests.plans import plan_of
 from tripwise.functions.text import (
@@ -13,12 +14,14 @@ from tripwise.functions.text import (
     clean_text,
     drop_stop_words,
     tokens,
+    with_counts,
     with_terms,
     word_ngrams,
 )
 from tripwise.operators import sentiment, tfidf
 from tripwise.plans.review_sentiment import review_sentiment
 from tripwise.sources.reviews import synthetic_reviews
+from tripwise.sources.shared import written
 
 TEXTS = [
     "",
@@ -106,33 +109,42 @@ def tfidf_by_hand(texts, min_df, max_df):
     return rows
 
 
-@pytest.mark.parametrize("broadcast_bytes", [tfidf.BROADCAST_BYTES, 0])
-def test_tfidf_by_broadcast_and_by_salted_join(spark, broadcast_bytes):
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(["a", "b", "ab", "", "é", None]))), min_size=1))
+def test_counts_inside_the_row(spark, rows):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, terms array<string>")
+    counted = with_counts(df, "terms", "counts")
+    assert "Exchange" not in plan_of(counted)
+    for r in counted.collect():
+        wanted = sorted(Counter(t for t in r["terms"] or [] if t is not None).items())
+        assert [tuple(c) for c in r["counts"] or []] == wanted
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_tfidf_by_broadcast_and_by_shuffle(spark, threshold):
     texts = TEXTS + ["great items", "broken phone great", "phone broken items", "great"]
-    docs = with_terms(frame(spark, texts))
-    model = tfidf.fit_tfidf(docs, min_df=2, max_df=0.3)
-    weights = model.transform(docs, "doc_id", broadcast_bytes=broadcast_bytes)
-    found = {(r["doc_id"], r["term"]): r["tfidf"] for r in weights.collect()}
+    docs = tfidf.term_vectors(with_terms(frame(spark, texts)), "doc_id")
+    model = tfidf.fit_tfidf(docs, "counts.term", min_df=2, max_df=0.3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        weights = model.transform(docs, "doc_id")
+        found = {(r["doc_id"], r["term"]): r["tfidf"] for r in weights.collect()}
+        assert ("BroadcastHashJoin" in plan_of(weights)) == (threshold == "10MB")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found == pytest.approx(dict(tfidf_by_hand(texts, 2, 0.3)))
     assert model.n_terms == model.vocabulary.count()
-    assert ("_salt" in plan_of(weights)) == (broadcast_bytes == 0)
-
-
-def test_salted_join_with_a_third_of_the_facts_on_one_key(spark):
-    facts = spark.range(9000).selectExpr("id", "IF(id % 3 = 0, 'hot', concat('k', id % 700)) AS term")
-    lookup = facts.groupBy("term").count().withColumnRenamed("count", "df")
-    joined = tfidf.salted_join(facts, lookup, "term", "df", "id", heavy=2, salts=8)
-    assert joined.columns == ["term", "id", "df"]
-    assert joined.count() == 9000
-    assert joined.filter("term = 'hot' AND df = 3000").count() == 3000
 
 
-def test_texts_move_once_and_whole(spark):
-    docs = with_terms(tfidf.by_document(frame(spark, TEXTS), "doc_id"))
-    model = tfidf.fit_tfidf(docs)
-    plan = plan_of(model.transform(docs, "doc_id"))
+def test_terms_are_counted_and_weighted_without_moving_texts(spark):
+    docs = with_terms(frame(spark, TEXTS))
+    assert "Exchange" not in plan_of(tfidf.term_counts(docs, "doc_id"))
+    plan = plan_of(tfidf.fit_tfidf(docs).transform(tfidf.term_vectors(docs, "doc_id"), "doc_id"))
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan
+    shuffled = plan.split("Exchange hashpartitioning")[1].splitlines()[1]
+    assert "Project" in shuffled and "text" not in shuffled
 
 
 def test_reviews_are_balanced_and_repeatable(spark):
@@ -151,31 +163,67 @@ def test_reviews_are_balanced_and_repeatable(spark):
             assert lexicon[first] == lexicon[second] == (1.0 if r["sentiment"] == "positive" else -1.0)
 
 
+def polar(spark, words, lexicon):
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, words array<string>")
+    table = sentiment.lexicon_table(spark, lexicon)
+    rows = sentiment.text_polarity(df, "id", "words", table).orderBy("id").collect()
+    return [r["polarity"] for r in rows]
+
+
 def test_polarity_and_classes(spark):
-    words = [["great", "great", "bad"], ["bad"], ["table"], ["great", "bad"], []]
-    df = spark.createDataFrame([(w,) for w in words], "words array<string>")
-    rows = sentiment.with_sentiment(df, "words", sentiment.REVIEW_LEXICON).collect()
-    assert [r["polarity"] for r in rows] == pytest.approx([1 / 3, -1, 0, 0, 0])
-    assert [r["sentiment_class"] for r in rows] == ["Positive", "Negative", "Neutral", "Neutral", "Neutral"]
-    graded = sentiment.polarity("words", {"great": 0.8, "bad": -0.5})
-    assert [r[0] for r in df.select(graded).collect()][:2] == pytest.approx([(0.8 * 2 - 0.5) / 3, -0.5])
-
-
-def test_phrases_per_class_are_pruned_before_the_shuffle(spark):
-    rows = [("p", ["fast delivery", "fast delivery", "ok"]), ("n", ["broken items", "late"]), ("n", ["late"])]
-    df = spark.createDataFrame(rows, "c string, phrases array<string>")
-    top = sentiment.class_phrases(df, "c", "phrases", k=1)
-    assert {(r["c"], r["phrase"], r["n"]) for r in top.collect()} == {
-        ("p", "fast delivery", 2),
-        ("n", "late", 2),
-    }
+    words = [["great", "great", "bad"], ["bad"], ["table"], ["great", "bad"], [], None]
+    found = polar(spark, words, sentiment.REVIEW_LEXICON)
+    assert found == pytest.approx([1 / 3, -1, 0, 0, 0, 0])
+    graded = polar(spark, words, {"great": 0.8, "bad": -0.5, "table": float("inf")})
+    assert graded == pytest.approx([(0.8 * 2 - 0.5) / 3, -0.5, 0, 0.15, 0, 0])
+    df = spark.createDataFrame([(0.1,), (0.0,), (-0.2,)], "p double")
+    classes = [r[0] for r in df.select(sentiment.sentiment_class("p")).collect()]
+    assert classes == ["Positive", "Neutral", "Negative"]
+
+
+def test_plan_of_polarity_does_not_grow_with_the_lexicon(spark):
+    df = spark.createDataFrame([(1, ["w1", "w7"])], "id int, words array<string>")
+    plans, found = set(), []
+    for size in (10, 10_000):
+        rows = spark.range(size).selectExpr("concat('w', id) AS word", "id / 100 AS polarity")
+        scored = sentiment.text_polarity(df, "id", "words", written(rows, "lexicon"))
+        plans.add(len(plan_of(scored).splitlines()))
+        found.append(scored.first()["polarity"])
+        assert "Exchange" in plan_of(scored) and "words" not in plan_of(scored).split("Exchange")[1].splitlines()[0]
+    assert len(plans) == 1 and found == [0.04, 0.04]
+
+
+def test_learned_lexicon(spark):
+    rows = [(["good", "good", "film"], True)] * 6 + [(["bad", "film"], False)] * 6 + [(["rare"], True), (None, False), (["film"], None)]
+    df = spark.createDataFrame(rows, "words array<string>, up boolean")
+    found = {r["word"]: r["polarity"] for r in sentiment.learned_lexicon(df, "words", F.col("up")).collect()}
+    p, q = 7 / 9, 1 / 9
+    assert found == {"good": pytest.approx((p - q) / (p + q)), "bad": pytest.approx((q - p) / (p + q))}
+    assert sentiment.learned_lexicon(df.limit(0), "words", F.col("up")).count() == 0
+
+
+def g2(a, b, c, d):
+    """Log-likelihood ratio of a of c against b of d."""
+    share = (a + b) / (c + d)
+    return 2 * sum(n * math.log(n / (size * share)) for n, size in ((a, c), (b, d)) if n)
+
+
+def test_phrases_mark_a_class_rather_than_being_frequent(spark):
+    rows = [("p", ["fast delivery"] * 6 + ["the item"] * 20)] + [("n", ["the item"] * 25 + ["broken items"] * 3 + ["late"])]
+    df = spark.createDataFrame(rows + [(None, ["the item"])], "c string, phrases array<string>")
+    top = sentiment.class_phrases(df, "c", "phrases", k=2)
+    found = {(r["c"], r["rank"]): (r["phrase"], r["n"], r["g2"]) for r in top.collect()}
+    assert found["p", 1] == ("fast delivery", 6, pytest.approx(g2(6, 0, 26, 30), abs=1e-6))
+    assert found["n", 1] == ("broken items", 3, pytest.approx(g2(3, 0, 29, 27), abs=1e-6))
+    assert found[None, 1] == ("the item", 1, pytest.approx(g2(1, 45, 1, 55), abs=1e-6))
+    assert ("p", 2) not in found
     assert "WindowGroupLimit" in plan_of(top)
 
 
 def test_lexicon_may_hold_stop_words(spark):
     reviews = frame(spark, ["not what we ordered", "broken items again, broken items"])
-    result = review_sentiment(reviews, lexicon={"not": -1.0, "broken": -0.5}, phrases_per_class=1)
+    result = review_sentiment(reviews, "doc_id", lexicon={"not": -1.0, "broken": -0.5}, phrases_per_class=1)
     assert [r["polarity"] for r in result.scored.orderBy("doc_id").collect()] == [-1.0, -0.5]
     assert [tuple(r) for r in result.classes.collect()] == [("Negative", 2)]
-    assert [(r["phrase"], r["n"]) for r in result.phrases.collect()] == [("broken items", 2)]
+    assert result.phrases.count() == 0
     assert result.scored.columns == ["doc_id", "text", "polarity", "sentiment_class"]

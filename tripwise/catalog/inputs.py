@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise.sources.reviews import reviews_for
-from tripwise.sources.tables import load_table, spread_scan
+from tripwise.sources.tables import load_table
 
 # One text for both engines; ``{events}`` is the events table. The case
 # distinctions put nulls, zeros and negative values among the trips.
@@ -77,10 +77,21 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A positive and a negative review per order."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return reviews_for(spread_scan(orders), "o_orderkey")
+    return reviews_for(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-def documents(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spread_scan(texts) if spread else texts
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, sentiment`` of the labelled documents; toxic ones are the negative ones."""
+    labels = table(spark, sf_dir, "labels").filter("toxic IS NOT NULL")
+    sentiment = F.when(F.col("toxic") == 1, "negative").otherwise("positive").alias("sentiment")
+    known = table(spark, sf_dir, "documents").select("doc_id")
+    return labels.select("doc_id", sentiment).join(known, "doc_id", "left_semi")
+
+
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text, sentiment`` of the labelled documents."""
+    return documents(spark, sf_dir).join(text_labels(spark, sf_dir), "doc_id")

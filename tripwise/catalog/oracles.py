@@ -56,12 +56,6 @@ def _bigrams(words: str) -> str:
     )
 
 
-def _polarity(words: str, positive: list[str], negative: list[str]) -> str:
-    up = f"len(list_filter({words}, lambda w: list_contains({_list(positive)}, w)))"
-    down = f"len(list_filter({words}, lambda w: list_contains({_list(negative)}, w)))"
-    return f"coalesce(CAST({up} - {down} AS DOUBLE) / nullif({up} + {down}, 0), 0e0)"
-
-
 def _filled(templates: list[str], adjectives: list[str]) -> str:
     words = _list(adjectives)
     out = f"({_list(templates)})[template + 1]"
@@ -98,19 +92,33 @@ reviews AS (
          ELSE {_filled(NEGATIVE_TEMPLATES, NEGATIVE_ADJECTIVES)} END AS text,
     CASE WHEN review_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment
   FROM drawn)"""
-SCORED_REVIEWS = f"""{REVIEWS},
-split AS (SELECT *, {_clean("text")} AS clean_text FROM reviews),
-worded AS (SELECT *, {_words("clean_text", stop=False)} AS words FROM split),
-polar AS (SELECT *, {_polarity("words", POSITIVE_ADJECTIVES, NEGATIVE_ADJECTIVES)} AS polarity FROM worded),
+LABELLED = """labelled AS (
+  SELECT d.doc_id, d.text, CASE WHEN toxic = 1 THEN 'negative' ELSE 'positive' END AS sentiment
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic IS NOT NULL)"""
+LEXICON = f"""{LABELLED},
+labelled_words AS (
+  SELECT sentiment, {_words(_clean("coalesce(text, '')"), stop=False)} AS words FROM labelled),
+sizes AS (SELECT count(*) AS all_texts, count(*) FILTER (WHERE sentiment = 'positive') AS up_texts FROM labelled),
+seen AS (
+  SELECT word, count(*) AS n, count(*) FILTER (WHERE sentiment = 'positive') AS up
+  FROM (SELECT sentiment, unnest(list_distinct(words)) AS word FROM labelled_words) GROUP BY word HAVING count(*) >= 5),
+shares AS (
+  SELECT word, CAST(up + 1 AS DOUBLE) / (up_texts + 2) AS p,
+    CAST(n - up + 1 AS DOUBLE) / (all_texts - up_texts + 2) AS q FROM seen, sizes),
+lexicon AS (
+  SELECT * FROM (SELECT word, floor((p - q) / (p + q) * 1000 + 5e-1) / 1000e0 AS polarity FROM shares) WHERE polarity <> 0)"""
+POLAR = f"""{LEXICON},
+every_word AS (
+  SELECT doc_id, unnest({_words(_clean("coalesce(text, '')"), stop=False)}) AS word FROM documents),
+rated AS (
+  SELECT doc_id, CAST(sum(CAST(polarity AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS mean
+  FROM every_word JOIN lexicon USING (word) GROUP BY doc_id),
 scored AS (
-  SELECT *, CASE WHEN polarity > 0 THEN 'Positive' WHEN polarity < 0 THEN 'Negative'
-                 ELSE 'Neutral' END AS sentiment_class
-  FROM polar)"""
-RULED_REVIEWS = f"""{SCORED_REVIEWS}, ruled AS (
-  SELECT sentiment AS label,
-    CASE WHEN (polarity > 0) = ({_draw("review_id", "flip", 10)} <> 0)
-         THEN 'positive' ELSE 'negative' END AS prediction
-  FROM scored)"""
+  SELECT doc_id, coalesce(mean, 0e0) AS polarity, CASE WHEN mean > 0 THEN 'Positive' WHEN mean < 0 THEN 'Negative'
+    ELSE 'Neutral' END AS sentiment_class FROM documents LEFT JOIN rated USING (doc_id))"""
+RULED_TEXTS = f"""{POLAR}, ruled AS (
+  SELECT sentiment AS label, CASE WHEN polarity > 0 THEN 'positive' ELSE 'negative' END AS prediction
+  FROM labelled JOIN scored USING (doc_id))"""
 RULED_TRIPS = f"""{FEATURES}, ruled AS (
   SELECT high_tip AS label, CAST(payment_type >= 3 AS INTEGER) AS prediction,
     floor(fare_amount / 5) / 100e0 AS score
@@ -226,7 +234,7 @@ SELECT trip_id, {", ".join(slots)} FROM trips t"""
 def _report() -> str:
     classes = "(SELECT label AS class FROM ruled UNION SELECT prediction FROM ruled)"
     precision, recall = _ratio("tp", "predicted"), _ratio("tp", "support")
-    return f"""WITH {RULED_REVIEWS}, totals AS (
+    return f"""WITH {RULED_TEXTS}, totals AS (
   SELECT class, count(*) FILTER (WHERE label = class) AS support,
     count(*) FILTER (WHERE prediction = class) AS predicted,
     count(*) FILTER (WHERE label = class AND prediction = class) AS tp
@@ -302,7 +310,7 @@ SELECT doc_id, quality, toxic, split FROM split""",
         "constant_impute": f"WITH {TRIPS} SELECT trip_id, {filled} FROM trips",
         "one_hot": _one_hot(),
         "synthetic_reviews": f"WITH {REVIEWS} SELECT * FROM reviews",
-        "sentiment_label_counts": f"WITH {REVIEWS} SELECT sentiment, count(*) AS n FROM reviews GROUP BY 1",
+        "sentiment_label_counts": f"WITH {LABELLED} SELECT sentiment, count(*) AS n FROM labelled GROUP BY 1",
         "clean_text": f"WITH {CLEANED} SELECT * FROM cleaned",
         "tokens": f"""WITH {CLEANED},
 worded AS (SELECT doc_id, {_words("clean_text", stop=False)} AS words FROM cleaned)
@@ -316,22 +324,27 @@ worded AS (SELECT doc_id, {_words("clean_text", stop=True)} AS words FROM cleane
 weighted AS (SELECT doc_id, term, tf, tf * idf AS w FROM tf JOIN vocabulary USING (term))
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf
 FROM weighted""",
-        "lexicon_polarity": f"""WITH {CLEANED},
-worded AS (SELECT doc_id, {_words("clean_text", stop=False)} AS words FROM cleaned),
-polar AS (
-  SELECT doc_id, {_polarity("words", POSITIVE_ADJECTIVES, [*NEGATIVE_ADJECTIVES, "worthless"])} AS polarity
-  FROM worded)
-SELECT doc_id, round(polarity, 6) AS polarity, CASE WHEN polarity > 0 THEN 'Positive'
-  WHEN polarity < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment_class FROM polar""",
-        "sentiment_classes": f"""WITH {SCORED_REVIEWS}
-SELECT sentiment_class, count(*) AS n FROM scored GROUP BY 1""",
-        "sentiment_phrases": f"""WITH {SCORED_REVIEWS},
-kept AS (SELECT sentiment_class, {_words("clean_text", stop=True)} AS words FROM scored),
-phrases AS (SELECT sentiment_class, unnest({_bigrams("words")}) AS phrase FROM kept),
-counted AS (SELECT sentiment_class, phrase, count(*) AS n FROM phrases GROUP BY ALL)
-SELECT sentiment_class, phrase, n, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY sentiment_class ORDER BY n DESC, phrase) AS rank
-  FROM counted) WHERE rank <= 5""",
+        "learned_lexicon": f"WITH {LEXICON} SELECT * FROM lexicon",
+        "lexicon_polarity": f"WITH {POLAR} SELECT * FROM scored",
+        "sentiment_classes": f"WITH {POLAR} SELECT sentiment_class, count(*) AS n FROM scored GROUP BY 1",
+        "sentiment_phrases": f"""WITH {POLAR},
+kept AS (
+  SELECT sentiment_class, {_words(_clean("coalesce(text, '')"), stop=True)} AS words
+  FROM documents JOIN scored USING (doc_id)),
+counted AS (
+  SELECT sentiment_class, phrase, count(*) AS n
+  FROM (SELECT sentiment_class, unnest({_bigrams("words")}) AS phrase FROM kept) GROUP BY ALL),
+sized AS (
+  SELECT *, CAST(n AS DOUBLE) AS a, CAST(sum(n) OVER (PARTITION BY phrase) AS DOUBLE) - n AS b,
+    CAST(sum(n) OVER (PARTITION BY sentiment_class) AS DOUBLE) AS size, CAST(sum(n) OVER () AS DOUBLE) AS whole
+  FROM counted),
+ratios AS (
+  SELECT sentiment_class, phrase, n, round(2 * (a * ln(a / (size * ((a + b) / whole)))
+    + CASE WHEN b > 0 THEN b * ln(b / ((whole - size) * ((a + b) / whole))) ELSE 0e0 END), 6) AS g2
+  FROM sized WHERE a * (whole - size) > b * size)
+SELECT sentiment_class, phrase, n, g2, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY sentiment_class ORDER BY g2 DESC, phrase) AS rank
+  FROM ratios) WHERE rank <= 5""",
         "binary_metrics": f"""WITH {RULED_TRIPS}, counts AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS agreed,
     count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
@@ -351,7 +364,7 @@ SELECT CAST(sum(pos + neg) AS BIGINT) AS n,
   round(CAST(sum(pos * (below + neg / 2e0)) AS DOUBLE) / (sum(pos) * sum(neg)), 6) AS roc_auc
 FROM ranked""",
         "classification_report": _report(),
-        "confusion_matrix": f"""WITH {RULED_REVIEWS}
+        "confusion_matrix": f"""WITH {RULED_TEXTS}
 SELECT label AS actual, count(*) FILTER (WHERE prediction = 'positive') AS positive,
   count(*) FILTER (WHERE prediction = 'negative') AS negative FROM ruled GROUP BY 1""",
         "daily_sales": f"WITH {SALES} {daily} GROUP BY 1",

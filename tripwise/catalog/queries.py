@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tripwise.catalog import inputs
-from tripwise.functions.keys import draw
-from tripwise.functions.text import clean_text, drop_stop_words, tokens, with_terms
+from tripwise.functions.text import clean_text, drop_stop_words, terms_of, with_terms, with_words
 from tripwise.operators import features, metrics, profiles, sales, sampling, sentiment, tfidf
 from tripwise.plans.review_classifier import classify_reviews
-from tripwise.plans.review_sentiment import review_sentiment
+from tripwise.plans.review_sentiment import ReviewSentiment, word_sentiment
 from tripwise.plans.tip_classifier import classify_tips
 from tripwise.plans.tip_report import report_tips
 from tripwise.plans.trip_profile import profile_trips
-from tripwise.sources.shared import fresh_path
+from tripwise.sources.shared import fresh_path, written
 from tripwise.sources.sinks import write_table
 from tripwise.sources.tables import TRIP_COLUMNS, load_table, parse_timestamps
 
@@ -27,7 +26,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SAMPLE_ROWS = 1000
-DOCUMENT_LEXICON = {**sentiment.REVIEW_LEXICON, "worthless": -1.0}
 SHOWN_REGIONS = ["ASIA", "EUROPE"]
 SHOWN_CATEGORIES = ["ECONOMY", "PROMO"]
 
@@ -271,7 +269,7 @@ def synthetic_reviews(spark, sf_dir):
 
 @query("sentiment_label_counts")
 def sentiment_label_counts(spark, sf_dir):
-    return profiles.value_counts(inputs.reviews(spark, sf_dir), "sentiment")
+    return profiles.value_counts(inputs.text_labels(spark, sf_dir), "sentiment")
 
 
 @query("clean_text")
@@ -280,8 +278,12 @@ def clean_documents(spark, sf_dir):
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = inputs.documents(spark, sf_dir).select("doc_id", clean_text("text").alias("clean_text"))
-    return cleaned.select("doc_id", tokens("clean_text").alias("words"))
+    """Words of all documents, cleaned once and written for the several passes that read them.
+
+    The given file cannot be split (one row group), so words are dealt out by document before.
+    """
+    words = with_words(inputs.documents(spark, sf_dir), "text", "doc_id")
+    return written(words.repartition("doc_id"), "words")
 
 
 def _listed(words: DataFrame) -> DataFrame:
@@ -292,56 +294,70 @@ def _listed(words: DataFrame) -> DataFrame:
 
 @query("tokens")
 def document_tokens(spark, sf_dir):
-    return _listed(_words(spark, sf_dir))
+    return _listed(with_words(inputs.documents(spark, sf_dir), "text", "doc_id"))
 
 
 @query("stopword_filtered")
 def stopword_filtered(spark, sf_dir):
-    words = _words(spark, sf_dir)
+    words = with_words(inputs.documents(spark, sf_dir), "text", "doc_id")
     return _listed(words.select("doc_id", drop_stop_words("words").alias("words")))
 
 
-def _clustered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = inputs.documents(spark, sf_dir, spread=False)
-    return with_terms(tfidf.by_document(texts, "doc_id")).select("doc_id", "terms")
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_terms(inputs.documents(spark, sf_dir)).select("doc_id", "terms")
 
 
 @query("ngrams")
 def ngram_counts(spark, sf_dir):
-    return tfidf.term_counts(_clustered_terms(spark, sf_dir), "doc_id")
+    return tfidf.term_counts(_terms(spark, sf_dir), "doc_id")
 
 
 @query("doc_freq_vocab")
 def doc_freq_vocab(spark, sf_dir):
-    terms = with_terms(inputs.documents(spark, sf_dir))
-    return rounded(tfidf.vocabulary(terms), 6, "idf")
+    return rounded(tfidf.vocabulary(_terms(spark, sf_dir)), 6, "idf")
 
 
 @query("tfidf")
 def document_tfidf(spark, sf_dir):
-    terms = with_terms(inputs.documents(spark, sf_dir)).select("doc_id", "terms")
-    weights = tfidf.fit_tfidf(terms).transform(_clustered_terms(spark, sf_dir), "doc_id")
+    words = _words(spark, sf_dir).select("doc_id", drop_stop_words("words").alias("words"))
+    terms = words.select("doc_id", terms_of("words").alias("terms"))
+    weights = tfidf.fit_tfidf(terms).transform(tfidf.term_vectors(terms, "doc_id"), "doc_id")
     return rounded(weights, 6, "tfidf")
 
 
 # Sentiment
 
 
+def _lexicon(spark: SparkSession, sf_dir: str, words: DataFrame) -> DataFrame:
+    """Learned from the labelled documents."""
+    labelled = words.join(inputs.text_labels(spark, sf_dir), "doc_id")
+    learned = sentiment.learned_lexicon(labelled, "words", F.col("sentiment") == "positive")
+    return written(learned, "lexicon")
+
+
+def _sentiment(spark: SparkSession, sf_dir: str) -> ReviewSentiment:
+    words = _words(spark, sf_dir)
+    return word_sentiment(words, "doc_id", _lexicon(spark, sf_dir, words))
+
+
+@query("learned_lexicon")
+def learned_lexicon(spark, sf_dir):
+    return _lexicon(spark, sf_dir, _words(spark, sf_dir))
+
+
 @query("lexicon_polarity")
 def lexicon_polarity(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    scored = sentiment.with_sentiment(words, "words", DOCUMENT_LEXICON)
-    return rounded(scored.select("doc_id", "polarity", "sentiment_class"), 6, "polarity")
+    return _sentiment(spark, sf_dir).scores
 
 
 @query("sentiment_classes")
 def sentiment_classes(spark, sf_dir):
-    return review_sentiment(inputs.reviews(spark, sf_dir)).classes
+    return _sentiment(spark, sf_dir).classes
 
 
 @query("sentiment_phrases")
 def sentiment_phrases(spark, sf_dir):
-    return review_sentiment(inputs.reviews(spark, sf_dir)).phrases
+    return _sentiment(spark, sf_dir).phrases
 
 
 # Evaluation of fixed rules, so that the metrics are checked exactly
@@ -356,13 +372,12 @@ def _ruled_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ruled_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right = F.when(F.col("polarity") > 0, "positive").otherwise("negative")
-    wrong = F.when(F.col("polarity") > 0, "negative").otherwise("positive")
-    flipped = draw("review_id", "flip", 10) == 0
-    return review_sentiment(inputs.reviews(spark, sf_dir)).scored.select(
-        F.col("sentiment").alias("label"), F.when(flipped, wrong).otherwise(right).alias("prediction")
-    )
+def _ruled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, judged by the sign of their polarity."""
+    scores = _sentiment(spark, sf_dir).scores
+    judged = F.when(F.col("polarity") > 0, "positive").otherwise("negative").alias("prediction")
+    labels = inputs.text_labels(spark, sf_dir)
+    return labels.join(scores, "doc_id").select(F.col("sentiment").alias("label"), judged)
 
 
 @query("binary_metrics")
@@ -378,13 +393,13 @@ def roc_auc(spark, sf_dir):
 
 @query("classification_report")
 def classification_report(spark, sf_dir):
-    result = metrics.classification_report(_ruled_reviews(spark, sf_dir))
+    result = metrics.classification_report(_ruled_texts(spark, sf_dir))
     return rounded(result, 6, "precision", "recall", "f1")
 
 
 @query("confusion_matrix")
 def confusion_matrix(spark, sf_dir):
-    return metrics.confusion_matrix(_ruled_reviews(spark, sf_dir), ["positive", "negative"])
+    return metrics.confusion_matrix(_ruled_texts(spark, sf_dir), ["positive", "negative"])
 
 
 # Sales

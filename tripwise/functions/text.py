@@ -80,6 +80,19 @@ def word_ngrams(words: Column | str, n: int) -> Column:
     return grams
 
 
+def terms_of(words: Column | str, ngram_range: tuple[int, int] = (1, 2)) -> Column:
+    """The n-grams of all lengths in ``ngram_range``."""
+    low, high = ngram_range
+    grams = [word_ngrams(words, n) for n in range(low, high + 1)]
+    return F.concat(*grams) if len(grams) > 1 else grams[0]
+
+
+def with_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The ``keep`` columns and ``words``, all words of the cleaned text; null is an empty text."""
+    cleaned = df.select(*keep, clean_text(F.coalesce(F.col(text), F.lit(""))).alias("clean_text"))
+    return cleaned.select(*keep, tokens("clean_text").alias("words"))
+
+
 def with_terms(
     df: DataFrame,
     text: str = "text",
@@ -88,11 +101,30 @@ def with_terms(
     terms: str = "terms",
 ) -> DataFrame:
     """Add ``clean_text``, ``words`` (stop words removed) and ``terms`` (the n-grams of the words)."""
-    low, high = ngram_range
     staged = df.withColumn("clean_text", clean_text(F.coalesce(F.col(text), F.lit(""))))
     staged = staged.withColumn("words", drop_stop_words(tokens("clean_text"), stop_words))
-    grams = [word_ngrams("words", n) for n in range(low, high + 1)]
-    return staged.withColumn(terms, F.concat(*grams) if len(grams) > 1 else grams[0])
+    return staged.withColumn(terms, terms_of("words", ngram_range))
+
+
+def with_counts(df: DataFrame, values: str, counts: str) -> DataFrame:
+    """Add ``counts``: the distinct elements of an array with their numbers, as ``term, tf`` structs.
+
+    Counted inside the row: equal elements are neighbours after sorting, and a run begins where
+    an element differs from the one before it. Nulls are not counted. Nothing is exploded or shuffled.
+    """
+    staged = df.withColumn("_sorted", F.sort_array(F.array_compact(values)))
+
+    def begins(x: Column, i: Column) -> Column:
+        return F.when((i == 0) | (x != F.get("_sorted", i - 1)), i)
+
+    staged = staged.withColumn("_begins", F.array_compact(F.transform("_sorted", begins)))
+    ends = F.concat(F.slice("_begins", 2, F.size("_begins")), F.array(F.size("_sorted")))
+    staged = staged.withColumn("_ends", F.slice(ends, 1, F.size("_begins")))
+
+    def run(begin: Column, end: Column) -> Column:
+        return F.struct(F.get("_sorted", begin).alias("term"), (end - begin).cast("bigint").alias("tf"))
+
+    return staged.withColumn(counts, F.zip_with("_begins", "_ends", run)).drop("_sorted", "_begins", "_ends")
 
 
 def exploded(df: DataFrame, values: Column | str, name: str, *keep: str) -> DataFrame:

@@ -91,14 +91,3 @@ def blank_nan(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns(
         {c: F.when(~F.isnan(c), F.col(c)) for c in columns if c in floating}
     )
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
-
-    For expensive work per row (text, training) on a table of a few files. A
-    large table has more splits than cores and comes back as it is. Call it on
-    the scan itself, where asking for the partitions runs no job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
