@@ -146,10 +146,25 @@ def test_unknown_and_missing_categories(spark):
         ([0, 0, 1], [1, 0]),
         ([0, 0, 0], [0, 0]),
     ]
+    text = spark.createDataFrame([("NaN", NAN), (None, 1.0)], "c string, x double")
+    assert [tuple(r) for r in features.constant_impute(text, ["c", "x"]).collect()] == [("NaN", "missing"), ("missing", "1.0")]
     filled = features.constant_impute(test, ["c", "n"]).collect()
     assert [tuple(r) for r in filled] == [("a", "1"), ("b", "2"), ("missing", "1"), ("z", "9")]
 
 
+def test_slots_of_200_000_levels(spark):
+    """The index is a table; one hot level holds a third of the rows; an unknown level is slot 0."""
+    rows = spark.range(300_000).selectExpr("IF(id % 3 = 0, 'hot', concat('level ', lpad(id, 6, '0'))) AS c", "id")
+    model = features.LevelIndexer(inputCols=["c"], outputCols=["slot"]).fit(rows)
+    assert model.sizes(spark) == [200_001]
+    coded = model.transform(rows)
+    assert "Python" not in plan_of(coded)
+    found = coded.filter("id IN (0, 1, 2, 299999)").select("id", "slot").collect()
+    assert {tuple(r) for r in found} == {(0, 1), (1, 2), (2, 3), (299999, 200_001)}
+    assert coded.filter("slot = 1").count() == 100_000
+    assert model.transform(spark.createDataFrame([("new",), (None,)], "c string")).agg(F.max("slot")).first()[0] == 0
+
+
 def test_preprocessing_saves_and_loads(spark):
     rows = [trip(passengers=float(i), distance=i / 2, fare=5.0 + i) for i in range(1, 9)]
     df = built(spark, *rows)

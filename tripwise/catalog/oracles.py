@@ -179,6 +179,10 @@ def _split(table: str, key: str, label: str) -> str:
             FROM {table} GROUP BY {label}))))) c ON t.{label} IS NOT DISTINCT FROM c.{label})"""
 
 
+TEXT_SPLIT = f"""{LABELLED}, text_split AS (
+  {_split("labelled", "doc_id", "sentiment").replace("25e-2", "2e-1")})"""
+
+
 def _histogram() -> str:
     edge = "CASE WHEN {i} = 30 THEN hi ELSE lo + {i} * ((hi - lo) / 30e0) END"
     at, after = edge.format(i="guess"), edge.format(i="(guess + 1)")
@@ -231,6 +235,41 @@ def _one_hot() -> str:
 SELECT trip_id, {", ".join(slots)} FROM trips t"""
 
 
+def _pipeline_vectors() -> str:
+    stats = ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(NUMERIC))
+    scaled = ", ".join(f"round(({c} - m{i}) / s{i}, 6) + 0e0 AS {c}" for i, c in enumerate(NUMERIC))
+    levels = " UNION ALL ".join(
+        f"SELECT {i} AS feature, CAST({c} AS VARCHAR) AS level FROM train" for i, c in enumerate(CATEGORICAL)
+    )
+    held = " UNION ALL ".join(
+        f"SELECT trip_id, {i} AS feature, CAST({c} AS VARCHAR) AS level FROM model_input"
+        for i, c in enumerate(CATEGORICAL)
+    )
+    return f"""WITH {MODEL_INPUT}, train AS (
+  SELECT * FROM ({_split("model_input", "trip_id", "high_tip")}) WHERE split = 'train'),
+stats AS (SELECT {stats} FROM train),
+slots AS (SELECT *, row_number() OVER (ORDER BY feature, level) AS slot FROM (SELECT DISTINCT * FROM ({levels}))),
+ones AS (
+  SELECT trip_id, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS ones
+  FROM ({held}) h JOIN slots USING (feature, level) GROUP BY trip_id)
+SELECT trip_id, {scaled}, coalesce(ones, '') AS ones,
+  CAST({len(NUMERIC)} + (SELECT count(*) FROM slots) AS INTEGER) AS n_slots
+FROM model_input LEFT JOIN ones USING (trip_id), stats"""
+
+
+def _lr_fit() -> str:
+    return f"""WITH {TEXT_SPLIT},
+worded AS (SELECT doc_id, {_words(_clean("coalesce(text, '')"), stop=True)} AS words FROM text_split WHERE split = 'train'),
+terms AS (
+  SELECT DISTINCT doc_id, term FROM (
+    SELECT doc_id, unnest(words) AS term FROM worded
+    UNION ALL SELECT doc_id, unnest({_bigrams("words")}) AS term FROM worded)),
+vocabulary AS (
+  SELECT term FROM terms GROUP BY term
+  HAVING count(*) >= 5 AND count(*) <= 85e-2 * (SELECT count(*) FROM worded))
+SELECT (SELECT count(*) FROM worded) AS n_rows, (SELECT count(*) FROM vocabulary) AS n_terms, true AS converged"""
+
+
 def _report() -> str:
     classes = "(SELECT label AS class FROM ruled UNION SELECT prediction FROM ruled)"
     precision, recall = _ratio("tp", "predicted"), _ratio("tp", "support")
@@ -309,6 +348,23 @@ SELECT doc_id, quality, toxic, split FROM split""",
         "standard_scale": _standard_scale(),
         "constant_impute": f"WITH {TRIPS} SELECT trip_id, {filled} FROM trips",
         "one_hot": _one_hot(),
+        "pipeline_vectors": _pipeline_vectors(),
+        "rf_predictions": f"""WITH {MODEL_INPUT}, split AS ({_split("model_input", "trip_id", "high_tip")})
+SELECT trip_id, high_tip, true AS score_in_range, true AS class_agrees FROM split WHERE split = 'test'""",
+        "rf_evaluation": f"""WITH {MODEL_INPUT}, split AS ({_split("model_input", "trip_id", "high_tip")})
+SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
+  count(*) FILTER (WHERE split = 'test' AND high_tip = 1) AS n_high, true AS better_than_chance,
+  true AS rates_in_range, true AS f1_agrees, CAST(100 AS BIGINT) AS n_trees, true AS rows_add_up,
+  true AS leaves_vote, true AS within_depth FROM split""",
+        "lr_predictions": f"""WITH {TEXT_SPLIT}
+SELECT doc_id, sentiment, true AS score_in_range, true AS class_agrees FROM text_split WHERE split = 'test'""",
+        "lr_evaluation": f"""WITH {TEXT_SPLIT}, tested AS (SELECT sentiment FROM text_split WHERE split = 'test')
+SELECT class, CAST(n AS BIGINT) AS support, true AS rates_in_range, true AS f1_agrees FROM (
+  SELECT sentiment AS class, count(*) AS n FROM tested GROUP BY 1
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM tested))""",
+        "lr_fit": _lr_fit(),
+        "top_tokens": """SELECT unnest(['positive', 'negative']) AS side, CAST(12 AS BIGINT) AS n_tokens,
+  true AS signs_agree, true AS in_vocabulary""",
         "synthetic_reviews": f"WITH {REVIEWS} SELECT * FROM reviews",
         "sentiment_label_counts": f"WITH {LABELLED} SELECT sentiment, count(*) AS n FROM labelled GROUP BY 1",
         "clean_text": f"WITH {CLEANED} SELECT * FROM cleaned",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +11,19 @@ from pyspark.sql.types import StructType
 
 from tripwise.catalog import inputs
 from tripwise.functions.text import clean_text, drop_stop_words, terms_of, with_terms, with_words
-from tripwise.operators import features, metrics, profiles, sales, sampling, sentiment, tfidf
-from tripwise.plans.review_classifier import classify_reviews
+from tripwise.operators import (
+    certificates,
+    features,
+    metrics,
+    profiles,
+    sales,
+    sampling,
+    sentiment,
+    tfidf,
+)
+from tripwise.plans.review_classifier import ReviewClassifier, classify_reviews
 from tripwise.plans.review_sentiment import ReviewSentiment, word_sentiment
-from tripwise.plans.tip_classifier import classify_tips
+from tripwise.plans.tip_classifier import TipClassifier, classify_tips
 from tripwise.plans.tip_report import report_tips
 from tripwise.plans.trip_profile import profile_trips
 from tripwise.sources.shared import fresh_path, written
@@ -26,6 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SAMPLE_ROWS = 1000
+TEXT_MIN_DF = 5
 SHOWN_REGIONS = ["ASIA", "EUROPE"]
 SHOWN_CATEGORIES = ["ECONOMY", "PROMO"]
 
@@ -251,12 +260,28 @@ def one_hot(spark, sf_dir):
     rows = features.model_input(features.trip_features(trips), "trip_id")
     split = sampling.stratified_split(rows, "trip_id", features.TARGET, 0.25)
     train = split.filter("split = 'train'").select(*names)
-    model = Pipeline(stages=features.one_hot_stages(names)).fit(train)
+    model = features.LevelIndexer(inputCols=names, outputCols=[f"{c}_slot" for c in names]).fit(train)
     coded = model.transform(trips.select("trip_id", *names))
-    slots = [
-        F.array_position(vector_to_array(f"{c}_onehot"), F.lit(1.0)).cast("int").alias(c) for c in names
-    ]
-    return coded.select("trip_id", *slots)
+    return coded.select("trip_id", *[F.col(f"{c}_slot").alias(c) for c in names])
+
+
+@query("pipeline_vectors")
+def pipeline_vectors(spark, sf_dir):
+    """The assembled feature vectors of all rows: scaled numbers, then the places of the ones.
+
+    The pipeline is fitted on the training rows.
+    """
+    rows = written(features.model_input(features.trip_features(inputs.trips(spark, sf_dir)), "trip_id"), "model_input")
+    split = sampling.stratified_split(rows, "trip_id", features.TARGET, 0.25)
+    pipeline = features.preprocessing(features.NUMERIC_FEATURES, features.CATEGORICAL_FEATURES)
+    model = pipeline.fit(split.filter("split = 'train'"))
+    vectors = model.transform(rows).select("trip_id", vector_to_array("features").alias("v"))
+    numbers = [F.get("v", F.lit(i)).alias(c) for i, c in enumerate(features.NUMERIC_FEATURES)]
+    first = len(numbers)
+    ones = F.filter(F.sequence(F.lit(first), F.size("v") - 1), lambda i: F.get("v", i) == 1.0)
+    places = F.array_join(F.transform(ones, lambda i: (i - first + 1).cast("string")), ",")
+    found = vectors.select("trip_id", *numbers, places.alias("ones"), F.size("v").alias("n_slots"))
+    return rounded(found, 6, *features.NUMERIC_FEATURES)
 
 
 # Text
@@ -438,32 +463,63 @@ def high_margin_categories(spark, sf_dir):
     return rounded(sales.high_margin_categories(rows), 6, "margin")
 
 
-# Fitted models: no SQL counterpart
+# Fitted models: what SQL can say of any right fit
+
+
+def _tips(spark: SparkSession, sf_dir: str) -> TipClassifier:
+    return classify_tips(inputs.trips(spark, sf_dir), "trip_id")
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> ReviewClassifier:
+    """Labelled documents are long, so a term counts from five of them on; the file has one row group."""
+    labelled = inputs.labelled_texts(spark, sf_dir).repartition("doc_id")
+    return classify_reviews(labelled, "doc_id", min_df=TEXT_MIN_DF)
 
 
 @query("rf_predictions")
 def rf_predictions(spark, sf_dir):
-    result = classify_tips(inputs.trips(spark, sf_dir), "trip_id")
-    return rounded(result.predictions, 6, "score")
+    return certificates.score_checks(_tips(spark, sf_dir).predictions, "trip_id", features.TARGET)
 
 
 @query("rf_evaluation")
 def rf_evaluation(spark, sf_dir):
-    return classify_tips(inputs.trips(spark, sf_dir), "trip_id").metrics()
+    """Sizes of the split, the checks of the forest, and whether it tells high tips better than chance."""
+    tips = _tips(spark, sf_dir)
+    rates = tips.metrics()
+    better = rates.select((F.col("roc_auc").between(0.5, 1.0)).alias("better_than_chance")).scalar()
+    sizes = tips.predictions.agg(F.count("*").alias("n_test"), F.sum(features.TARGET).alias("n_high"))
+    n_train = tips.train.agg(F.count("*").alias("n")).scalar()
+    checked = certificates.rate_checks(rates).select(F.struct("*").alias("rates")).scalar()
+    forest = tips.checks().select(F.struct("*").alias("forest")).scalar()
+    found = sizes.select("*", n_train.alias("n_train"), better.alias("better_than_chance"), checked.alias("r"), forest.alias("f"))
+    return found.select("n_train", "n_test", "n_high", "better_than_chance", "r.*", "f.*")
 
 
 @query("lr_predictions")
 def lr_predictions(spark, sf_dir):
-    result = classify_reviews(inputs.reviews(spark, sf_dir), "review_id")
-    return rounded(result.predictions, 6, "score")
+    return certificates.score_checks(_reviews(spark, sf_dir).predictions, "doc_id", "sentiment")
 
 
 @query("lr_evaluation")
 def lr_evaluation(spark, sf_dir):
-    return classify_reviews(inputs.reviews(spark, sf_dir), "review_id").report()
+    """One row for each class and average: how many test texts, and whether the rates fit together.
+
+    An average of F1 is not the harmonic mean of averages, so only classes and the accuracy must agree.
+    """
+    report = _reviews(spark, sf_dir).report()
+    checked = certificates.rate_checks(report, "class", "support")
+    averages = F.col("class").isin("macro avg", "weighted avg")
+    return checked.withColumn("f1_agrees", F.col("f1_agrees") | averages)
+
+
+@query("lr_fit")
+def lr_fit(spark, sf_dir):
+    """Rows and terms of the fit, and whether the slope is down to a thousandth of where it began."""
+    checks = _reviews(spark, sf_dir).checks()
+    return checks.select("n_rows", "n_terms", (F.col("slope") <= 1e-3 * F.col("steepest")).alias("converged"))
 
 
 @query("top_tokens")
 def top_tokens(spark, sf_dir):
-    result = classify_reviews(inputs.reviews(spark, sf_dir), "review_id")
-    return rounded(result.top_tokens(12), 6, "coefficient")
+    reviews = _reviews(spark, sf_dir)
+    return certificates.token_checks(reviews.top_tokens(12), reviews.vocabulary())

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise.functions.timeparts import monday_based_day, pickup_hour
 from tripwise.operators.profiles import PICKUP, above
-from tripwise.operators.ranks import BINS, values_at_ranks
+from tripwise.operators.ranks import BINS, numbered, values_at_ranks
+from tripwise.sources.shared import written
 from tripwise.sources.tables import blank_nan
 
 # The features of the tip model.
@@ -174,37 +175,124 @@ class PopulationScaler(Estimator, HasInputCols, HasOutputCols, DefaultParamsRead
         )
 
 
-def filled_text(column: str) -> Column:
-    """A category as text, with null and NaN as their own category."""
+def filled_text(df: DataFrame, column: str) -> Column:
+    """A category as text, with null, and NaN of a numeric column, as their own category."""
     value = F.col(column)
-    return F.coalesce(F.nullif(value.cast("string"), F.lit("NaN")), F.lit(MISSING))
+    if dict(df.dtypes)[column] in ("double", "float"):
+        value = F.when(~F.isnan(value), value)
+    return F.coalesce(value.cast("string"), F.lit(MISSING))
 
 
 def constant_impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: filled_text(c) for c in columns})
+    return df.withColumns({c: filled_text(df, c) for c in columns})
+
+
+def level_index(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature, level, slot`` of the levels of each column, slots from 1 in the order of the levels' text.
+
+    A written table: levels are combined before the shuffle and numbered by range partition, so no
+    column's levels meet on the driver or in one task.
+    """
+    named = [F.struct(F.lit(c).alias("feature"), filled_text(df, c).alias("level")) for c in columns]
+    levels = df.select(F.explode(F.array(*named)).alias("named")).select("named.*").distinct()
+    return written(numbered(levels, ["level"], ["feature"], "slot"), "level_index")
+
+
+class LevelIndexModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds each category's slot, 0 for a level that was not fitted, by a join with the written index.
+
+    Spark broadcasts an index whose files are small and shuffles for a larger one.
+    """
+
+    path = Param(Params._dummy(), "path", "folder of the index", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None, path=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def levels(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.getOrDefault(self.path))
+
+    def sizes(self, spark: SparkSession) -> list[int]:
+        """Number of fitted levels of each column."""
+        counted = self.levels(spark).groupBy("feature").agg(F.max("slot").alias("n")).collect()
+        found = {r["feature"]: r["n"] for r in counted}
+        return [found.get(c, 0) for c in self.getInputCols()]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        levels = self.levels(dataset.sparkSession)
+        for source, target in zip(self.getInputCols(), self.getOutputCols()):
+            of_column = levels.filter(F.col("feature") == source).select(
+                F.col("level").alias("_level"), F.col("slot").alias("_slot")
+            )
+            joined = dataset.join(of_column, filled_text(dataset, source) == F.col("_level"), "left")
+            slot = F.coalesce("_slot", F.lit(0)).cast("int")
+            dataset = joined.withColumn(target, slot).drop("_level", "_slot")
+        return dataset
+
+
+class LevelIndexer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Numbers the levels of the fitted rows in the order of their text."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> LevelIndexModel:
+        columns = self.getInputCols()
+        levels = level_index(dataset, columns)
+        return LevelIndexModel(inputCols=columns, outputCols=self.getOutputCols(), path=levels.written_to)
+
+
+class SlotVectorsModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Slots as sparse vectors of the fitted lengths; slot 0 is a vector of zeros."""
+
+    sizes = Param(Params._dummy(), "sizes", "length of each vector", TypeConverters.toListInt)
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None, sizes=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        names, sizes = self.getInputCols(), self.getOrDefault(self.sizes)
+        # The encoder takes its lengths from a row of largest indices; what lies beyond is all zeros.
+        index = [F.when(F.col(c) > 0, F.col(c) - 1).otherwise(F.lit(max(n, 1))).cast("double") for c, n in zip(names, sizes)]
+        columns = [f"{c}_at" for c in names]
+        widest = dataset.sparkSession.createDataFrame([[float(max(n, 1) - 1) for n in sizes]], columns)
+        encoder = OneHotEncoder(
+            inputCols=columns, outputCols=self.getOutputCols(), dropLast=True, handleInvalid="keep"
+        ).fit(widest)
+        return encoder.transform(dataset.withColumns(dict(zip(columns, index)))).drop(*columns)
+
+
+class SlotVectors(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """One-hot vectors of slots, as long as the largest fitted slot."""
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> SlotVectorsModel:
+        columns = self.getInputCols()
+        row = dataset.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns]).first()
+        return SlotVectorsModel(
+            inputCols=columns, outputCols=self.getOutputCols(), sizes=[int(row[c]) for c in columns]
+        )
 
 
 def one_hot_stages(columns: list[str]) -> list:
-    """Text with a missing level -> index in alphabetical order -> sparse one-hot vector.
+    """Level -> slot in alphabetical order -> sparse one-hot vector.
 
-    A level that was not seen in training becomes all zeros.
+    A level that was not seen in training becomes slot 0 and all zeros.
     """
-    fills = ", ".join(
-        f"coalesce(nullif(CAST(`{c}` AS STRING), 'NaN'), '{MISSING}') AS `{c}_text`" for c in columns
-    )
+    slots = [f"{c}_slot" for c in columns]
     return [
-        SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"),
-        StringIndexer(
-            inputCols=[f"{c}_text" for c in columns],
-            outputCols=[f"{c}_index" for c in columns],
-            stringOrderType="alphabetAsc",
-            handleInvalid="keep",
-        ),
-        OneHotEncoder(
-            inputCols=[f"{c}_index" for c in columns],
-            outputCols=[f"{c}_onehot" for c in columns],
-            dropLast=True,
-        ),
+        LevelIndexer(inputCols=columns, outputCols=slots),
+        SlotVectors(inputCols=slots, outputCols=[f"{c}_onehot" for c in columns]),
     ]
 
 

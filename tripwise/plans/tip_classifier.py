@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
+from tripwise.operators.certificates import forest_checks, forest_nodes
 from tripwise.operators.features import (
     CATEGORICAL_FEATURES,
     LEAKY_FEATURES,
@@ -26,7 +27,8 @@ FIT_ROWS = 5_000_000
 
 @dataclass
 class TipClassifier:
-    """``predictions`` is a written table: each metric reads it instead of scoring again."""
+    """``train`` and ``test`` read one written table of rows with their side, ``predictions`` is
+    written too: each metric reads it instead of scoring again."""
 
     model: PipelineModel
     train: DataFrame
@@ -42,6 +44,11 @@ class TipClassifier:
         return classification_report(whole, TARGET)
 
 
+    def checks(self) -> DataFrame:
+        """Whether the nodes of the forest add up, see ``forest_checks``."""
+        return forest_checks(forest_nodes(self.model), self.model.stages[-1].getMaxDepth())
+
+
 def classify_tips(
     trips: DataFrame,
     key: str,
@@ -64,9 +71,11 @@ def classify_tips(
         trips = sample_exact(trips, key, sample_size, seed)
     rows = model_input(trip_features(trips, drop_null_tip=drop_null_tip), key, exclude_leaky)
     numeric = [c for c in NUMERIC_FEATURES if not (exclude_leaky and c in LEAKY_FEATURES)]
-    split = stratified_split(rows, key, TARGET, test_fraction, seed)
-    train = sample_exact(split.filter("split = 'train'").drop("split"), key, fit_rows, seed + 1)
+    split = written(stratified_split(written(rows, "model_input"), key, TARGET, test_fraction, seed), "tip_split")
+    train = split.filter("split = 'train'").drop("split")
     test = split.filter("split = 'test'").drop("split")
+    if train.count() > fit_rows:
+        train = written(sample_exact(train, key, fit_rows, seed + 1), "fitted_trips")
     model = train_forest(
         train, key, numeric, CATEGORICAL_FEATURES, TARGET, num_trees, max_depth, seed
     )
