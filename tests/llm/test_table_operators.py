@@ -241,3 +241,45 @@ def test_pipeline(spark):
         assert docs.columns == before.columns, name
     last = corpus_pipeline.run(spark, SF_DIR)
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() > 0
+
+
+def test_vectors_of_two_lengths_are_compared_with_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.01])]
+    rows += [(6, []), (7, [5e-324, 0.0]), (8, [1e300, 1e299, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.linked_vectors(df).select("row.vec_id", "n_links", "component_id").collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (0, 6), 7: (2, 1), 8: (2, 4)}
+
+
+def test_sparse_links_are_found_by_the_grid(spark):
+    """Forty pairs of cosine 0.91 among 5,000 unclustered vectors, beside a hot group of a third."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(40):
+        away = rng.normal(size=32)
+        away -= away @ x[i] * x[i]
+        x[i + 100] = 0.91 * x[i] + (1 - 0.91**2) ** 0.5 * away / np.linalg.norm(away)
+    x[3000:] = x[3000] + 0.01 * rng.normal(size=(2000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in vectors.linked_vectors(df, block=256).select("row.vec_id", "n_links").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(1) - 1
+    linked = np.flatnonzero(true)
+    share = np.array([found[i] / true[i] for i in linked])
+    assert share.max() <= 1 and share[linked < 3000].mean() >= 0.9 and share[linked >= 3000].mean() >= 0.9
+    assert len(linked) >= 2080
+
+
+def test_codebooks_visit_nearest_cells_first():
+    rng = np.random.default_rng(9)
+    grid = vectors.Grid(rng.normal(size=(500, 8)), 7)
+    x = rng.normal(size=(5, 8))
+    first, second = grid.distances(x)
+    for a, b, cells in zip(first, second, grid.visits(x, 49)):
+        sums = [a[c // 7] + b[c % 7] for c in cells]
+        assert sorted(cells) == list(range(49)) and sums == sorted(sums)
+    target = rng.integers(0, 49, 5)
+    ranks = vectors._ranks(grid, x, target)
+    wanted = [list(cells).index(t) + 1 for cells, t in zip(grid.visits(x, 49), target)]
+    assert ranks.tolist() == wanted

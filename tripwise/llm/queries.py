@@ -262,6 +262,17 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, q.e,
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND len(q.e) = len(c.e) AND (q.vec_id <> c.vec_id OR q.e <> c.e)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10""",
-    "op10_embedding_near_dedup": None,
+    # Tables of up to about two thousand vectors have no grid; there all are compared.
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+sized AS (SELECT *, sqrt(list_inner_product(e, e)) AS size FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) >= 9e-1 * a.size * b.size),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT m.vec_id, (SELECT count(*) FROM links l WHERE l.a = m.vec_id) AS n_links,
+  (SELECT min(b) FROM reach r WHERE r.a = m.vec_id) AS component_id,
+  m.vec_id = (SELECT min(b) FROM reach r WHERE r.a = m.vec_id) AS kept FROM embeddings m""",
 }
-ORACLE_SQL = {name: sql for name, sql in ORACLE_SQL.items() if sql}
