@@ -120,8 +120,37 @@ def test_encoder_equals_the_library():
         "ñandú 日本 語",
         "a" * 3000,
     ]
-    found = wavelet.Encoder(public_tokenizers.path(TOKENIZER)).encode(texts)
-    assert [np.frombuffer(f, "<u4").tolist() + [0] for f in found] == wanted_ids(texts)
+    texts += ["same words\u0085 same words " * 9, "\u2003x y \u3000 z", "à b à\u00a0c ", "日本 語 " * 400]
+    encoder = wavelet.Encoder(public_tokenizers.path(TOKENIZER))
+    for _ in range(2):
+        found = encoder.encode(texts)
+        assert [np.frombuffer(f, "<u4").tolist() + [0] for f in found] == wanted_ids(texts)
+
+
+def test_encoder_with_small_memory_small_slices_and_equal_hashes(monkeypatch):
+    texts = [f"word{i % 7} word{i % 11}  x{i}" for i in range(200)] + ["unbroken" * 2000, None or ""]
+    wanted = wanted_ids(texts)
+    monkeypatch.setattr(wavelet, "CACHED_BYTES", 3000)
+    monkeypatch.setattr(wavelet, "SLICE_BYTES", 300)
+    encoder = wavelet.Encoder(public_tokenizers.path(TOKENIZER))
+    assert [np.frombuffer(f, "<u4").tolist() + [0] for f in encoder.encode(texts)] == wanted
+    assert encoder.held <= 3000
+    monkeypatch.setattr(wavelet, "mixed", lambda x: x * np.uint64(0))
+    assert [np.frombuffer(f, "<u4").tolist() + [0] for f in encoder.encode(texts)] == wanted
+
+
+def test_access_reads_without_decoding(monkeypatch):
+    """A matrix holds the bytes of its file alone, and one access unpacks one block a plane at most."""
+    ids = np.random.default_rng(2).integers(0, 1 << 16, 100_000).astype(np.uint32)
+    payload = wavelet.encode_shard([1], np.array([100_000]), ids, 16)
+    assert len(payload) < 2.2 * len(ids)
+    matrix = wavelet.WaveletMatrix(payload)
+    assert all(part.base is not None for part in (*matrix.bits, *matrix.ranks))
+    unpacked = []
+    plain = np.unpackbits
+    monkeypatch.setattr(wavelet.np, "unpackbits", lambda a, **k: unpacked.append(len(a)) or plain(a, **k))
+    assert matrix.access(77_777) == ids[77_777]
+    assert sum(unpacked) <= 16 * wavelet.BLOCK // 8
 
 
 def test_token_table_edges(cases):

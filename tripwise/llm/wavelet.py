@@ -2,12 +2,12 @@
 
 A shard file holds the ids of its documents, in ascending document order, as bit planes
 from the highest bit down. Each plane is split stably into zeros and ones; counts of ones
-per block give rank and select, so one file answers access, count and occurrence lookup
-without being decoded. Layout, little endian:
+per block are stored beside them and give rank and select, so one file answers access, count and
+occurrence lookup from its own bytes, without being decoded. Layout, little endian:
 
-    magic b"TWM1", u32 planes, u64 ids, u64 documents
+    magic b"TWM2", u32 planes, u64 ids, u64 documents
     i64 document ids, u8 "document id is null", u64 end position of each document
-    for each plane: u64 zeros, u32 compressed bytes, zlib of the packed bits
+    for each plane: u64 zeros, the packed bits, u32 ones before each block of 512 bits
 
 Defined cases: a null text is an empty one, so it holds the end id alone; null document
 ids come first; rows with the same id keep the order of their texts; an empty table makes
@@ -18,64 +18,82 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripwise.llm.tables import parts_for
-from tripwise.llm.words import per_worker
-from tripwise.sources.shared import fresh_path
+from tripwise.llm.words import byte_values, mixed, per_worker, powers, slices
+from tripwise.operators.ranks import running_sums
+from tripwise.sources.shared import fresh_path, written
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 END_ID = 0
-SHARD_BYTES = 4 << 20
+#: Ids of one shard, as 32-bit numbers, and text of one task.
+SHARD_BYTES = 8 << 20
+TASK_BYTES = 200 << 20
+LEAST_RANGES = 24
+KEY_CHARS = 32
+#: Text that is cut into chunks at once.
+SLICE_BYTES = 2 << 20
 BLOCK = 512
-CACHED_PIECES = 400_000
+#: What a worker remembers of chunks, their ids and the dict entries that hold them.
+CACHED_BYTES = 256 << 20
+ENTRY_BYTES = 200
 JOINED_PIECES = 64
 # How byte-level vocabularies spell a space.
 BYTE_SPACE = "Ġ"
+WIDE_SPACES = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 
 
 class WaveletMatrix:
-    """Read access to the ids of one shard file."""
+    """Read access to the ids of one shard file; holds the file's bytes and no others."""
 
     def __init__(self, payload: bytes):
         if payload[:4] != MAGIC:
             raise ValueError("Not a wavelet matrix file")
-        planes, self.size, docs = struct.unpack_from("<IQQ", payload, 4)
-        at = 24
-        ids = np.frombuffer(payload, "<i8", docs, at)
-        null = np.frombuffer(payload, "u1", docs, at + 8 * docs)
-        self.doc_ids = [None if gone else int(i) for i, gone in zip(ids, null)]
-        self.ends = np.frombuffer(payload, "<u8", docs, at + 9 * docs).astype(np.int64)
-        at += 17 * docs
+        planes, self.size, self.docs = struct.unpack_from("<IQQ", payload, 4)
+        self.payload = payload
+        at = 24 + 9 * self.docs
+        self.ends = np.frombuffer(payload, "<u8", self.docs, at)
+        at += 8 * self.docs
         self.bits, self.zeros, self.ranks = [], [], []
+        packed, blocks = -(-self.size // 8), -(-self.size // BLOCK)
         for _ in range(planes):
-            zeros, length = struct.unpack_from("<QI", payload, at)
-            at += 12
-            raw = np.frombuffer(zlib.decompress(payload[at : at + length]), np.uint8)
-            at += length
-            bits = np.unpackbits(raw, count=self.size)
-            sums = np.add.reduceat(bits, np.arange(0, self.size, BLOCK), dtype=np.int64)
-            self.bits.append(bits)
-            self.zeros.append(zeros)
-            self.ranks.append(np.concatenate([[0], np.cumsum(sums)]))
+            self.zeros.append(struct.unpack_from("<Q", payload, at)[0])
+            self.bits.append(np.frombuffer(payload, np.uint8, packed, at + 8))
+            self.ranks.append(np.frombuffer(payload, "<u4", blocks, at + 8 + packed))
+            at += 8 + packed + 4 * blocks
+
+    @property
+    def doc_ids(self) -> list[int | None]:
+        ids = np.frombuffer(self.payload, "<i8", self.docs, 24).tolist()
+        null = np.frombuffer(self.payload, "u1", self.docs, 24 + 8 * self.docs).tolist()
+        return [None if gone else i for i, gone in zip(ids, null)]
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        """The bits of one block."""
+        first = block * BLOCK // 8
+        held = self.bits[plane][first : first + BLOCK // 8]
+        return np.unpackbits(held, count=min(BLOCK, self.size - block * BLOCK))
 
     def _ones(self, plane: int, at: int) -> int:
         """Ones among the first ``at`` bits of a plane."""
-        block = at // BLOCK
-        rest = self.bits[plane][block * BLOCK : at]
-        return int(self.ranks[plane][block]) + int(rest.sum())
+        block, rest = divmod(at, BLOCK)
+        if block == len(self.ranks[plane]):
+            return self.size - self.zeros[plane]
+        ones = int(self.ranks[plane][block])
+        return ones + int(self._block(plane, block)[:rest].sum()) if rest else ones
 
     def access(self, at: int) -> int:
         """The id at a position."""
         value = 0
         for plane in range(len(self.bits)):
-            bit = int(self.bits[plane][at])
+            bit = int(self.bits[plane][at >> 3]) >> (7 - (at & 7)) & 1
             ones = self._ones(plane, at)
             at = self.zeros[plane] + ones if bit else at - ones
             value = value << 1 | bit
@@ -110,23 +128,29 @@ class WaveletMatrix:
         return at
 
     def _select(self, plane: int, one: int, k: int) -> int:
-        """Position of the ``k``-th one or zero of a plane."""
+        """Position of the ``k``-th one or zero of a plane, by halving its blocks."""
         ranks = self.ranks[plane]
-        counts = ranks if one else np.minimum(np.arange(len(ranks)) * BLOCK, self.size) - ranks
-        block = int(np.searchsorted(counts, k, "right")) - 1
-        inside = np.flatnonzero(self.bits[plane][block * BLOCK : (block + 1) * BLOCK] == one)
-        return block * BLOCK + int(inside[k - counts[block]])
+
+        def before(block: int) -> int:
+            return int(ranks[block]) if one else block * BLOCK - int(ranks[block])
+
+        low, high = 0, len(ranks)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if before(middle) <= k else (low, middle)
+        inside = np.flatnonzero(self._block(plane, low) == one)
+        return low * BLOCK + int(inside[k - before(low)])
 
     def decode(self) -> np.ndarray:
         """All ids: merges zeros and ones back, from the lowest plane to the highest."""
-        values = np.zeros(self.size, np.uint32)
-        for k, (bits, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
-            one = bits.view(bool)
+        values = np.zeros(self.size, np.uint16 if len(self.bits) <= 16 else np.uint32)
+        for k, (packed, zeros) in enumerate(zip(reversed(self.bits), reversed(self.zeros))):
+            one = np.unpackbits(packed, count=self.size).view(bool)
             merged = np.empty_like(values)
-            merged[one] = values[zeros:] | np.uint32(1 << k)
+            merged[one] = values[zeros:] | values.dtype.type(1 << k)
             merged[~one] = values[:zeros]
             values = merged
-        return values
+        return values.astype(np.uint32)
 
 
 def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, planes: int) -> bytes:
@@ -140,29 +164,57 @@ def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
         np.array([i is None for i in doc_ids], "u1").tobytes(),
         np.cumsum(lengths).astype("<u8").tobytes(),
     ]
+    ids = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     for plane in reversed(range(planes)):
-        bits = (ids >> np.uint32(plane) & np.uint32(1)).astype(bool)
-        raw = zlib.compress(np.packbits(bits).tobytes(), 1)
-        out += [struct.pack("<QI", len(ids) - int(bits.sum()), len(raw)), raw]
-        ids = np.concatenate([ids[~bits], ids[bits]])
+        bits = (ids & ids.dtype.type(1 << plane)) != 0
+        packed = np.packbits(bits)
+        whole = np.zeros(-(-len(bits) // BLOCK) * (BLOCK // 8), np.uint8)
+        whole[: len(packed)] = packed
+        sums = np.bitwise_count(whole).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
+        ranks = np.cumsum(sums) - sums
+        ones = ids[bits]
+        out += [struct.pack("<Q", len(ids) - len(ones)), packed.tobytes(), ranks.astype("<u4").tobytes()]
+        ids = np.concatenate([ids[~bits], ones])
     return b"".join(out)
 
 
+def _white(data: np.ndarray) -> np.ndarray:
+    """Bytes of white space characters, those beyond ASCII among them."""
+    white = np.zeros(256, bool)
+    white[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+    out = white[data]
+    for lead in WIDE_SPACES:
+        at = np.flatnonzero(data == lead[0])
+        at = at[at + len(lead) <= len(data)]
+        for i, byte in enumerate(lead[1:], 1):
+            at = at[data[at + i] == byte]
+        for i in range(len(lead)):
+            out[at + i] = True
+    return out
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     Byte-level pre-tokenisation always cuts before a single space that stands between two
-    characters that are not white space. So a text is the chain of its space-separated
-    chunks, and a chunk that comes back needs no second run of the library.
+    characters that are not white space. So a text is the chain of the chunks that begin there, and a
+    chunk that comes back needs no second run of the library. The chunks of many texts are
+    told apart by hashes at once, compared with the first of their kind byte by byte, and
+    only one of each kind is looked up or run.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Ids of "part" and of " part", for parts without white space at their ends.
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
         tokens = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(tokens.values()) + 1, bool)
         self.spaced[[i for token, i in tokens.items() if token.startswith(BYTE_SPACE)]] = True
@@ -176,59 +228,96 @@ class Encoder:
 
     def _run_spaced(self, parts: list[str]) -> list[bytes]:
         """Ids of " part" for each part: some parts run as one text, cut at the ids that begin with a space."""
+        groups = [parts[at : at + JOINED_PIECES] for at in range(0, len(parts), JOINED_PIECES)]
         out = []
-        for at in range(0, len(parts), JOINED_PIECES):
-            own = parts[at : at + JOINED_PIECES]
-            ids = np.frombuffer(self._run([" " + " ".join(own)])[0], "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
+        for own, raw in zip(groups, self._run([" " + " ".join(g) for g in groups])):
+            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])
             if len(starts) != len(own):
                 out += self._run([" " + p for p in own])
                 continue
-            raw, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            cuts = [*(4 * starts).tolist(), len(raw)]
             out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def _learn(self, known: dict[str, bytes], run: Callable, parts: set[str]) -> None:
-        new = [p for p in parts.difference(known) if _solid(p)]
-        if len(known) + len(new) > CACHED_PIECES:
-            known.clear()
-            new = [p for p in parts if _solid(p)]
-        known.update(zip(new, run(new)))
+    def _learned(self, chunks: list[bytes], plain: np.ndarray) -> list[bytes]:
+        """Ids of each chunk; new ones are run and remembered up to ``CACHED_BYTES``.
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [text.split(" ") for text in texts]
-        self._learn(self.first, self._run, {parts[0] for parts in cut})
-        self._learn(self.later, self._run_spaced, {p for parts in cut for p in parts[1:]})
-        out = []
-        for parts in cut:
-            found = [self.first.get(parts[0]), *map(self.later.get, parts[1:])]
-            out.append(b"".join(self._merged(parts) if None in found else found))
-        return out
-
-    def _merged(self, parts: list[str]) -> list[bytes]:
-        """Parts next to other white space are not cut off from their neighbours."""
-        chunks: list[list[str]] = []
-        before = ""
-        for part in parts:
-            if chunks and part and before and not part[0].isspace() and not before[-1].isspace():
-                chunks.append(["", part])
-            elif chunks:
-                chunks[-1].append(part)
-            else:
-                chunks.append([part])
-            before = part
-        out: list[bytes | None] = [
-            self.later.get(c[1]) if len(c) == 2 and not c[0] else None for c in chunks
-        ]
-        open_ = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(open_, self._run([" ".join(chunks[i]) for i in open_])):
+        ``plain`` chunks are one space and a word without white space.
+        """
+        out = list(map(self.known.get, chunks))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        single = [i for i in new if plain[i]]
+        rest = [i for i in new if not plain[i]]
+        for i, ids in zip(single, self._run_spaced([chunks[i][1:].decode() for i in single])):
+            out[i] = ids
+        for i, ids in zip(rest, self._run([chunks[i].decode() for i in rest])):
             out[i] = ids
+        size = sum(len(chunks[i]) + len(out[i]) + ENTRY_BYTES for i in new)
+        if self.held + size > CACHED_BYTES:
+            self.known, self.held = {}, 0
+        if size <= CACHED_BYTES:
+            self.known.update((chunks[i], out[i]) for i in new)
+            self.held += size
         return out
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has."""
+        texts = column.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+        held = texts.buffers()[2]
+        data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        white = _white(data)
+        cut = np.zeros(len(data), bool)
+        cut[1:-1] = (data[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
+        # A space at the beginning or the end of a text has no neighbour there.
+        filled = offsets[:-1] < offsets[1:]
+        cut[offsets[1:][filled] - 1] = False
+        cut[offsets[:-1][filled]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data))
+        at, found = 0, []
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, "right")))
+            low = starts[at]
+            span = slice(low, ends[stop - 1])
+            found.append(self._chunks(data[span], white[span], starts[at:stop] - low, ends[at:stop] - low))
+            at = stop
+        flat, counts = (np.concatenate(c) for c in zip(*found))
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return flat, np.diff(upto[np.searchsorted(starts, offsets)])
+
+    def _chunks(
+        self, data: np.ndarray, white: np.ndarray, starts: np.ndarray, ends: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after the other, and how many each has."""
+        lengths = ends - starts
+        power, inverse = powers(0x9E3779B97F4A7C15, len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_values()[data] * power[: len(data)], out=sums[1:])
+        hashes = mixed((sums[ends] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64))
+        _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        same = (lengths == lengths[first][kind]).all()
+        if not (same and (data == data[_spans(starts[first][kind], lengths)]).all()):
+            # Two kinds share a hash: every chunk stands for itself.
+            first = kind = np.arange(len(starts))
+        raw = data.tobytes()
+        spaces = np.concatenate([[0], np.cumsum(white)])
+        own, after = starts[first], ends[first]
+        plain = (data[own] == 0x20) & (after - own > 1) & (spaces[after] - spaces[own] == 1)
+        learned = self._learned([raw[a:b] for a, b in zip(own.tolist(), after.tolist())], plain)
+        sizes = np.fromiter(map(len, learned), np.int64, len(learned)) // 4
+        ids = np.frombuffer(b"".join(learned), "<u4")
+        counts = sizes[kind]
+        return ids[_spans((np.cumsum(sizes) - sizes)[kind], counts)], counts
 
-def _solid(part: str) -> bool:
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, counts = self.encode_column(pa.array(texts, pa.large_string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip(ends - counts, ends)]
 
 
 def write_shards(
@@ -240,15 +329,17 @@ def write_shards(
     planes: int = 16,
     end_id: int = END_ID,
     shard_bytes: int = SHARD_BYTES,
+    task_bytes: int = TASK_BYTES,
 ) -> int:
     """Encode all documents and write one wavelet matrix for each range of documents.
 
-    Shards are ranges of ``(key, text)`` of about ``shard_bytes`` of text, each written by one
-    task as the only row of a committed Parquet file (``payload``). Returns the number of ranges.
+    A task takes a range of ``(key, text)`` of about ``task_bytes`` of text and cuts it into shards of
+    about ``shard_bytes``, each a row (``seq``, ``payload``) of its committed Parquet file. Returns the
+    number of ranges.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = parts_for(n_bytes, 1, shard_bytes)
+    ranges = parts_for(n_bytes, LEAST_RANGES, task_bytes)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,79 +355,89 @@ def write_shards(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(f"encoder_{tokenizer}", lambda: Encoder(tokenizer))
-        end = np.array([end_id], "<u4").tobytes()
         doc_ids, lengths, parts = [], [], []
+        size = seq = 0
+
+        def closed() -> pa.RecordBatch:
+            payload = encode_shard(doc_ids, np.concatenate(lengths), np.concatenate(parts), planes)
+            columns = [pa.array([seq], pa.int64()), pa.array([payload], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["seq", "payload"])
+
         for batch in batches:
-            copies = batch["copies"].to_pylist()
-            for id_, n in zip(batch["id"].to_pylist(), copies):
-                doc_ids += [id_] * n
-            for at in range(0, batch.num_rows, 128):
-                texts = batch["text"].slice(at, 128).to_pylist()
-                for ids, n in zip(encoder.encode(texts), copies[at : at + 128]):
-                    lengths += [len(ids) // 4 + 1] * n
-                    parts += [ids + end] * n
+            ids_of, copies = batch["id"].to_pylist(), batch["copies"].to_numpy()
+            for low, high in slices(batch["text"], SLICE_BYTES):
+                ids, counts = encoder.encode_column(batch["text"].slice(low, high - low))
+                # The end id behind each text, then each text as often as it follows itself.
+                whole = counts + 1
+                ended = np.full(int(whole.sum()), end_id, np.uint32)
+                ended[_spans(np.cumsum(whole) - whole, counts)] = ids
+                n = copies[low:high]
+                if (n > 1).any():
+                    ended = ended[_spans(np.repeat(np.cumsum(whole) - whole, n), np.repeat(whole, n))]
+                doc_ids += [i for i, k in zip(ids_of[low:high], n.tolist()) for _ in range(k)]
+                lengths.append(np.repeat(whole, n))
+                parts.append(ended)
+                size += 4 * len(ended)
+                if size >= shard_bytes:
+                    yield closed()
+                    doc_ids, lengths, parts = [], [], []
+                    size, seq = 0, seq + 1
         if doc_ids:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            parts.clear()
-            payload = encode_shard(doc_ids, np.array(lengths, np.int64), ids, planes)
-            yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], ["payload"])
+            yield closed()
 
     # Equal rows that follow each other, as a mix of sources leaves them, move and are encoded once.
     rows = rows.mapInArrow(runs, "id bigint, text string, copies bigint")
-    ordered = rows.repartitionByRange(shards, F.col("id").asc_nulls_first(), "text")
+    # Range sampling sends keys to the driver: ids and short beginnings, which order texts alike.
+    ordered = rows.repartitionByRange(ranges, F.col("id").asc_nulls_first(), F.substring("text", 1, KEY_CHARS))
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInArrow(encode, "payload binary").write.parquet(path)
-    return shards
+    ordered.mapInArrow(encode, "seq bigint, payload binary").write.parquet(path)
+    return ranges
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the shard files alone.
+    """``doc_id, file, seq, offset, n_tokens, ids_crc32`` of every document, from the shards alone.
 
-    ``start`` is the number of ids of all documents before it. Shards are ordered by their
-    range, whose number their file names carry.
+    Shards are ordered by their range, whose number their file names carry, and their place in it.
     """
-    schema = "doc_id bigint, file bigint, place bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"
+    schema = "doc_id bigint, file bigint, seq bigint, offset bigint, n_tokens bigint, ids_crc32 bigint"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, payload in zip(batch["file"].to_pylist(), batch["payload"]):
+            for file, seq, payload in zip(batch["file"].to_pylist(), batch["seq"].to_pylist(), batch["payload"]):
                 matrix = WaveletMatrix(payload.as_py())
-                ids = matrix.decode().astype("<u4")
-                starts = np.concatenate([[0], matrix.ends[:-1]]).astype(np.int64)
-                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, matrix.ends)]
+                ids = memoryview(matrix.decode().astype("<u4", copy=False)).cast("B")
+                ends = matrix.ends.astype(np.int64)
+                starts = np.concatenate([[0], ends[:-1]])
+                sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 n = len(sums)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(matrix.doc_ids, pa.int64()),
                         pa.array([file] * n, pa.int64()),
-                        pa.array(np.arange(n), pa.int64()),
+                        pa.array([seq] * n, pa.int64()),
                         pa.array(starts),
-                        pa.array(matrix.ends - starts),
+                        pa.array(ends - starts),
                         pa.array(sums, pa.int64()),
                     ],
-                    ["doc_id", "file", "place", "offset", "n_tokens", "ids_crc32"],
+                    ["doc_id", "file", "seq", "offset", "n_tokens", "ids_crc32"],
                 )
 
     number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
-    files = shards.select(number.alias("file"), "payload")
+    files = shards.select(number.alias("file"), "seq", "payload")
     return files.mapInArrow(read, schema)
 
 
 def token_table(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:
     """Write the shard files and give ``doc_id, start, n_tokens, ids_crc32`` as read back from them.
 
-    The ids before each file are summed over one row per file, not per document.
+    The ids before each shard are summed over one row per shard, not per document.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "shards.parquet")
     write_shards(docs, tokenizer, path, **options)
-    read = read_documents(spark.read.schema("payload binary").parquet(path))
-    whole = fresh_path(spark, "tokens.parquet")
-    read.write.parquet(whole)
-    read = spark.read.schema(read.schema).parquet(whole)
-    totals = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return read.join(totals, "file").select(
+    read = written(read_documents(spark.read.schema("seq bigint, payload binary").parquet(path)), "tokens")
+    totals = read.groupBy("file", "seq").agg(F.sum("n_tokens").alias("n"))
+    totals = running_sums(totals, ["file", "seq"], {"before": F.col("n")}).select("file", "seq", "before")
+    return read.join(totals, ["file", "seq"]).select(
         "doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -52,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base ** i`` and its inverse modulo 2 ** 64 for i up to ``n``."""
     held = per_worker(f"powers_{base}", lambda: [np.ones(1, np.uint64)] * 2)
     if len(held[0]) <= n:
@@ -64,7 +64,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return held[0], held[1]
 
 
-def _byte_values() -> np.ndarray:
+def byte_values() -> np.ndarray:
     return per_worker("byte_values", lambda: mixed(np.arange(1, 257, dtype=np.uint64)))
 
 
@@ -104,7 +104,7 @@ class Words:
         total = len(self.hashes)
         if total < n:
             return np.empty(0, np.uint64)
-        power, inverse = _powers(base, total)
+        power, inverse = powers(base, total)
         sums = np.zeros(total + 1, np.uint64)
         np.cumsum(self.hashes * power[:total], out=sums[1:])
         count = total - n + 1
@@ -153,9 +153,9 @@ def words_of(column: pa.Array, in_word: np.ndarray, fold: bool = False) -> Words
         low = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, low + PART_BYTES, "right")))
         part = data[low : ends[stop - 1]]
-        power, inverse = _powers(0xD6E8FEB86659FD93, len(part))
+        power, inverse = powers(0xD6E8FEB86659FD93, len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_byte_values()[part] * power[: len(part)], out=sums[1:])
+        np.cumsum(byte_values()[part] * power[: len(part)], out=sums[1:])
         first = starts[at:stop] - low
         hashes[at:stop] = mixed((sums[ends[at:stop] - low] - sums[first]) * inverse[first])
         at = stop
