@@ -16,6 +16,7 @@ no shard.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,11 +40,11 @@ TASK_BYTES = 200 << 20
 LEAST_RANGES = 24
 KEY_CHARS = 32
 #: Text that is cut into chunks at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BLOCK = 512
 #: What a worker remembers of chunks, their ids and the dict entries that hold them.
-CACHED_BYTES = 256 << 20
-ENTRY_BYTES = 200
+CACHED_BYTES = 96 << 20
+ENTRY_BYTES = 240
 JOINED_PIECES = 64
 # How byte-level vocabularies spell a space.
 BYTE_SPACE = "Ġ"
@@ -210,6 +211,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Tasks are the parallelism; threads of the library would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
