@@ -1,3 +1,4 @@
+import math
 import hashlib
 import zlib
 
@@ -315,3 +316,57 @@ def test_toxicity_edges(spark, cases):
     nothing = toxicity.train_toxicity(cases, labels.limit(0))
     assert {r["score"] for r in toxicity.scored(cases, nothing).collect()} == {0.5}
     assert toxicity.scored(cases.limit(0), model).count() == 0
+
+
+def plain_ftrl(samples, settings):
+    """FTRL-proximal, one coordinate at a time, with dicts."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else settings.l1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1.0 if z[i] > 0 else -1.0
+        return -(z[i] - sign * l1) / ((settings.beta + n[i] ** 0.5) / settings.alpha + settings.l2)
+
+    for _ in range(settings.epochs):
+        for label, features in samples:
+            at = [*features, "bias"]
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+            g = (p - label) * (settings.positive_weight if label else 1.0)
+            for i in at:
+                before = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / settings.alpha * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(5)
+    samples = []
+    for _ in range(300):
+        label = float(rng.random() < 0.3)
+        features = rng.integers(0, 30, 6)
+        samples.append((label, np.unique(np.append(features, 40 + int(label)) if rng.random() < 0.8 else features)))
+    settings = toxicity.Ftrl(alpha=0.7, l1=1.5, epochs=3)
+    features, weights, bias = toxicity.fit_ftrl(samples, settings, 6)
+    wanted = plain_ftrl([(y, x.tolist()) for y, x in samples], settings)
+    assert bias == pytest.approx(wanted.pop("bias", 0.0))
+    assert dict(zip(features.tolist(), weights)) == pytest.approx(wanted)
+
+
+def test_settings_are_compared_on_training_rows_alone(spark):
+    """Labels of held-out rows are wrong on purpose and change nothing."""
+    words = F.when(F.col("id") % 4 == 0, "vile awful words").otherwise("some kind words")
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(words, F.lit(" x"), (F.col("id") % 17)).alias("text"))
+    truth = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    wrong = truth.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    candidates = [toxicity.Ftrl(), toxicity.Ftrl(l1=1e6)]
+    found = [
+        sorted(map(tuple, toxicity.compared_settings(docs, labels, candidates, bits=12).collect())) for labels in (truth, wrong)
+    ]
+    assert found[0] == found[1]
+    (_, n, toxic, caught, alarms, loss), (*_, dull) = found[0]
+    assert n == docs.filter(~toxicity.held_out()).count() and toxic == caught and alarms == 0
+    assert loss < dull

@@ -19,13 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tripwise.llm.words import Words, letter_words, mixed, slices, words_of
+from tripwise.sources.shared import written
 
 # Labelled documents that the model is fitted on, about; chosen by hash of the id.
 TRAIN_DOCS = 12_000
 FEATURE_BITS = 20
 THRESHOLD = 0.7
+JUDGED = pa.schema(
+    [(c, pa.int64()) for c in ("candidate", "n", "toxic", "caught", "false_alarms")] + [("loss", pa.float64())]
+)
 
 
 @dataclass
@@ -106,21 +111,12 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % 3 == 1
 
 
-def train_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "toxic",
-    train_docs: int = TRAIN_DOCS,
-    settings: Ftrl = Ftrl(),
-    bits: int = FEATURE_BITS,
-    seed: int = 42,
-) -> ToxicityModel:
-    """Fit on about ``train_docs`` labelled documents that are not held out.
+def _samples(
+    docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, train_docs: int, bits: int, seed: int
+) -> DataFrame:
+    """``order, label, features`` of about ``train_docs`` labelled documents that are not held out.
 
-    Ids are chosen before any text is read. Features are made where the texts are; FTRL is
-    sequential, so one task runs it over the bounded sample.
+    Ids are chosen before any text is read. Features are made where the texts are.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("double").alias("_label"))
@@ -144,10 +140,76 @@ def train_toxicity(
                     ["order", "label", "features"],
                 )
 
-    samples = rows.select(order.alias("order"), "_label", "_text").mapInArrow(
+    return rows.select(order.alias("order"), "_label", "_text").mapInArrow(
         featured, "order bigint, label double, features binary"
     )
 
+
+def compared_settings(
+    docs: DataFrame,
+    labels: DataFrame,
+    candidates: list[Ftrl],
+    folds: int = 3,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    train_docs: int = TRAIN_DOCS,
+    bits: int = FEATURE_BITS,
+    seed: int = 42,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """``candidate, n, toxic, caught, false_alarms, log_loss`` by cross-validation.
+
+    Only rows that training may see take part: each fold of them is scored by a model of the
+    others, so settings can be chosen without a look at the held-out labels. One task fits one
+    candidate and fold on the bounded sample.
+    """
+    samples = written(_samples(docs, labels, key, text, label, train_docs, bits, seed), "samples")
+    trials = [F.lit(i) for i in range(len(candidates) * folds)]
+    dealt = samples.withColumn("trial", F.explode(F.array(*trials)))
+
+    def judge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("order", "ascending")])
+        trial = rows["trial"][0].as_py()
+        candidate, fold = divmod(trial, folds)
+        order = rows["order"].to_numpy()
+        held = mixed(order.view(np.uint64)) % np.uint64(folds) == np.uint64(fold)
+        y = rows["label"].to_numpy()
+        x = [np.frombuffer(f.as_py(), "<u4").astype(np.int64) for f in rows["features"]]
+        seen = [(y[i], x[i]) for i in np.flatnonzero(~held)]
+        features, weights, bias = fit_ftrl(seen, candidates[candidate], bits)
+        dense = np.zeros(1 << bits)
+        dense[features] = weights
+        sums = np.array([dense[x[i]].sum() + bias for i in np.flatnonzero(held)])
+        p = 1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35)))
+        up, alarm = y[held] == 1, p >= threshold
+        loss = -np.log(np.where(up, p, 1 - p).clip(1e-15)).sum()
+        found = {"n": int(held.sum()), "toxic": int(up.sum()), "caught": int((up & alarm).sum())}
+        found |= {"candidate": candidate, "false_alarms": int((~up & alarm).sum()), "loss": float(loss)}
+        return pa.Table.from_pylist([found], schema=JUDGED)
+
+    judged = dealt.groupBy("trial").applyInArrow(judge, from_arrow_schema(JUDGED))
+    sums = [F.sum(c).alias(c) for c in ("n", "toxic", "caught", "false_alarms")]
+    return judged.groupBy("candidate").agg(*sums, (F.sum("loss") / F.sum("n")).alias("log_loss"))
+
+
+def train_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    train_docs: int = TRAIN_DOCS,
+    settings: Ftrl = Ftrl(),
+    bits: int = FEATURE_BITS,
+    seed: int = 42,
+) -> ToxicityModel:
+    """Fit on about ``train_docs`` labelled documents that are not held out.
+
+    FTRL is sequential, so one task runs it over the bounded sample.
+    """
+    samples = _samples(docs, labels, key, text, label, train_docs, bits, seed)
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:

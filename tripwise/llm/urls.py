@@ -31,6 +31,7 @@ RULES: list[Rule] = [
 
 # Labelled URLs that the trees are fitted on, about; chosen by hash.
 TRAIN_URLS = 20_000
+FIT_PARTITIONS = 32
 LEXICAL = [
     "url_length",
     "host_length",
@@ -124,6 +125,12 @@ def suffix_statistics(labelled: DataFrame, column: str) -> DataFrame:
     )
 
 
+def is_fitted(url: str, share: float, seed: int) -> Column:
+    """Whether the hash of a URL puts it among this share of all."""
+    draw = F.pmod(F.xxhash64(F.coalesce(url, F.lit("")), F.lit(seed)), F.lit(1 << 30))
+    return draw < int(min(1.0, share) * (1 << 30)) + 1
+
+
 def judged_urls(
     pages: DataFrame,
     key: str = "page_id",
@@ -158,9 +165,8 @@ def judged_urls(
             F.lit(counts["lo"] or 0.0).cast("double").alias("score"),
         )
 
-    part = min(1.0, train_urls / counts["n"])
-    chosen = F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit(seed)), F.lit(1 << 30))
-    labelled = rows.filter(F.col("label").isNotNull() & (chosen < int(part * (1 << 30)) + 1))
+    chosen = is_fitted("url", train_urls / counts["n"], seed)
+    labelled = rows.filter(F.col("label").isNotNull() & chosen)
     labelled = written(labelled, "labelled_urls")
     statistics = {c: written(suffix_statistics(labelled, c), c) for c in ("suffix", "ending")}
     assembler = VectorAssembler(inputCols=LEXICAL, outputCol="features")
@@ -170,8 +176,10 @@ def judged_urls(
             df = df.join(table, F.col(column) == F.col(f"{column}_of"), "left")
         return assembler.transform(df.fillna(0.0, LEXICAL))
 
+    # Spark draws split candidates by partition and position; rows have fixed places, whatever the layout.
+    placed = features(labelled).repartition(FIT_PARTITIONS, "url").sortWithinPartitions("url", "key")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.3).fit(
-        features(labelled).select("features", "label")
+        placed.select("features", "label")
     )
     scored = model.transform(features(rows)).withColumn("score", vector_to_array("probability")[1])
     found = F.when(F.col("score") >= threshold, "block").otherwise("allow")
