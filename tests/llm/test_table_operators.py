@@ -249,15 +249,6 @@ def test_near_copy_stage_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(brute.groups(range(len(texts)), links).values()))
 
 
-def test_pipeline(spark):
-    docs = table(spark, SF_DIR, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, stage(spark, docs, SF_DIR)
-        assert docs.columns == before.columns, name
-    last = corpus_pipeline.run(spark, SF_DIR)
-    assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() > 0
-
-
 def test_vectors_of_two_lengths_are_compared_with_their_own(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.01])]
     rows += [(6, []), (7, [5e-324, 0.0]), (8, [1e300, 1e299, 0.0])]
