@@ -1,4 +1,11 @@
-"""The corpus pipeline: five filtering and encoding stages from documents to token files."""
+"""The corpus pipeline: five filtering and encoding stages from documents to token files.
+
+Each stage works on all rows that the one before it kept, written and read again, and all but the last
+return the columns of their input, clashing names among them. Defined cases: a null or empty text
+is clean prose without words, links with nothing and becomes the end id alone; a null id is kept as such;
+of rows equal in id and text the near-copy stage keeps one; a null source is a source of its own; without
+labels of both kinds nothing is toxic, without a benchmark nothing is contaminated; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -118,3 +118,12 @@ def test_tip_report_of_a_sample_is_exported(spark, trips):
     saved = load_table(spark, target, report.processed.schema)
     assert sorted(map(repr, saved.collect())) == sorted(map(repr, report.processed.collect()))
     assert sum(r["n"] for r in report.tip_rates.collect()) == report.processed.count()
+
+
+def test_a_large_result_is_not_one_file(spark):
+    path = fresh_path(spark, "large.parquet")
+    with pytest.raises(ValueError, match="single file"):
+        write_table(spark.range(100_001), path, single_file=True)
+    assert not Path(path.removeprefix("file:")).exists()
+    write_table(spark.range(100_000), path, single_file=True)
+    assert len(list(Path(path.removeprefix("file:")).glob("part-*"))) == 1
