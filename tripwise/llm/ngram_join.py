@@ -7,12 +7,10 @@ are candidates; their overlap is counted fragment by fragment and summed per pai
 
 Equal sets are one class from the start. In a group of sets that share a fragment every
 member is compared with one pivot only, the member that shares most fragments with others
-(the original of a family of copies does). What this leaves undecided (members of different
-components that were never compared) is grouped anew by rare n-grams: in any order of the
-n-grams, similar sets share one of their first, and an order that puts frequent ones last
-keeps texts apart that only share a passage. Each round compares with twice as many pivots
-of these groups. So no pair inside a component is listed and no link between components is
-missed.
+(the original of a family of copies does). Groups that are still spread over several components
+are then cut into blocks, and the members of two blocks are compared with each other in one task, by
+bytes of many fine fragments first and by n-grams where these allow it. A block pair hands on a
+forest. So no pair inside a component is listed and no link between components is missed.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 null ids and repeated rows are rows of their own, joined to their class by the set, not by
@@ -37,9 +35,11 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK_BYTES = 4 << 20
 COUNTED_FRAGMENTS = 4
-# Undecided sets in which n-grams are counted, and n-grams that are known to be frequent.
-SAMPLED_SETS = 2_000
-FREQUENT_GRAMS = 50_000
+# Sets of a group that are compared with each other at once, and cells of the matrices for it.
+BLOCK_SETS = 256
+SKETCH_CELLS = 1 << 25
+INCIDENCE_CELLS = 1 << 23
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 6, 16
 
 
 class Classes:
@@ -329,33 +329,13 @@ def set_components(
     wanted = nodes.join(groups.select("node").distinct(), "node").select("node", "of")
     grams = written(_fragment_rows(rows, written(wanted, "wanted"), n, seed, fragments), "fragments")
     links = written(_verified(pairs, grams, percent), "links")
-    done, compared = components(links), pairs
-    spans = _spans(groups, done).filter("low < high AND pivots > 2").select("signature")
-    open_ = groups.join(spans, "signature").groupBy("node").agg(F.min("order").alias("order"))
-    groups = written(_rare_groups(grams, written(open_, "undecided_sets"), percent), "rare_groups")
-    pivots = 0
-    while True:
-        split = _spans(groups, done).filter(f"low < high AND pivots > {pivots}")
-        split = written(split.select("signature"), "split_groups")
-        if split.isEmpty():
-            return sets.drop("check"), done
-        own = written(_with_component(groups, done).join(split, "signature"), "undecided")
-        rank = F.row_number().over(Window.partitionBy("signature").orderBy("order"))
-        pivots = 2 * pivots + 1
-        heads = own.filter("is_pivot").withColumn("rank", rank).filter(F.col("rank") <= pivots).select(
-            "signature", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("n_b"), F.col("lone").alias("lone_b")
-        )
-        fresh = own.join(written(heads, "heads"), "signature").filter("component <> of_b AND n_b <= n")
-        # N-grams that no other undecided set has count towards the difference of any pair.
-        fresh = fresh.filter(f"(lone + lone_b) * {100 + percent} <= (n + n_b) * {100 - percent}")
-        fresh = fresh.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        seen = compared.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = written(fresh.join(seen, ["a", "b"], "left_anti"), "more_pairs")
-        found = written(_verified(fresh, grams, percent), "more_links")
-        compared = compared.unionByName(fresh)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            done = components(links)
+    done = components(links)
+    discard(pairs, links)
+    more = _block_links(groups, done, grams, percent)
+    if more.isEmpty():
+        return sets.drop("check"), done
+    merged = done.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return sets.drop("check"), components(merged.unionByName(more))
 
 
 def _with_component(groups: DataFrame, done: DataFrame) -> DataFrame:
@@ -370,71 +350,151 @@ def _spans(groups: DataFrame, done: DataFrame) -> DataFrame:
     )
 
 
-def _rare_groups(grams: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
-    """``signature, node, order, n, lone, is_pivot``: each undecided set under the first n-grams of its own.
+def _differing(sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """The largest symmetric difference of similar sets of these sizes."""
+    return (sizes + others) * (100 - percent) // (100 + percent)
+
+
+def _sketches(grams: DataFrame, percent: int) -> DataFrame:
+    """``node, n, sketch``: one byte for each of many fine fragments of a set.
 
-    Similar sets share an n-gram that is among the first of both, and for the smaller one an even
-    shorter prefix will do; only sets that have the n-gram in that prefix can be pivots of the
-    group, for partners of their size or larger. Any total order of the n-grams is right. This one counts them in about ``SAMPLED_SETS`` of
-    the sets and puts the ``FREQUENT_GRAMS`` most frequent last, so what is broadcast is bounded.
+    Each n-gram that two sets do not share spoils one fragment at most, so similar sets agree on
+    all but as many fragments as they may differ in n-grams. There are at least four times as
+    many. A byte is a sum, so neighbouring fragments can be added up to halve their number.
     """
-    share = min(1.0, SAMPLED_SETS / max(1, open_.count()))
-    drawn = open_.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in batch["grams"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(own.as_py(), np.int64))], ["gram"])
-
-    counted = grams.join(drawn.select("node"), "node").select("grams").mapInArrow(exploded, "gram bigint")
-    counted = counted.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2")
-    frequent = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).toArrow()
-    values = frequent["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(values)
-    shared = grams.sparkSession.sparkContext.broadcast((values[order], frequent["n"].to_numpy()[order]))
-
-    def first_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = shared.value
-        for batch in batches:
-            nodes, signatures, sizes, heads = [], [], [], []
-            for node, parts in zip(batch["node"].to_pylist(), batch["parts"].to_pylist()):
+            sketches, sizes = [], []
+            for parts in batch["parts"].to_pylist():
                 own = np.frombuffer(b"".join(parts), np.uint64)
-                at = np.searchsorted(values, own)
-                n = np.zeros(len(own), np.int64)
-                inside = at < len(values)
-                inside[inside] = values[at[inside]] == own[inside]
-                n[inside] = counts[at[inside]]
-                take = len(own) - -(-percent * len(own) // 100) + 1
-                first = own[np.lexsort((own, n))[:take]]
-                short = len(own) - -(-2 * percent * len(own) // (100 + percent)) + 1
-                nodes += [node] * take
-                sizes += [len(own)] * take
-                heads += [k < short for k in range(take)]
-                signatures.append(first.view(np.int64))
-            if nodes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(signatures)), pa.array(nodes), pa.array(sizes), pa.array(heads)],
-                    ["signature", "node", "n", "is_pivot"],
-                )
+                wanted = 4 * int(_differing(np.int64(len(own)), np.int64(len(own)), percent)) + 1
+                bits = int(np.clip(wanted.bit_length(), LEAST_SKETCH_BITS, MOST_SKETCH_BITS))
+                sums = np.zeros(1 << bits, np.uint8)
+                np.add.at(sums, (own >> np.uint64(64 - bits)).astype(np.int64), mixed(own).astype(np.uint8))
+                sketches.append(sums.tobytes())
+                sizes.append(len(own))
+            columns = [batch["node"], pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch"])
 
     # A repeated row has the same fragments twice.
-    whole = grams.join(open_.select("node"), "node").groupBy("node").agg(F.collect_set("grams").alias("parts"))
-    whole = written(whole, "undecided_grams")
-
-    def listed_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, parts in zip(batch["node"].to_pylist(), batch["parts"].to_pylist()):
-                own = np.frombuffer(b"".join(parts), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(np.full(len(own), node))], ["gram", "node"]
-                )
-
-    holders = whole.mapInArrow(listed_grams, "gram bigint, node bigint")
-    holders = holders.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-    lone = holders.filter("node = other").groupBy("node").agg(F.count("*").alias("lone"))
-    open_ = open_.join(lone, "node", "left").fillna(0, ["lone"])
-    listed = whole.mapInArrow(first_grams, "signature bigint, node bigint, n bigint, is_pivot boolean")
-    return listed.join(open_, "node")
+    whole = grams.groupBy("node").agg(F.collect_set("grams").alias("parts"))
+    return whole.mapInArrow(made, "node bigint, n bigint, sketch binary")
+
+
+def _compared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of rows of a block pair are to be compared: across blocks or, in one block, all; not inside a component."""
+    block, component = table["block"].to_numpy(), table["component"].to_numpy()
+    pairs = component[:, None] != component
+    if table["low"][0].as_py() != table["high"][0].as_py():
+        pairs &= block[:, None] != block
+    return pairs, table["node"].to_numpy()
+
+
+def _promising(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The rows of a block pair that may be similar to another one by their sketches."""
+        pairs, _ = _compared(table)
+        sizes = table["n"].to_numpy()
+        small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
+        pairs &= 100 * small >= percent * large
+        sketches = table["sketch"].to_pylist()
+        lengths = np.array([len(s) for s in sketches])
+        kept = np.zeros(len(sizes), bool)
+        for length in np.unique(lengths):
+            own = np.flatnonzero(lengths == length)
+            x = np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(len(own), -1)
+            for wider in (length, 2 * length):
+                other = np.flatnonzero(lengths == wider)
+                if not len(other) or not pairs[np.ix_(own, other)].any():
+                    continue
+                y = np.frombuffer(b"".join(sketches[i] for i in other), np.uint8).reshape(len(other), -1)
+                if wider > length:
+                    y = y.reshape(len(other), -1, 2).sum(2, dtype=np.uint8)
+                step = max(1, SKETCH_CELLS // (len(other) * int(length)))
+                for at in range(0, len(own), step):
+                    rows = own[at : at + step]
+                    agree = (x[at : at + step, None] == y).sum(2)
+                    differ = length - agree <= _differing(sizes[rows][:, None], sizes[other], percent)
+                    differ &= pairs[np.ix_(rows, other)]
+                    kept[rows[differ.any(1)]] = True
+                    kept[other[differ.any(0)]] = True
+        return table.filter(pa.array(kept)).select(["signature", "low", "high", "block", "node", "component"])
+
+    return run
+
+
+def _counted(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A node of the same connected part for each row of a block pair that has a link.
+
+        Overlaps are counted fragment by fragment, as products of the rows' incidence with its
+        n-grams, and summed per pair.
+        """
+        pairs, nodes = _compared(table)
+        parts = [[np.frombuffer(p, np.uint64) for p in row] for row in table["parts"].to_pylist()]
+        own = [np.sort(np.concatenate(p)) for p in parts]
+        sizes = np.array([len(g) for g in own])
+        everything = np.concatenate(own)
+        holder = np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(everything, kind="stable")
+        everything, holder = everything[order], holder[order]
+        column = np.cumsum(np.concatenate([[0], everything[1:] != everything[:-1]])) if len(everything) else holder
+        both = np.zeros(pairs.shape, np.float64)
+        width = max(1, INCIDENCE_CELLS // len(own))
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            low, high = np.searchsorted(column, [first, first + width])
+            held = np.zeros((len(own), width), np.float32)
+            held[holder[low:high], column[low:high] - first] = 1
+            both += held @ held.T
+        union = sizes[:, None] + sizes - both
+        hit = pairs & (100 * both >= percent * union)
+        root = np.arange(len(nodes))
+        while True:
+            new = np.minimum(root, np.where(hit, root, len(root)).min(1, initial=len(root)))
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        linked = root != np.arange(len(nodes))
+        return pa.table({"a": nodes[linked], "b": nodes[root[linked]]})
+
+    return run
+
+
+def _block_links(groups: DataFrame, done: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: connections among the sets of groups that still lie in several components.
+
+    Such groups are cut into blocks, and the rows of two blocks are compared with each other at once: by
+    sketches first, and those that may be similar by their n-grams. What comes out is a forest of
+    a block pair, not its pairs. Groups with the same members are one.
+    """
+    # The other member of a group of two has met its pivot.
+    spans = _spans(groups, done).filter("low < high AND pivots > 2").select("signature")
+    members = written(groups.select("signature", "node").join(spans, "signature"), "undecided")
+    names = [F.xxhash64("node", F.lit(i)) for i in range(3)]
+    same = members.groupBy("signature").agg(
+        F.count("*").alias("size"), *[F.bit_xor(name).alias(f"h{i}") for i, name in enumerate(names)]
+    )
+    one = same.groupBy("size", "h0", "h1", "h2").agg(F.min("signature").alias("signature"))
+    blocks = F.ceil(F.col("size") / BLOCK_SETS)
+    members = members.join(one.select("signature", blocks.alias("blocks")), "signature")
+    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    members = _with_component(members, done)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    dealt = members.select("signature", "block", "node", "component", other)
+    dealt = dealt.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
+    used = written(grams.join(members.select("node").distinct(), "node", "left_semi"), "undecided_grams")
+    sketches = written(_sketches(used, percent), "sketches")
+    key = ["signature", "low", "high"]
+    schema = "signature bigint, low bigint, high bigint, block bigint, node bigint, component bigint"
+    promising = dealt.join(sketches, "node").groupBy(*key).applyInArrow(_promising(percent), schema)
+    promising = written(promising, "promising")
+    whole = used.groupBy("node").agg(F.collect_set("grams").alias("parts"))
+    compared = promising.join(whole, "node").groupBy(*key).applyInArrow(_counted(percent), "a bigint, b bigint")
+    found = written(compared.distinct(), "block_links")
+    discard(used, sketches, promising)
+    return found
 
 
 def _labelled(docs: DataFrame, key: str, text: str, options: dict) -> DataFrame:
