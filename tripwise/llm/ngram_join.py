@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.llm.components import components
@@ -40,6 +40,7 @@ BLOCK_SETS = 256
 SKETCH_CELLS = 1 << 25
 INCIDENCE_CELLS = 1 << 23
 LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 6, 16
+MOST_FILTER_BITS = 1 << 29
 
 
 class Classes:
@@ -220,9 +221,32 @@ def _shard_members(shard: pa.Table) -> pa.Table:
     return pa.table({"signature": signature.view(np.int64), "node": node, "pivot": pivot})
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose id may be among the wanted ones, by a bitmap of their hashes.
+
+    So only these texts are shuffled for the join. The bitmap has some 64 bits for each wanted id and
+    ``MOST_FILTER_BITS`` at most (64 MB), which is also the bound of what is broadcast; a full one
+    lets everything pass.
+    """
+    bits = 1 << (64 * wanted.count()).bit_length()
+    bits = max(1 << 15, min(MOST_FILTER_BITS, bits))
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column, F.lit(5)), F.lit(bits)) + 1
+
+    bitmaps = wanted.groupBy(F.bitmap_bucket_number(place("of")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("of"))).alias("_bitmap")
+    )
+    at = F.bitmap_bit_position(place("id"))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, int(_at div 8) + 1, 1)")), 16, 10).cast("int")
+    placed = docs.withColumns({"_bucket": F.bitmap_bucket_number(place("id")), "_at": at})
+    held = placed.join(F.broadcast(bitmaps), "_bucket").filter(F.getbit(byte, F.expr("int(_at % 8)")) == 1)
+    return held.select(*docs.columns)
+
+
 def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, seed: int, fragments: int) -> DataFrame:
     """``node, fragment, n, grams`` of the sets that pairs need, made from one text of each class."""
-    used = docs.join(wanted, F.col("id").eqNullSafe(F.col("of")))
+    used = _likely(docs, wanted).join(wanted, F.col("id").eqNullSafe(F.col("of")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
