@@ -370,3 +370,31 @@ def test_settings_are_compared_on_training_rows_alone(spark):
     (_, n, toxic, caught, alarms, loss), (*_, dull) = found[0]
     assert n == docs.filter(~toxicity.held_out()).count() and toxic == caught and alarms == 0
     assert loss < dull
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_join_of_chains_in_small_blocks(spark, monkeypatch, n, percent):
+    """Chains in which only neighbours are similar, so that one pivot decides little, beside a shared passage."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for chain in range(6):
+        text = [*rng.choice(words, 150), *words[:150]] if chain < 4 else list(rng.choice(words, 40))
+        for _ in range(9):
+            texts.append(" ".join(text))
+            for at in rng.integers(0, len(text) // 2, 1 + 2 * (percent == 80)):
+                text[at] = rng.choice(words)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    links = brute.jaccard_links([brute.shingles(t, n) for t in texts], percent)
+    wanted = brute.groups(range(len(texts)), links)
+    found = ngram_join.linked_documents(docs, n=n, percent=percent).collect()
+    assert {r["id"]: r["component_id"] for r in found} == wanted
+    assert 6 < len(set(wanted.values())) < len(texts)
+
+
+def test_bitmap_lets_every_wanted_id_pass(spark):
+    docs = spark.range(50_000).selectExpr("IF(id = 5, NULL, id) AS id", "'x' AS text")
+    wanted = spark.range(0, 50_000, 97).selectExpr("IF(id = 97, NULL, id) AS of", "id AS node")
+    passed = {r["id"] for r in ngram_join._likely(docs, wanted).select("id").collect()}
+    assert {r["of"] for r in wanted.collect()} <= passed and len(passed) < 2_500
