@@ -352,10 +352,12 @@ def set_components(
     pairs = written(pairs, "pairs")
     wanted = nodes.join(groups.select("node").distinct(), "node").select("node", "of")
     grams = written(_fragment_rows(rows, written(wanted, "wanted"), n, seed, fragments), "fragments")
-    links = written(_verified(pairs, grams, percent), "links")
+    sketches = written(_sketches(grams, percent), "sketches")
+    likely = written(_likely_pairs(pairs, sketches, percent), "likely_pairs")
+    links = written(_verified(likely, grams, percent), "links")
     done = components(links)
-    discard(pairs, links)
-    more = _block_links(groups, done, grams, percent)
+    discard(pairs, likely, links)
+    more = _block_links(groups, done, grams, sketches, percent)
     if more.isEmpty():
         return sets.drop("check"), done
     merged = done.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -406,6 +408,30 @@ def _sketches(grams: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(made, "node bigint, n bigint, sketch binary")
 
 
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that their sketches allow to be similar; others send no n-grams."""
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            columns = (batch[c].to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))
+            for n, m, x, y in zip(*columns):
+                if 100 * min(n, m) < percent * max(n, m):
+                    kept.append(False)
+                    continue
+                x, y = (np.frombuffer(s, np.uint8) for s in (x, y))
+                while len(x) != len(y):
+                    if len(x) > len(y):
+                        x, y = y, x
+                    y = y.reshape(-1, 2).sum(1, dtype=np.uint8)
+                kept.append(bool(np.count_nonzero(x != y) <= _differing(np.int64(n), np.int64(m), percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return joined.mapInArrow(agreeing, "a bigint, b bigint")
+
+
 def _compared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of rows of a block pair are to be compared: across blocks or, in one block, all; not inside a component."""
     block, component = table["block"].to_numpy(), table["component"].to_numpy()
@@ -486,7 +512,9 @@ def _counted(percent: int):
     return run
 
 
-def _block_links(groups: DataFrame, done: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def _block_links(
+    groups: DataFrame, done: DataFrame, grams: DataFrame, sketches: DataFrame, percent: int
+) -> DataFrame:
     """``a, b``: connections among the sets of groups that still lie in several components.
 
     Such groups are cut into blocks, and the rows of two blocks are compared with each other at once: by
@@ -508,16 +536,15 @@ def _block_links(groups: DataFrame, done: DataFrame, grams: DataFrame, percent:
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     dealt = members.select("signature", "block", "node", "component", other)
     dealt = dealt.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    used = written(grams.join(members.select("node").distinct(), "node", "left_semi"), "undecided_grams")
-    sketches = written(_sketches(used, percent), "sketches")
     key = ["signature", "low", "high"]
     schema = "signature bigint, low bigint, high bigint, block bigint, node bigint, component bigint"
     promising = dealt.join(sketches, "node").groupBy(*key).applyInArrow(_promising(percent), schema)
     promising = written(promising, "promising")
+    used = grams.join(promising.select("node").distinct(), "node", "left_semi")
     whole = used.groupBy("node").agg(F.collect_set("grams").alias("parts"))
     compared = promising.join(whole, "node").groupBy(*key).applyInArrow(_counted(percent), "a bigint, b bigint")
     found = written(compared.distinct(), "block_links")
-    discard(used, sketches, promising)
+    discard(sketches, promising)
     return found
 
 
