@@ -9,6 +9,7 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from tests.plans import plan_of
+from tripwise.catalog import queries
 from tripwise.functions.text import (
     ENGLISH_STOP_WORDS,
     clean_text,
@@ -137,6 +138,16 @@ def test_tfidf_by_broadcast_and_by_shuffle(spark, threshold):
     assert model.n_terms == model.vocabulary.count()
 
 
+def test_large_vocabularies_are_hashed_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "HASHED_TERMS", 1)
+    texts = TEXTS + ["great items", "broken phone great", "phone broken items", "great"]
+    docs = tfidf.term_vectors(with_terms(frame(spark, texts)), "doc_id")
+    weights = tfidf.fit_tfidf(docs, "counts.term", min_df=2, max_df=0.3).transform(docs, "doc_id")
+    assert "ShuffledHashJoin" in plan_of(weights) and "SortMergeJoin" not in plan_of(weights)
+    found = {(r["doc_id"], r["term"]): r["tfidf"] for r in weights.collect()}
+    assert found == pytest.approx(dict(tfidf_by_hand(texts, 2, 0.3)))
+
+
 def test_terms_are_counted_and_weighted_without_moving_texts(spark):
     docs = with_terms(frame(spark, TEXTS))
     assert "Exchange" not in plan_of(tfidf.term_counts(docs, "doc_id"))
@@ -220,6 +231,25 @@ def test_phrases_mark_a_class_rather_than_being_frequent(spark):
     assert "WindowGroupLimit" in plan_of(top)
 
 
+def test_phrases_are_counted_once_and_only_if_asked_for(spark):
+    """Scores and classes need no phrases; the counts are one shuffle that sizes and totals read again."""
+    refused = "CASE WHEN id < 9 THEN raise_error('counted') ELSE 'x' END"
+    df = spark.range(9).selectExpr("'c' AS c", f"array(CAST({refused} AS STRING)) AS phrases")
+    sentiment.class_phrases(df, "c", "phrases")
+    rows = [("p", ["fast delivery"] * 6 + ["the item"]), ("n", ["the item"] * 9)]
+    top = sentiment.class_phrases(spark.createDataFrame(rows, "c string, phrases array<string>"), "c", "phrases")
+    assert sorted(tuple(r)[:3] for r in top.collect()) == [("n", "the item", 9), ("p", "fast delivery", 6)]
+    final = plan_of(top).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1
+
+
+def test_texts_are_dealt_out_before_they_are_cleaned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries, "written", lambda df, name: seen.append(plan_of(df)) or df)
+    queries._words(spark, "/root/testdata/sf0.001")
+    assert "regexp_replace" not in seen[0].split("Exchange")[1] and "regexp_replace" in seen[0].split("Exchange")[0]
+
+
 def test_lexicon_may_hold_stop_words(spark):
     reviews = frame(spark, ["not what we ordered", "broken items again, broken items"])
     result = review_sentiment(reviews, "doc_id", lexicon={"not": -1.0, "broken": -0.5}, phrases_per_class=1)

@@ -305,10 +305,11 @@ def clean_documents(spark, sf_dir):
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, cleaned once and written for the several passes that read them.
 
-    The given file cannot be split (one row group), so words are dealt out by document before.
+    The given file cannot be split (one row group), so texts are dealt out by document before they
+    are cleaned; cleaning is most of the work.
     """
-    words = with_words(inputs.documents(spark, sf_dir), "text", "doc_id")
-    return written(words.repartition("doc_id"), "words")
+    dealt = inputs.documents(spark, sf_dir).repartition("doc_id")
+    return written(with_words(dealt, "text", "doc_id"), "words")
 
 
 def _listed(words: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripwise.functions.text import exploded
-from tripwise.sources.shared import written
 
 # The opinion words of the review generator and their polarity.
 POSITIVE_ADJECTIVES = [
@@ -88,14 +87,14 @@ def class_phrases(df: DataFrame, class_column: str, phrases: str, k: int = 5) ->
 
     ``g2`` is the log-likelihood ratio of the phrase's share in the class against its share in all
     other classes; only phrases with the larger share in the class are listed, and equal
-    ratios (to six digits) go in phrase order. Everything comes from one written table of counts per
-    class and phrase. The rank limit is applied in each task before rows move to the class's task.
+    ratios (to six digits) go in phrase order. Everything comes from the counts per class and phrase,
+    which Spark shuffles once and reads again; nothing runs until the result is asked for. The
+    rank limit is applied in each task before rows move to the class's task.
     """
-    counted = written(
+    counted = (
         exploded(df, phrases, "phrase", class_column)
         .groupBy(class_column, "phrase")
-        .agg(F.count("*").alias("n")),
-        "phrase_counts",
+        .agg(F.count("*").alias("n"))
     )
     sizes = counted.groupBy(F.col(class_column).alias("_class")).agg(F.sum("n").alias("size"))
     whole = counted.agg(F.sum("n").alias("whole")).scalar()
