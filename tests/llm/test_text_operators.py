@@ -140,6 +140,32 @@ def test_encoder_with_small_memory_small_slices_and_equal_hashes(monkeypatch):
     assert [np.frombuffer(f, "<u4").tolist() + [0] for f in encoder.encode(texts)] == wanted
 
 
+def test_encoder_cuts_where_the_library_does():
+    rng = np.random.default_rng(5)
+    pieces = ["a", "s", "t", "Z", "é", "ß", "×", "÷", "日", "ſ", "\u0301", "1", "٣", " ", " ", "\n", "\n", "\r", "\t", "\u0085", "\u00a0", "\u2003"]
+    pieces += [".", ",", "'", "-", "|", "<", "Ġ", "Ċ", "\x00", "\x1c", "😀", "word", "été", "'s", "'ll"]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 40))) for _ in range(3000)]
+    marked = ["".join(rng.choice([*pieces, "<|endoftext|>"], 12)) for _ in range(300)]
+    for own in (texts, marked, [" ".join(texts)]):
+        encoder = wavelet.Encoder(public_tokenizers.path(TOKENIZER))
+        for _ in range(2):
+            found = encoder.encode(own)
+            assert [np.frombuffer(f, "<u4").tolist() + [0] for f in found] == wanted_ids(own)
+
+
+def test_words_beside_marks_and_lines_are_run_once(monkeypatch):
+    words = ["".join(chr(97 + int(c)) for c in f"{i * 7919:07d}") for i in range(1, 1001)]
+    encoder = wavelet.Encoder(public_tokenizers.path(TOKENIZER))
+    ran = []
+    plain = encoder._run
+    monkeypatch.setattr(encoder, "_run", lambda texts: ran.extend(texts) or plain(texts))
+    for text in (" ".join(f"a {w} {w}. {w}, {w}! {w}" for w in words), "a\n" + "\n".join(f"{w}.\n{w}" for w in words)):
+        (found,) = encoder.encode([text])
+        assert np.frombuffer(found, "<u4").tolist() + [0] == wanted_ids([text])[0]
+    # Each word with a space and without, some to a text.
+    assert sum(map(len, ran)) <= 1.2 * 2 * sum(len(w) + 1 for w in words) and len(ran) <= 50
+
+
 def test_access_reads_without_decoding(monkeypatch):
     """A matrix holds the bytes of its file alone, and one access unpacks one block a plane at most."""
     ids = np.random.default_rng(2).integers(0, 1 << 16, 100_000).astype(np.uint32)

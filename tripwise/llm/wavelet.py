@@ -42,12 +42,18 @@ KEY_CHARS = 32
 #: Text that is cut into chunks at once.
 SLICE_BYTES = 1 << 20
 BLOCK = 512
-#: What a worker remembers of chunks, their ids and the dict entries that hold them.
-CACHED_BYTES = 96 << 20
-ENTRY_BYTES = 240
+#: What a worker remembers of chunks, their ids and hashes.
+CACHED_BYTES = 48 << 20
 JOINED_PIECES = 64
-# How byte-level vocabularies spell a space.
+# How byte-level vocabularies spell a space and a line feed.
 BYTE_SPACE = "Ġ"
+BYTE_LINE = "Ċ"
+# ASCII letters; ASCII characters that are neither letter nor white; second bytes of U+00C0 to U+00FF without the two signs.
+LETTERS, MARKS, ACCENTED = np.zeros((3, 256), bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARKS[0x21:0x7F] = ~LETTERS[0x21:0x7F]
+ACCENTED[0x80:0xC0] = True
+ACCENTED[[0x97, 0xB7]] = False
 WIDE_SPACES = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 
 
@@ -194,6 +200,13 @@ def _white(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """The last bytes of ASCII letters and of those of U+00C0 to U+00FF."""
+    out = LETTERS[data]
+    out[1:] |= (data[:-1] == 0xC3) & ACCENTED[data[1:]]
+    return out
+
+
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All places of the spans, one span after the other."""
     ends = np.cumsum(lengths)
@@ -204,10 +217,11 @@ class Encoder:
     """Whole texts to ids with the tokenizers library.
 
     Byte-level pre-tokenisation always cuts before a single space that stands between two
-    characters that are not white space. So a text is the chain of the chunks that begin there, and a
+    characters that are not white space, around a line feed that does, and between a letter and an ASCII character
+    that is neither letter nor white. So a text is the chain of the chunks that begin there, and a
     chunk that comes back needs no second run of the library. The chunks of many texts are
     told apart by hashes at once, compared with the first of their kind byte by byte, and
-    only one of each kind is looked up or run.
+    only one of each kind is looked up or run. What is known lies in a few arrays in order of the hashes.
     """
 
     def __init__(self, path: str):
@@ -216,52 +230,136 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
+        self._forget()
         tokens = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(tokens.values()) + 1, bool)
         self.spaced[[i for token, i in tokens.items() if token.startswith(BYTE_SPACE)]] = True
+        self.line = np.zeros(len(self.spaced), bool)
+        self.line[[i for token, i in tokens.items() if token == BYTE_LINE]] = True
+        # Tokens that are found before pre-tokenisation: no cut may fall into them.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _forget(self) -> None:
+        # Known chunks: hashes in order and the entry of each; bytes and ids of the entries one after the other.
+        self.hashes, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.text, self.text_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.id_ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _run(self, texts: list[str]) -> list[bytes]:
+    @property
+    def held(self) -> int:
+        arrays = (self.hashes, self.entry, self.text, self.text_ends, self.ids, self.id_ends)
+        return sum(a.nbytes for a in arrays) if len(self.hashes) else 0
+
+    def _run(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), 4096):
             found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(f.ids, "<u4").tobytes() for f in found]
-        return out
-
-    def _run_spaced(self, parts: list[str]) -> list[bytes]:
-        """Ids of " part" for each part: some parts run as one text, cut at the ids that begin with a space."""
-        groups = [parts[at : at + JOINED_PIECES] for at in range(0, len(parts), JOINED_PIECES)]
-        out = []
-        for own, raw in zip(groups, self._run([" " + " ".join(g) for g in groups])):
-            starts = np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])
-            if len(starts) != len(own):
-                out += self._run([" " + p for p in own])
-                continue
-            cuts = [*(4 * starts).tolist(), len(raw)]
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            out += [np.array(f.ids, np.uint32) for f in found]
         return out
 
-    def _learned(self, chunks: list[bytes], plain: np.ndarray) -> list[bytes]:
-        """Ids of each chunk; new ones are run and remembered up to ``CACHED_BYTES``.
+    def _run_joined(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lines: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has; some chunks run as one text, cut at the ids that begin with a space.
 
-        ``plain`` chunks are one space and a word without white space.
+        ``lines``: chunks without white space, with a line feed put behind each; else each is one space and a word.
         """
-        out = list(map(self.known.get, chunks))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        single = [i for i in new if plain[i]]
-        rest = [i for i in new if not plain[i]]
-        for i, ids in zip(single, self._run_spaced([chunks[i][1:].decode() for i in single])):
-            out[i] = ids
-        for i, ids in zip(rest, self._run([chunks[i].decode() for i in rest])):
-            out[i] = ids
-        size = sum(len(chunks[i]) + len(out[i]) + ENTRY_BYTES for i in new)
-        if self.held + size > CACHED_BYTES:
-            self.known, self.held = {}, 0
-        if size <= CACHED_BYTES:
-            self.known.update((chunks[i], out[i]) for i in new)
-            self.held += size
-        return out
+        wide = lengths + lines
+        upto = np.concatenate([[0], np.cumsum(wide)])
+        joined = np.full(upto[-1], 0x0A, np.uint8)
+        joined[_spans(upto[:-1], lengths)] = data[_spans(starts, lengths)]
+        raw = joined.tobytes()
+        cuts = np.append(np.arange(0, len(starts), JOINED_PIECES), len(starts))
+        found = self._run([raw[upto[a] : upto[b]].decode() for a, b in zip(cuts, cuts[1:])])
+        ids, counts = [], []
+        for a, b, own in zip(cuts.tolist(), cuts[1:].tolist(), found):
+            at = np.flatnonzero((self.line if lines else self.spaced)[own])
+            if len(at) != b - a:
+                alone = self._run([raw[upto[i] : upto[i] + lengths[i]].decode() for i in range(a, b)])
+                ids += alone
+                counts.append(np.array([len(i) for i in alone], np.int64))
+            elif lines:
+                ids.append(own[~self.line[own]])
+                counts.append(np.diff(at, prepend=-1) - 1)
+            else:
+                ids.append(own)
+                counts.append(np.diff(at, append=len(own)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _fresh(self, data: np.ndarray, white: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks from the library, one after the other, and how many each has."""
+        whites = np.concatenate([[0], np.cumsum(white, dtype=np.int64)])
+        whites = whites[starts + lengths] - whites[starts]
+        kinds = np.where((whites == 1) & (data[starts] == 0x20) & (lengths > 1), 0, np.where(whites == 0, 1, 2))
+        order = np.argsort(kinds, kind="stable")
+        cuts = np.searchsorted(kinds[order], np.arange(4))
+        found = []
+        for kind in range(2):
+            own = order[cuts[kind] : cuts[kind + 1]]
+            if len(own):
+                found.append(self._run_joined(data, starts[own], lengths[own], lines=kind == 1))
+        rest = order[cuts[2] :].tolist()
+        if rest:
+            alone = self._run([data[starts[i] : starts[i] + lengths[i]].tobytes().decode() for i in rest])
+            found.append((np.concatenate(alone), np.array([len(i) for i in alone], np.int64)))
+        flat, counts = (np.concatenate(c) for c in zip(*found))
+        # Back from the order of the kinds.
+        back = np.argsort(order)
+        return flat[_spans((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
+
+    def _learned(
+        self, data: np.ndarray, white: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each chunk and how many; new ones are run and remembered up to ``CACHED_BYTES``."""
+        place = np.searchsorted(self.hashes, hashes)
+        met = np.zeros(len(starts), bool)
+        inside = place < len(self.hashes)
+        met[inside] = self.hashes[place[inside]] == hashes[inside]
+        entry = np.zeros(len(starts), np.int64)
+        entry[met] = self.entry[place[met]]
+        # Equal hashes are known chunks only if their bytes are equal.
+        met[met] = lengths[met] == np.diff(self.text_ends)[entry[met]]
+        same = np.ones(int(lengths[met].sum()) + 1, bool)
+        same[:-1] = data[_spans(starts[met], lengths[met])] == self.text[_spans(self.text_ends[entry[met]], lengths[met])]
+        firsts = np.cumsum(lengths[met]) - lengths[met]
+        if met.any():
+            met[met] = np.logical_and.reduceat(same, firsts) & (lengths[met] > 0)
+        counts = np.zeros(len(starts), np.int64)
+        counts[met] = np.diff(self.id_ends)[entry[met]]
+        new = np.flatnonzero(~met)
+        fresh, counts_new = np.empty(0, np.uint32), np.empty(0, np.int64)
+        if len(new):
+            fresh, counts_new = self._fresh(data, white, starts[new], lengths[new])
+            counts[new] = counts_new
+        out = np.empty(int(counts.sum()), np.uint32)
+        at = np.cumsum(counts) - counts
+        out[_spans(at[met], counts[met])] = self.ids[_spans(self.id_ends[entry[met]], counts[met])]
+        out[_spans(at[new], counts_new)] = fresh
+        if len(new):
+            self._remember(data, starts[new], lengths[new], hashes[new], fresh, counts_new)
+        return out, counts
+
+    def _remember(
+        self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray
+    ) -> None:
+        """Add chunks whose hash is not held yet."""
+        _, first = np.unique(hashes, return_index=True)
+        place = np.searchsorted(self.hashes, hashes[first])
+        inside = place < len(self.hashes)
+        held = np.zeros(len(first), bool)
+        held[inside] = self.hashes[place[inside]] == hashes[first[inside]]
+        first = first[~held]
+        size = int(lengths[first].sum() + 4 * counts[first].sum()) + 32 * len(first) + 16
+        if size > CACHED_BYTES:
+            return
+        if max(self.held, 16) + size > CACHED_BYTES:
+            self._forget()
+        place = np.searchsorted(self.hashes, hashes[first])
+        self.entry = np.insert(self.entry, place, np.arange(len(first)) + len(self.hashes))
+        self.hashes = np.insert(self.hashes, place, hashes[first])
+        self.text = np.concatenate([self.text, data[_spans(starts[first], lengths[first])]])
+        self.text_ends = np.concatenate([self.text_ends, self.text_ends[-1] + np.cumsum(lengths[first])])
+        before = np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, ids[_spans(before[first], counts[first])]])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum(counts[first])])
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
@@ -274,10 +372,16 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         white = _white(data)
         cut = np.zeros(len(data), bool)
-        cut[1:-1] = (data[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
-        # A space at the beginning or the end of a text has no neighbour there.
+        cut[1:-1] = ((data[1:-1] == 0x20) | (data[1:-1] == 0x0A)) & ~white[:-2] & ~white[2:]
+        # White space at the beginning or the end of a text has no neighbour there.
         filled = offsets[:-1] < offsets[1:]
         cut[offsets[1:][filled] - 1] = False
+        cut[offsets[:-1][filled]] = False
+        behind = np.flatnonzero(cut & (data == 0x0A)) + 1
+        cut[behind] = True
+        whole = data.tobytes()
+        if not any(token in whole for token in self.added):
+            cut[1:] |= _letters(data)[:-1] & MARKS[data[1:]]
         cut[offsets[:-1][filled]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
@@ -306,13 +410,7 @@ class Encoder:
         if not (same and (data == data[_spans(starts[first][kind], lengths)]).all()):
             # Two kinds share a hash: every chunk stands for itself.
             first = kind = np.arange(len(starts))
-        raw = data.tobytes()
-        spaces = np.concatenate([[0], np.cumsum(white)])
-        own, after = starts[first], ends[first]
-        plain = (data[own] == 0x20) & (after - own > 1) & (spaces[after] - spaces[own] == 1)
-        learned = self._learned([raw[a:b] for a, b in zip(own.tolist(), after.tolist())], plain)
-        sizes = np.fromiter(map(len, learned), np.int64, len(learned)) // 4
-        ids = np.frombuffer(b"".join(learned), "<u4")
+        ids, sizes = self._learned(data, white, starts[first], lengths[first], hashes[first])
         counts = sizes[kind]
         return ids[_spans((np.cumsum(sizes) - sizes)[kind], counts)], counts
 
