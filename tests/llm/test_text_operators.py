@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 from tests.llm import brute
 from tripwise.llm import decontaminate, lines, mixing, ngram_join, substrings, toxicity, wavelet
 from tripwise.llm.queries import TOKENIZER
-from tripwise.llm.tables import table
+from tripwise.llm.tables import BATCH_BYTES, BATCH_SETTING, small_batches, table
 
 SF_DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(60))
@@ -424,3 +425,34 @@ def test_bitmap_lets_every_wanted_id_pass(spark):
     wanted = spark.range(0, 50_000, 97).selectExpr("IF(id = 97, NULL, id) AS of", "id AS node")
     passed = {r["id"] for r in ngram_join._likely(docs, wanted).select("id").collect()}
     assert {r["of"] for r in wanted.collect()} <= passed and len(passed) < 2_500
+
+
+def batch_bytes(df):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    return [r["n"] for r in df.mapInArrow(sizes, "n bigint").collect()]
+
+
+def test_near_copy_stage_hands_over_small_batches(spark, monkeypatch):
+    """Long rows do not make batches of 10,000 of them, and the session's own setting comes back."""
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    before = spark.conf.get(BATCH_SETTING, None)
+    held = []
+    plain = ngram_join.written
+
+    def watched(df, name):
+        held.append((name, max(batch_bytes(long)) if name == "likely_pairs" else 0))
+        return plain(df, name)
+
+    monkeypatch.setattr(ngram_join, "written", watched)
+    docs = spark.createDataFrame([(1, LONG), (2, LONG + " more"), (3, "other words")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each_group(docs, n=5, percent=80).collect()) == [1, 3]
+    largest = dict(held)["likely_pairs"]
+    assert 0 < largest <= 1.1 * BATCH_BYTES < 4000 * 2000
+    assert spark.conf.get(BATCH_SETTING, None) == before
+    with pytest.raises(ValueError), small_batches(spark, 1 << 16):
+        assert max(batch_bytes(long)) <= 1.1 * (1 << 16)
+        raise ValueError
+    assert spark.conf.get(BATCH_SETTING, None) == before

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.llm.components import components
-from tripwise.llm.tables import parts_for, text_bytes
+from tripwise.llm.tables import parts_for, small_batches, text_bytes
 from tripwise.llm.words import Words, mixed, packed, per_worker, slices, space_words, words_of
 from tripwise.sources.shared import discard, written
 
@@ -549,7 +549,8 @@ def _block_links(
 
 
 def _labelled(docs: DataFrame, key: str, text: str, options: dict) -> DataFrame:
-    sets, done = set_components(docs, key, text, **options)
+    with small_batches(docs.sparkSession):
+        sets, done = set_components(docs, key, text, **options)
     labelled = sets.join(done, "node", "left")
     return written(
         labelled.select("id", "own", "n", F.coalesce("component", "node").alias("component")), "labelled"
