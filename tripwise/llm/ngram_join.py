@@ -7,7 +7,8 @@ are candidates; their overlap is counted fragment by fragment and summed per pai
 
 Equal sets are one class from the start. In a group of sets that share a fragment every
 member is compared with one pivot only, the member that shares most fragments with others
-(the original of a family of copies does). Groups that are still spread over several components
+(the original of a family of copies does): first with the pivot of most of its groups, then with those it is not yet
+connected to. Groups that are still spread over several components
 are then cut into blocks, and the members of two blocks are compared with each other in one task, by
 bytes of many fine fragments first and by n-grams where these allow it. A block pair hands on a
 forest. So no pair inside a component is listed and no link between components is missed.
@@ -244,8 +245,21 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.select(*docs.columns)
 
 
-def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, seed: int, fragments: int) -> DataFrame:
-    """``node, fragment, n, grams`` of the sets that pairs need, made from one text of each class."""
+def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose node may be among the given ones, by the same bitmap."""
+    named = rows.withColumnRenamed("node", "id")
+    return _likely(named, nodes.select(F.col("node").alias("of"))).withColumnRenamed("id", "node")
+
+
+SETS = "node bigint, fragment bigint, n bigint, grams binary, first bigint, chosen boolean"
+SKETCH = -1
+
+
+def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, percent: int, seed: int, fragments: int) -> DataFrame:
+    """``node, fragment, n, grams`` of the sets that pairs need, made from one text of each class.
+
+    The sketch of a set is the fragment ``SKETCH``. ``first`` and ``chosen`` of the wanted ones stand beside it.
+    """
     used = _likely(docs, wanted).join(wanted, F.col("id").eqNullSafe(F.col("of")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,29 +270,37 @@ def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, seed: int, fragme
                 cuts = np.searchsorted(row, np.arange(high - low + 1))
                 node, _ = set_digests(value, cuts, seed)
                 asked = batch["node"].slice(low, high - low).to_numpy()
-                nodes, numbers, sizes, grams = [], [], [], []
+                nodes, numbers, sizes, grams, places = [], [], [], [], []
                 for k in np.flatnonzero(node == asked):
                     own = value[cuts[k] : cuts[k + 1]]
                     part = ((own >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(int)
                     edges = np.searchsorted(part, np.arange(fragments + 1))
-                    for f in range(fragments):
+                    for f in range(SKETCH, fragments):
                         nodes.append(node[k])
                         numbers.append(f)
                         sizes.append(len(own))
-                        grams.append(packed(own[edges[f] : edges[f + 1]]))
+                        grams.append(_sketch(own, percent) if f == SKETCH else packed(own[edges[f] : edges[f + 1]]))
+                        places.append(low + k)
+                columns = zip((nodes, numbers, sizes, grams), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+                tags = (batch[c].take(pa.array(places, pa.int64())) for c in ("first", "chosen"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64()), pa.array(grams, pa.binary())],
-                    ["node", "fragment", "n", "grams"],
+                    [*(pa.array(values, kind) for values, kind in columns), *tags],
+                    ["node", "fragment", "n", "grams", "first", "chosen"],
                 )
 
-    return used.select("text", "node").mapInArrow(cut, "node bigint, fragment bigint, n bigint, grams binary")
+    return used.select("text", "node", "first", "chosen").mapInArrow(cut, SETS)
+
 
+def _verified(sets: DataFrame, percent: int, pairs: DataFrame | None = None) -> DataFrame:
+    """The pairs ``a, b`` that are similar: partial overlaps per fragment, summed per pair.
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are similar: partial overlaps per fragment, summed per pair."""
-    left = sets.select(F.col("node").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-    right = sets.select(F.col("node").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
-    joined = pairs.join(left, "a").join(right, ["b", "fragment"])
+    Without pairs each set is compared with its ``first`` one, so its n-grams are sent once.
+    """
+    left = sets.select(F.col("node").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a"), F.col("first").alias("b"))
+    right = sets if pairs is not None else sets.filter("chosen")
+    right = right.select(F.col("node").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"))
+    left = left.filter("b IS NOT NULL") if pairs is None else pairs.join(left.drop("b"), "a")
+    joined = left.join(right, ["b", "fragment"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,20 +370,45 @@ def set_components(
     discard(plain, sizes)
     pivot = groups.groupBy("signature").agg(F.min("order").alias("first"))
     pairs = groups.join(written(pivot, "pivots"), "signature").filter(F.col("order") != F.col("first"))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("first.node").alias("b")).agg(F.count("*").alias("times"))
     pairs = written(pairs, "pairs")
-    wanted = nodes.join(groups.select("node").distinct(), "node").select("node", "of")
-    grams = written(_fragment_rows(rows, written(wanted, "wanted"), n, seed, fragments), "fragments")
-    sketches = written(_sketches(grams, percent), "sketches")
-    likely = written(_likely_pairs(pairs, sketches, percent), "likely_pairs")
-    links = written(_verified(likely, grams, percent), "links")
+    first = written(pairs.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("times", "b"))["b"].alias("first")), "firsts")
+    chosen = first.select(F.col("first").alias("node"), F.lit(True).alias("chosen")).distinct()
+    wanted = nodes.join(groups.select("node").distinct(), "node").join(first, "node", "left").join(chosen, "node", "left")
+    wanted = written(wanted.select("node", "of", "first", "chosen"), "wanted")
+    held = written(_fragment_rows(rows, wanted, n, percent, seed, fragments), "fragments")
+    # A repeated row has its sketch twice.
+    sketches = held.filter(F.col("fragment") == SKETCH).select("node", "n", F.col("grams").alias("sketch"))
+    sketches = written(sketches.dropDuplicates(["node"]), "sketches")
+    grams = held.filter(F.col("fragment") > SKETCH)
+    links = written(_verified(grams, percent), "first_links")
     done = components(links)
-    discard(pairs, likely, links)
+    discard(links, first, wanted)
+    # Pairs that lie in one component by now need no comparison.
+    rest = written(_apart(pairs, done), "rest_pairs")
+    likely = written(_likely_pairs(rest, sketches, percent), "likely_pairs")
+    if not likely.isEmpty():
+        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        links = written(_verified(_among(grams, ends), percent, likely), "links")
+        done = components(_stars_of(done).unionByName(links))
+        discard(links)
+    discard(pairs, rest, likely)
     more = _block_links(groups, done, grams, sketches, percent)
     if more.isEmpty():
         return sets.drop("check"), done
-    merged = done.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return sets.drop("check"), components(merged.unionByName(more))
+    return sets.drop("check"), components(_stars_of(done).unionByName(more))
+
+
+def _stars_of(done: DataFrame) -> DataFrame:
+    return done.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _apart(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that lie in different components."""
+    ends = (done.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    for c, end in zip("ab", ends):
+        pairs = pairs.join(end, c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    return pairs.filter("of_a <> of_b").select("a", "b")
 
 
 def _with_component(groups: DataFrame, done: DataFrame) -> DataFrame:
@@ -381,31 +428,18 @@ def _differing(sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarra
     return (sizes + others) * (100 - percent) // (100 + percent)
 
 
-def _sketches(grams: DataFrame, percent: int) -> DataFrame:
-    """``node, n, sketch``: one byte for each of many fine fragments of a set.
+def _sketch(own: np.ndarray, percent: int) -> bytes:
+    """One byte for each of many fine fragments of a set.
 
     Each n-gram that two sets do not share spoils one fragment at most, so similar sets agree on
     all but as many fragments as they may differ in n-grams. There are at least four times as
     many. A byte is a sum, so neighbouring fragments can be added up to halve their number.
     """
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketches, sizes = [], []
-            for parts in batch["parts"].to_pylist():
-                own = np.frombuffer(b"".join(parts), np.uint64)
-                wanted = 4 * int(_differing(np.int64(len(own)), np.int64(len(own)), percent)) + 1
-                bits = int(np.clip(wanted.bit_length(), LEAST_SKETCH_BITS, MOST_SKETCH_BITS))
-                sums = np.zeros(1 << bits, np.uint8)
-                np.add.at(sums, (own >> np.uint64(64 - bits)).astype(np.int64), mixed(own).astype(np.uint8))
-                sketches.append(sums.tobytes())
-                sizes.append(len(own))
-            columns = [batch["node"], pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "sketch"])
-
-    # A repeated row has the same fragments twice.
-    whole = grams.groupBy("node").agg(F.collect_set("grams").alias("parts"))
-    return whole.mapInArrow(made, "node bigint, n bigint, sketch binary")
+    wanted = 4 * int(_differing(np.int64(len(own)), np.int64(len(own)), percent)) + 1
+    bits = int(np.clip(wanted.bit_length(), LEAST_SKETCH_BITS, MOST_SKETCH_BITS))
+    sums = np.zeros(1 << bits, np.uint8)
+    np.add.at(sums, (own >> np.uint64(64 - bits)).astype(np.int64), mixed(own).astype(np.uint8))
+    return sums.tobytes()
 
 
 def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -540,7 +574,8 @@ def _block_links(
     schema = "signature bigint, low bigint, high bigint, block bigint, node bigint, component bigint"
     promising = dealt.join(sketches, "node").groupBy(*key).applyInArrow(_promising(percent), schema)
     promising = written(promising, "promising")
-    used = grams.join(promising.select("node").distinct(), "node", "left_semi")
+    nodes = written(promising.select("node").distinct(), "promising_nodes")
+    used = _among(grams, nodes).join(nodes, "node", "left_semi")
     whole = used.groupBy("node").agg(F.collect_set("grams").alias("parts"))
     compared = promising.join(whole, "node").groupBy(*key).applyInArrow(_counted(percent), "a bigint, b bigint")
     found = written(compared.distinct(), "block_links")
