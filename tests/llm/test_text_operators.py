@@ -456,3 +456,19 @@ def test_near_copy_stage_hands_over_small_batches(spark, monkeypatch):
         assert max(batch_bytes(long)) <= 1.1 * (1 << 16)
         raise ValueError
     assert spark.conf.get(BATCH_SETTING, None) == before
+
+
+def test_copies_connected_by_one_comparison_are_not_compared_again(spark, monkeypatch):
+    """Copies of one text agree on many fragments, whose pivots differ; one comparison each connects them."""
+    rows = [(i, " ".join(f"t{k}" if k != 3 * i else f"own{i}" for k in range(150))) for i in range(12)]
+    left, plain = {}, ngram_join.written
+
+    def counted(df, name):
+        done = plain(df, name)
+        left[name] = done.count() if name in ("firsts", "rest_pairs") else None
+        return done
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = ngram_join.one_of_each_group(df, n=5, percent=80).collect()
+    assert [r["doc_id"] for r in kept] == [0] and 0 < left["firsts"] <= len(rows) and left["rest_pairs"] == 0
