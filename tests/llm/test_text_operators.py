@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from tests.llm import brute
 from tripwise.llm import decontaminate, lines, mixing, ngram_join, substrings, toxicity, wavelet
 from tripwise.llm.queries import TOKENIZER
-from tripwise.llm.tables import BATCH_BYTES, BATCH_SETTING, small_batches, table
+from tripwise.llm.tables import BATCH_BYTES, BATCH_SETTING, SWEEP_SETTING, small_batches, table
 
 SF_DIR = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i}" for i in range(60))
@@ -472,3 +472,74 @@ def test_copies_connected_by_one_comparison_are_not_compared_again(spark, monkey
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = ngram_join.one_of_each_group(df, n=5, percent=80).collect()
     assert [r["doc_id"] for r in kept] == [0] and 0 < left["firsts"] <= len(rows) and left["rest_pairs"] == 0
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_sketches_let_all_similar_sets_pass(n, percent):
+    """Similar sets differ in no more bits than in n-grams, folded or not; the sketch is small beside the n-grams."""
+    rng = np.random.default_rng(7)
+    for size in (5, 40, 300, 3000, 20_000):
+        own = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        sketch = ngram_join._stacked([ngram_join._sketch(own, percent)])
+        assert sketch.size <= max(16, own.nbytes // 8)
+        for changed in (0, size // 50, size // 20):
+            other = np.unique(np.concatenate([own[changed:], rng.integers(0, 1 << 63, changed // 2, np.uint64)]))
+            theirs = ngram_join._stacked([ngram_join._sketch(other, percent)])
+            x, y = sorted((sketch, theirs), key=lambda s: s.shape[1])
+            while y.shape[1] > x.shape[1]:
+                y = ngram_join._halved(y)
+            assert ngram_join._turned(x, y)[0] <= len(np.setxor1d(own, other))
+        strange = np.unique(rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2))
+        strange = ngram_join._stacked([ngram_join._sketch(strange, percent)])
+        if size >= 300 and strange.shape == sketch.shape:
+            assert ngram_join._turned(sketch, strange)[0] > ngram_join._differing(np.int64(size), np.int64(size), percent)
+
+
+def passages(rng, texts=30):
+    """Texts of their own words that agree on passages, so they share fragments but are not similar."""
+    common = [" ".join(f"c{k}_{i}" for i in range(40)) for k in range(4)]
+    own = [" ".join(f"t{t}_{i}" for i in range(120)) for t in range(texts)]
+    return [" ".join([*(common[k] for k in sorted(rng.choice(4, 3, False))), text]) for text in own]
+
+
+def test_near_copy_stage_cuts_only_likely_sets_and_sweeps_shuffles(spark, monkeypatch):
+    """Texts that share passages are told apart by sketches; no n-grams are sent for them and no shuffle stays."""
+    texts = passages(np.random.default_rng(5))
+    texts += [texts[0] + " more", texts[1] + " more words"]
+    sent, swept, plain = [], [], ngram_join.written
+
+    def counted(df, name):
+        done = plain(df, name)
+        swept.append(spark.conf.get(SWEEP_SETTING, None))
+        if name == "fragments":
+            sent.append(done.select("node").distinct().count())
+        return done
+
+    before = spark.conf.get(SWEEP_SETTING, None)
+    monkeypatch.setattr(ngram_join, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = ngram_join.one_of_each_group(df, n=5, percent=80).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(30))
+    assert sent and max(sent) <= 4
+    assert swept[0] == "true" and spark.conf.get(SWEEP_SETTING, None) == before
+
+
+@pytest.mark.parametrize("listed", [0, 1, 1000])
+def test_promising_sets_as_pairs_and_by_blocks(spark, monkeypatch, listed):
+    """Whether a block pair lists its pairs or hands on its rows, the components are those of brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "LISTED_PAIRS", listed)
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(4):
+        text = [*rng.choice(words, 120), *words[:200]]
+        for _ in range(10):
+            texts.append(" ".join(text))
+            for at in rng.integers(0, 120, 4):
+                text[at] = rng.choice(words)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    links = brute.jaccard_links([brute.shingles(t, 5) for t in texts], 80)
+    wanted = brute.groups(range(len(texts)), links)
+    found = ngram_join.linked_documents(docs, n=5, percent=80).collect()
+    assert {r["id"]: r["component_id"] for r in found} == wanted

@@ -9,9 +9,11 @@ Equal sets are one class from the start. In a group of sets that share a fragmen
 member is compared with one pivot only, the member that shares most fragments with others
 (the original of a family of copies does): first with the pivot of most of its groups, then with those it is not yet
 connected to. Groups that are still spread over several components
-are then cut into blocks, and the members of two blocks are compared with each other in one task, by
-bytes of many fine fragments first and by n-grams where these allow it. A block pair hands on a
-forest. So no pair inside a component is listed and no link between components is missed.
+are then cut into blocks, and the members of two blocks are compared with each other in one task.
+A block pair hands on a forest. So no pair inside a component is listed and no link between components is missed.
+
+Every comparison is made by sketches first, one bit for each of many fine fragments of a set; only sets that
+these allow to be similar are cut into n-grams and have their overlaps counted.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing;
 null ids and repeated rows are rows of their own, joined to their class by the set, not by
@@ -21,6 +23,7 @@ the id; extra columns travel in one struct.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.llm.components import components
-from tripwise.llm.tables import parts_for, small_batches, text_bytes
+from tripwise.llm.tables import parts_for, small_batches, swept_shuffles, text_bytes
 from tripwise.llm.words import Words, mixed, packed, per_worker, slices, space_words, words_of
 from tripwise.sources.shared import discard, written
 
@@ -36,11 +39,16 @@ SHINGLE = 3
 PERCENT = 90
 BLOCK_BYTES = 4 << 20
 COUNTED_FRAGMENTS = 4
-# Sets of a group that are compared with each other at once, and cells of the matrices for it.
+# Sets of a group that are compared with each other at once, and bytes or cells of the matrices for it.
 BLOCK_SETS = 256
 SKETCH_CELLS = 1 << 25
+# The largest exchanges are made in as many rounds, of which one stands on disk at a time.
+ROUNDS = 3
+# Pairs that a block pair lists for each of its members, if it has no more that may be similar.
+LISTED_PAIRS = 1
 INCIDENCE_CELLS = 1 << 23
-LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 6, 16
+# The least and the largest number of fine fragments, as powers of two: 16 bytes and 64 KB.
+LEAST_SKETCH_BITS, MOST_SKETCH_BITS = 7, 19
 MOST_FILTER_BITS = 1 << 29
 
 
@@ -151,40 +159,58 @@ def _classes(percent: int, sizes: np.ndarray) -> Classes:
     return per_worker(f"classes_{percent}_{largest}", lambda: Classes(percent, largest))
 
 
-SCANNED = (
-    "kind int, id bigint, own bigint, n bigint, node bigint, check bigint, "
-    "shard bigint, signatures binary, nodes binary, signature bigint, pivot bigint"
-)
-_SCANNED = pa.schema(
-    [(p.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[p.split()[1]]) for p in SCANNED.split(", ")]
-)
+SETS = "id bigint, own bigint, n bigint, node bigint, check bigint, sketch binary"
 
 
-def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
-    columns["kind"] = np.full(count, kind, np.int32)
-    arrays = [
-        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in _SCANNED
-    ]
-    return pa.RecordBatch.from_arrays(arrays, schema=_SCANNED)
+def _sets(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """Size, digests and sketch of each document's set."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in slices(batch["text"]):
+                words = words_of(batch["text"].slice(low, high - low), space_words(), fold=True)
+                row, value = shingle_sets(words, n)
+                cuts = np.searchsorted(row, np.arange(high - low + 1))
+                node, check = set_digests(value, cuts, seed)
+                sketches = [_sketch(value[a:b], percent) if b > a else None for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch[c].slice(low, high - low) for c in ("id", "own")),
+                        *(pa.array(c, pa.int64()) for c in (np.diff(cuts), node, check)),
+                        pa.array(sketches, pa.binary()),
+                    ],
+                    ["id", "own", "n", "node", "check", "sketch"],
+                )
+
+    return docs.mapInArrow(scan, SETS)
+
+
+SHARDS = "shard bigint, signatures binary, nodes binary, members binary"
+MEMBERS = "signature bigint, node bigint, pivot bigint"
+
 
+def _shards(docs: DataFrame, n: int, percent: int, shards: int, seed: int, turn: int) -> DataFrame:
+    """The pivots of each block of texts that belong to one shard of the signatures, for the signatures of one round.
 
-def _scan(docs: DataFrame, n: int, percent: int, shards: int, seed: int) -> DataFrame:
-    """Kind 0: a document's set; 1: a member and the pivot of its group inside a block of texts;
-    2: the pivots of a block that belong to one shard of the signatures."""
+    The other members of groups inside a block travel packed, to any shard, so a group of very many
+    copies costs its shard one row per block.
+    """
 
-    def block_rows(signature: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
-        signature, pivots, member_signature, member, member_pivot = _stars(signature, node)
-        if len(member):
-            yield _rows(1, len(member), signature=member_signature.view(np.int64), node=member, pivot=member_pivot)
+    def block_rows(signature: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        signature, pivots, *members = _stars(signature, node)
         shard = ((signature >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         held = np.flatnonzero(np.diff(cuts))
-        yield _rows(
-            2,
-            len(held),
-            shard=held,
-            signatures=[packed(signature[cuts[s] : cuts[s + 1]]) for s in held],
-            nodes=[packed(pivots[cuts[s] : cuts[s + 1]]) for s in held],
+        signatures = [packed(signature[cuts[s] : cuts[s + 1]]) for s in held]
+        nodes = [packed(pivots[cuts[s] : cuts[s + 1]]) for s in held]
+        inside = [None] * len(held)
+        if len(members[0]):
+            held = np.append(held, int(members[0].sum() % np.uint64(shards)))
+            signatures, nodes = [*signatures, b""], [*nodes, b""]
+            inside.append(packed(np.stack([m.view(np.int64) for m in members])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int64()), *(pa.array(c, pa.binary()) for c in (signatures, nodes, inside))],
+            ["shard", "signatures", "nodes", "members"],
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,30 +222,30 @@ def _scan(docs: DataFrame, n: int, percent: int, shards: int, seed: int) -> Data
                 row, value = shingle_sets(words, n)
                 cuts = np.searchsorted(row, np.arange(high - low + 1))
                 sizes = np.diff(cuts)
-                node, check = set_digests(value, cuts, seed)
-                own, ids = (batch[c].slice(low, high - low) for c in ("own", "id"))
-                yield _rows(0, high - low, id=ids, own=own, n=sizes, node=node, check=check)
+                node, _ = set_digests(value, cuts, seed)
                 signature, holder = fragment_signatures(row, value, sizes, _classes(percent, sizes))
-                held.append((signature, node[holder]))
+                own = signature % np.uint64(ROUNDS) == turn
+                held.append((signature[own], node[holder[own]]))
                 n_bytes += len(words.data)
                 if n_bytes >= BLOCK_BYTES:
-                    yield from block_rows(*map(np.concatenate, zip(*held)))
+                    yield block_rows(*map(np.concatenate, zip(*held)))
                     held, n_bytes = [], 0
         if held:
-            yield from block_rows(*map(np.concatenate, zip(*held)))
-
-    return docs.mapInArrow(scan, SCANNED)
+            yield block_rows(*map(np.concatenate, zip(*held)))
 
-
-MEMBERS = "signature bigint, node bigint, pivot bigint"
+    return docs.mapInArrow(scan, SHARDS)
 
 
 def _shard_members(shard: pa.Table) -> pa.Table:
+    """``signature, node, pivot`` of the members of groups, those across blocks and those inside one."""
+
     def joined(name: str, kind: type) -> np.ndarray:
         return np.frombuffer(b"".join(v.as_py() for v in shard[name]), kind)
 
     _, _, signature, node, pivot = _stars(joined("signatures", np.uint64), joined("nodes", np.int64))
-    return pa.table({"signature": signature.view(np.int64), "node": node, "pivot": pivot})
+    inside = [np.frombuffer(v.as_py(), np.int64).reshape(3, -1) for v in shard["members"].drop_null()]
+    columns = np.concatenate([np.stack([signature.view(np.int64), node, pivot]), *inside], 1)
+    return pa.table(list(columns), ["signature", "node", "pivot"])
 
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -245,20 +271,13 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.select(*docs.columns)
 
 
-def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows whose node may be among the given ones, by the same bitmap."""
-    named = rows.withColumnRenamed("node", "id")
-    return _likely(named, nodes.select(F.col("node").alias("of"))).withColumnRenamed("id", "node")
-
+GRAMS = "node bigint, fragment bigint, n bigint, grams binary, first bigint, chosen boolean"
 
-SETS = "node bigint, fragment bigint, n bigint, grams binary, first bigint, chosen boolean"
-SKETCH = -1
 
-
-def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, percent: int, seed: int, fragments: int) -> DataFrame:
+def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, seed: int, fragments: int) -> DataFrame:
     """``node, fragment, n, grams`` of the sets that pairs need, made from one text of each class.
 
-    The sketch of a set is the fragment ``SKETCH``. ``first`` and ``chosen`` of the wanted ones stand beside it.
+    ``first`` and ``chosen`` of the wanted ones stand beside it.
     """
     used = _likely(docs, wanted).join(wanted, F.col("id").eqNullSafe(F.col("of")))
 
@@ -275,11 +294,11 @@ def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, percent: int, see
                     own = value[cuts[k] : cuts[k + 1]]
                     part = ((own >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(int)
                     edges = np.searchsorted(part, np.arange(fragments + 1))
-                    for f in range(SKETCH, fragments):
+                    for f in range(fragments):
                         nodes.append(node[k])
                         numbers.append(f)
                         sizes.append(len(own))
-                        grams.append(_sketch(own, percent) if f == SKETCH else packed(own[edges[f] : edges[f + 1]]))
+                        grams.append(packed(own[edges[f] : edges[f + 1]]))
                         places.append(low + k)
                 columns = zip((nodes, numbers, sizes, grams), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
                 tags = (batch[c].take(pa.array(places, pa.int64())) for c in ("first", "chosen"))
@@ -288,7 +307,11 @@ def _fragment_rows(docs: DataFrame, wanted: DataFrame, n: int, percent: int, see
                     ["node", "fragment", "n", "grams", "first", "chosen"],
                 )
 
-    return used.select("text", "node", "first", "chosen").mapInArrow(cut, SETS)
+    return used.select("text", "node", "first", "chosen").mapInArrow(cut, GRAMS)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def _verified(sets: DataFrame, percent: int, pairs: DataFrame | None = None) -> DataFrame:
@@ -337,8 +360,7 @@ def set_components(
         F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text")
     )
     shards = parts_for(text_bytes(rows, "text"))
-    scanned = written(_scan(rows, n, percent, shards, seed), "scanned")
-    sets = scanned.filter("kind = 0").select("id", "own", "n", "node", "check")
+    sets = written(_sets(rows, n, percent, seed), "sets")
     nodes = sets.filter("n > 0").groupBy("node").agg(
         F.min("id").alias("of"), F.min("check").alias("low"), F.max("check").alias("high")
     )
@@ -347,56 +369,91 @@ def set_components(
             raise RuntimeError("No seed gives distinct digests")
         return set_components(docs, key, text, n, percent, fragments, seed + 1)
 
-    local = scanned.filter("kind = 1").select("signature", "node", "pivot")
-    across = scanned.filter("kind = 2").select("shard", "signatures", "nodes")
-    across = across.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard_members, MEMBERS)
-    members = written(local.unionByName(across), "members")
-    sets = written(sets, "sets")
+    parts = []
+    for turn in range(ROUNDS):
+        dealt = _shards(rows, n, percent, shards, seed, turn).repartition(shards, "shard")
+        parts.append(written(dealt.groupBy("shard").applyInArrow(_shard_members, MEMBERS), "members"))
+    members = reduce(DataFrame.unionByName, parts)
     nodes = written(nodes.select("node", "of"), "nodes")
-    discard(scanned)
 
     # Every node of a group with its signature; local pivots are members as well.
     groups = members.select("signature", "node").unionByName(
         members.select("signature", F.col("pivot").alias("node"))
     )
     plain = written(groups.distinct(), "groups")
-    discard(members)
+    discard(*parts)
     sizes = written(plain.groupBy("signature").agg(F.count("*").alias("size")), "group_sizes")
     shared = plain.join(sizes, "signature").groupBy("node").agg(F.sum("size").alias("shared"))
-    groups = plain.join(written(shared, "shared"), "node").select(
+    shared = written(shared, "shared")
+    groups = plain.join(shared, "node").select(
         "signature", "node", F.struct(-F.col("shared"), "node").alias("order"), F.lit(True).alias("is_pivot")
     )
     groups = written(groups, "ordered_groups")
     discard(plain, sizes)
     pivot = groups.groupBy("signature").agg(F.min("order").alias("first"))
-    pairs = groups.join(written(pivot, "pivots"), "signature").filter(F.col("order") != F.col("first"))
+    pivot = written(pivot, "pivots")
+    pairs = groups.join(pivot, "signature").filter(F.col("order") != F.col("first"))
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("first.node").alias("b")).agg(F.count("*").alias("times"))
     pairs = written(pairs, "pairs")
     first = written(pairs.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("times", "b"))["b"].alias("first")), "firsts")
-    chosen = first.select(F.col("first").alias("node"), F.lit(True).alias("chosen")).distinct()
-    wanted = nodes.join(groups.select("node").distinct(), "node").join(first, "node", "left").join(chosen, "node", "left")
-    wanted = written(wanted.select("node", "of", "first", "chosen"), "wanted")
-    held = written(_fragment_rows(rows, wanted, n, percent, seed, fragments), "fragments")
-    # A repeated row has its sketch twice.
-    sketches = held.filter(F.col("fragment") == SKETCH).select("node", "n", F.col("grams").alias("sketch"))
+    discard(shared, pivot)
+    sketches = sets.join(groups.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch")
     sketches = written(sketches.dropDuplicates(["node"]), "sketches")
-    grams = held.filter(F.col("fragment") > SKETCH)
+
+    def grams_of(wanted: DataFrame) -> DataFrame:
+        return written(_fragment_rows(rows, wanted, n, seed, fragments), "fragments")
+
+    def grams_of_nodes(some: DataFrame) -> DataFrame:
+        wanted = nodes.join(some, "node").withColumns(
+            {"first": F.lit(None).cast("bigint"), "chosen": F.lit(None).cast("boolean")}
+        )
+        return grams_of(written(wanted, "wanted"))
+
+    once = _likely_pairs(first.select(F.col("node").alias("a"), F.col("first").alias("b")), sketches, percent)
+    once = written(once, "likely_firsts")
+    chosen = once.select(F.col("b").alias("node"), F.lit(True).alias("chosen")).distinct()
+    wanted = nodes.join(_ends(once), "node").join(once.toDF("node", "first"), "node", "left").join(chosen, "node", "left")
+    grams = grams_of(written(wanted.select("node", "of", "first", "chosen"), "wanted"))
     links = written(_verified(grams, percent), "first_links")
     done = components(links)
-    discard(links, first, wanted)
+    discard(links, first, once, grams)
     # Pairs that lie in one component by now need no comparison.
     rest = written(_apart(pairs, done), "rest_pairs")
-    likely = written(_likely_pairs(rest, sketches, percent), "likely_pairs")
+    discard(pairs)
+    parts = [
+        written(_likely_pairs(_in_turn(rest, "a", turn), sketches, percent), "likely_pairs") for turn in range(ROUNDS)
+    ]
+    likely = reduce(DataFrame.unionByName, parts)
+    discard(rest)
     if not likely.isEmpty():
-        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        links = written(_verified(_among(grams, ends), percent, likely), "links")
+        grams = grams_of_nodes(_ends(likely))
+        links = written(_verified(grams, percent, likely), "links")
         done = components(_stars_of(done).unionByName(links))
-        discard(links)
-    discard(pairs, rest, likely)
-    more = _block_links(groups, done, grams, sketches, percent)
-    if more.isEmpty():
-        return sets.drop("check"), done
-    return sets.drop("check"), components(_stars_of(done).unionByName(more))
+        discard(links, grams)
+    discard(*parts)
+    members = _undecided(groups, done)
+    parts = [
+        written(_promising_rows(_in_turn(members, "signature", turn), done, sketches, percent), "promising")
+        for turn in range(ROUNDS)
+    ]
+    promising = reduce(DataFrame.unionByName, parts)
+    discard(members, groups, sketches)
+    sets = sets.select("id", "own", "n", "node")
+    if promising.isEmpty():
+        return sets, done
+    listed = promising.filter("other IS NOT NULL").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    listed = written(listed.distinct(), "listed_pairs")
+    dealt = promising.filter("other IS NULL")
+    grams = grams_of_nodes(_ends(listed).unionByName(dealt.select("node")).distinct())
+    more = _verified(grams, percent, listed).unionByName(_block_links(dealt, grams, percent))
+    more = written(more, "block_links")
+    discard(*parts, listed, grams)
+    return sets, components(_stars_of(done).unionByName(more))
+
+
+def _in_turn(rows: DataFrame, column: str, turn: int) -> DataFrame:
+    """The rows of one round, dealt by a column."""
+    return rows.filter(F.pmod(F.xxhash64(column, F.lit(11)), F.lit(ROUNDS)) == turn)
 
 
 def _stars_of(done: DataFrame) -> DataFrame:
@@ -429,17 +486,31 @@ def _differing(sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarra
 
 
 def _sketch(own: np.ndarray, percent: int) -> bytes:
-    """One byte for each of many fine fragments of a set.
+    """One bit for each of many fine fragments of a set: whether it holds an odd number of n-grams.
 
-    Each n-gram that two sets do not share spoils one fragment at most, so similar sets agree on
-    all but as many fragments as they may differ in n-grams. There are at least four times as
-    many. A byte is a sum, so neighbouring fragments can be added up to halve their number.
+    Each n-gram that two sets do not share turns one bit, so similar sets agree on all but as many bits
+    as they may differ in n-grams. There are at least four times as many, of which other sets differ in
+    about half. Neighbouring bits can be added up to halve their number.
     """
     wanted = 4 * int(_differing(np.int64(len(own)), np.int64(len(own)), percent)) + 1
     bits = int(np.clip(wanted.bit_length(), LEAST_SKETCH_BITS, MOST_SKETCH_BITS))
-    sums = np.zeros(1 << bits, np.uint8)
-    np.add.at(sums, (own >> np.uint64(64 - bits)).astype(np.int64), mixed(own).astype(np.uint8))
-    return sums.tobytes()
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _stacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def _halved(sketches: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(sketches, axis=1)
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
+
+
+def _turned(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits sketches differ, over the last axis."""
+    return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(-1, dtype=np.int64)
 
 
 def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -448,18 +519,19 @@ def _likely_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            columns = (batch[c].to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))
-            for n, m, x, y in zip(*columns):
-                if 100 * min(n, m) < percent * max(n, m):
-                    kept.append(False)
-                    continue
-                x, y = (np.frombuffer(s, np.uint8) for s in (x, y))
-                while len(x) != len(y):
-                    if len(x) > len(y):
-                        x, y = y, x
-                    y = y.reshape(-1, 2).sum(1, dtype=np.uint8)
-                kept.append(bool(np.count_nonzero(x != y) <= _differing(np.int64(n), np.int64(m), percent)))
+            n, m = (batch[c].to_numpy() for c in ("n_a", "n_b"))
+            first, second = (np.array(batch[c].to_pylist(), object) for c in ("s_a", "s_b"))
+            lengths = [np.fromiter(map(len, s), np.int64, len(s)) for s in (first, second)]
+            close = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            kept = np.zeros(len(n), bool)
+            for pair in np.unique(np.stack(lengths)[:, close], axis=1).T:
+                own = np.flatnonzero(close & (lengths[0] == pair[0]) & (lengths[1] == pair[1]))
+                x, y = _stacked(list(first[own])), _stacked(list(second[own]))
+                while x.shape[1] > y.shape[1]:
+                    x = _halved(x)
+                while y.shape[1] > x.shape[1]:
+                    y = _halved(y)
+                kept[own] = _turned(x, y) <= _differing(n[own], m[own], percent)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
@@ -477,33 +549,38 @@ def _compared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _promising(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """The rows of a block pair that may be similar to another one by their sketches."""
+        """The pairs ``node, other`` of a block pair that may be similar by their sketches; if many, their rows without ``other``."""
         pairs, _ = _compared(table)
         sizes = table["n"].to_numpy()
         small, large = np.minimum(sizes[:, None], sizes), np.maximum(sizes[:, None], sizes)
         pairs &= 100 * small >= percent * large
         sketches = table["sketch"].to_pylist()
         lengths = np.array([len(s) for s in sketches])
-        kept = np.zeros(len(sizes), bool)
+        likely = np.zeros(pairs.shape, bool)
         for length in np.unique(lengths):
             own = np.flatnonzero(lengths == length)
-            x = np.frombuffer(b"".join(sketches[i] for i in own), np.uint8).reshape(len(own), -1)
+            x = _stacked([sketches[i] for i in own])
             for wider in (length, 2 * length):
                 other = np.flatnonzero(lengths == wider)
                 if not len(other) or not pairs[np.ix_(own, other)].any():
                     continue
-                y = np.frombuffer(b"".join(sketches[i] for i in other), np.uint8).reshape(len(other), -1)
+                y = _stacked([sketches[i] for i in other])
                 if wider > length:
-                    y = y.reshape(len(other), -1, 2).sum(2, dtype=np.uint8)
+                    y = _halved(y)
                 step = max(1, SKETCH_CELLS // (len(other) * int(length)))
                 for at in range(0, len(own), step):
                     rows = own[at : at + step]
-                    agree = (x[at : at + step, None] == y).sum(2)
-                    differ = length - agree <= _differing(sizes[rows][:, None], sizes[other], percent)
-                    differ &= pairs[np.ix_(rows, other)]
-                    kept[rows[differ.any(1)]] = True
-                    kept[other[differ.any(0)]] = True
-        return table.filter(pa.array(kept)).select(["signature", "low", "high", "block", "node", "component"])
+                    turned = _turned(x[at : at + step, None], y)
+                    differ = turned <= _differing(sizes[rows][:, None], sizes[other], percent)
+                    likely[np.ix_(rows, other)] = differ & pairs[np.ix_(rows, other)]
+        likely |= likely.T
+        first, second = np.nonzero(np.triu(likely))
+        columns = ["signature", "low", "high", "block", "node", "component"]
+        if len(first) <= LISTED_PAIRS * len(sizes):
+            found = table.select(columns).take(pa.array(first))
+            return found.append_column("other", table["node"].take(pa.array(second)))
+        found = table.select(columns).filter(pa.array(likely.any(1)))
+        return found.append_column("other", pa.nulls(len(found), pa.int64()))
 
     return run
 
@@ -546,15 +623,8 @@ def _counted(percent: int):
     return run
 
 
-def _block_links(
-    groups: DataFrame, done: DataFrame, grams: DataFrame, sketches: DataFrame, percent: int
-) -> DataFrame:
-    """``a, b``: connections among the sets of groups that still lie in several components.
-
-    Such groups are cut into blocks, and the rows of two blocks are compared with each other at once: by
-    sketches first, and those that may be similar by their n-grams. What comes out is a forest of
-    a block pair, not its pairs. Groups with the same members are one.
-    """
+def _undecided(groups: DataFrame, done: DataFrame) -> DataFrame:
+    """``signature, node, blocks`` of the groups that still lie in several components; those with the same members are one."""
     # The other member of a group of two has met its pivot.
     spans = _spans(groups, done).filter("low < high AND pivots > 2").select("signature")
     members = written(groups.select("signature", "node").join(spans, "signature"), "undecided")
@@ -564,27 +634,38 @@ def _block_links(
     )
     one = same.groupBy("size", "h0", "h1", "h2").agg(F.min("signature").alias("signature"))
     blocks = F.ceil(F.col("size") / BLOCK_SETS)
-    members = members.join(one.select("signature", blocks.alias("blocks")), "signature")
+    found = written(members.join(one.select("signature", blocks.alias("blocks")), "signature"), "undecided_once")
+    discard(members)
+    return found
+
+
+def _promising_rows(members: DataFrame, done: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members of undecided groups that may be similar to others there, as pairs or by block pairs.
+
+    Groups are cut into blocks, and the rows of two blocks are compared with each other at once.
+    """
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    members = _with_component(members, done)
+    members = _with_component(members, done).join(sketches, "node")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("signature", "block", "node", "component", other)
-    dealt = dealt.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
-    key = ["signature", "low", "high"]
-    schema = "signature bigint, low bigint, high bigint, block bigint, node bigint, component bigint"
-    promising = dealt.join(sketches, "node").groupBy(*key).applyInArrow(_promising(percent), schema)
-    promising = written(promising, "promising")
-    nodes = written(promising.select("node").distinct(), "promising_nodes")
-    used = _among(grams, nodes).join(nodes, "node", "left_semi")
-    whole = used.groupBy("node").agg(F.collect_set("grams").alias("parts"))
-    compared = promising.join(whole, "node").groupBy(*key).applyInArrow(_counted(percent), "a bigint, b bigint")
-    found = written(compared.distinct(), "block_links")
-    discard(sketches, promising)
-    return found
+    columns = ["block", "node", "component", "n", "sketch"]
+    dealt = members.select("signature", *columns, other)
+    dealt = dealt.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *columns)
+    schema = "signature bigint, low bigint, high bigint, block bigint, node bigint, component bigint, other bigint"
+    return dealt.groupBy("signature", "low", "high").applyInArrow(_promising(percent), schema)
+
+
+def _block_links(promising: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: connections among the promising members of block pairs, by their n-grams.
+
+    What comes out is a forest of a block pair, not its pairs.
+    """
+    whole = grams.groupBy("node").agg(F.collect_set("grams").alias("parts"))
+    compared = promising.join(whole, "node").groupBy("signature", "low", "high").applyInArrow(_counted(percent), "a bigint, b bigint")
+    return compared.distinct()
 
 
 def _labelled(docs: DataFrame, key: str, text: str, options: dict) -> DataFrame:
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), swept_shuffles(docs.sparkSession):
         sets, done = set_components(docs, key, text, **options)
     labelled = sets.join(done, "node", "left")
     return written(
@@ -611,10 +692,14 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kept = grouped.select(F.col("kept.id").alias("_kept"), F.col("kept.own").alias("_text")).unionByName(
         labelled.filter("n = 0").select(F.col("id").alias("_kept"), F.col("own").alias("_text")).distinct()
     )
-    rows = docs.select(
-        F.struct("*").alias("row"), F.col(key).cast("bigint").alias("_id"), F.xxhash64(text).alias("_own")
-    )
-    same = F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_text"))
-    joined = rows.join(written(kept, "kept"), same, "left_semi")
-    repeated = Window.partitionBy("_id", "_own").orderBy("_id")
+    # Null ids are equal here; join and window name the same columns, so rows are shuffled once.
+    same = ["_known", "_id", "_own"]
+
+    def keyed(rows: DataFrame, key: Column, own: Column, *others: Column) -> DataFrame:
+        return rows.select(key.isNotNull().alias("_known"), F.coalesce(key, F.lit(0)).alias("_id"), own.alias("_own"), *others)
+
+    rows = keyed(docs, F.col(key).cast("bigint"), F.xxhash64(text), F.struct("*").alias("row"))
+    kept = keyed(written(kept, "kept"), F.col("_kept"), F.col("_text"))
+    repeated = Window.partitionBy(*same).orderBy("_id")
+    joined = rows.join(kept, same, "left_semi")
     return joined.withColumn("_copy", F.row_number().over(repeated)).filter("_copy = 1").select("row.*")

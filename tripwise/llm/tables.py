@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ TASK_BYTES = 8 << 20
 # Bytes of rows that a worker is handed at once, and the setting for it.
 BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+SWEEP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,17 +30,29 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> Iterator[None]:
-    """Jobs run inside hand their rows to ``mapInArrow`` in batches of about so many bytes.
-
-    By rows alone a batch has 10,000 of them, however long, and stands in the JVM and the worker at once.
-    """
-    before = spark.conf.get(BATCH_SETTING, None)
-    spark.conf.set(BATCH_SETTING, str(n_bytes))
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(BATCH_SETTING)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(BATCH_SETTING, before)
+            spark.conf.set(name, before)
+
+
+def small_batches(spark: SparkSession, n_bytes: int = BATCH_BYTES) -> AbstractContextManager[None]:
+    """Jobs run inside hand their rows to ``mapInArrow`` in batches of about so many bytes.
+
+    By rows alone a batch has 10,000 of them, however long, and stands in the JVM and the worker at once.
+    """
+    return _setting(spark, BATCH_SETTING, str(n_bytes))
+
+
+def swept_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """The shuffle files of a query that ends inside go with it.
+
+    By default they stay until the driver collects its garbage, and those of many steps stand on disk at once.
+    """
+    return _setting(spark, SWEEP_SETTING, "true")
