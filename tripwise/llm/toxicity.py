@@ -82,7 +82,7 @@ def fit_ftrl(
         rate = (settings.beta + np.sqrt(n[at])) / settings.alpha + settings.l2
         return np.where(np.abs(own) <= l1, 0.0, (np.sign(own) * l1 - own) / rate)
 
-    prepared = [(label, np.append(features, bias)) for label, features in samples]
+    prepared = [(label, np.append(features, features.dtype.type(bias))) for label, features in samples]
     for _ in range(settings.epochs):
         for label, at in prepared:
             w = weights(at)
@@ -214,7 +214,7 @@ def train_toxicity(
         held = []
         for batch in batches:
             for y, packed in zip(batch["label"].to_pylist(), batch["features"]):
-                held.append((y, np.frombuffer(packed.as_py(), "<u4").astype(np.int64)))
+                held.append((y, np.frombuffer(packed.as_py(), "<u4")))
         features, weights, bias = fit_ftrl(held, settings, bits)
         features = np.append(features, -1)
         weights = np.append(weights, bias)
