@@ -148,6 +148,49 @@ def test_large_vocabularies_are_hashed_not_sorted(spark, monkeypatch):
     assert found == pytest.approx(dict(tfidf_by_hand(texts, 2, 0.3)))
 
 
+def test_tfidf_in_rounds(spark, monkeypatch):
+    """Shuffle files of a round go before the next; rows with the same key or none stay in one round."""
+    standing, measured = [], tfidf.TfidfModel._measured
+
+    def watched(self, vectors, key):
+        standing.append(spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().size())
+        return measured(self, vectors, key)
+
+    texts = TEXTS + ["great items", "broken phone great", "phone broken items", "great"] * 9
+    docs = with_terms(frame(spark, texts)).withColumn("doc_id", F.expr("nullif(doc_id % 20, 7)"))
+    vectors = tfidf.term_vectors(docs, "doc_id")
+    once = tfidf.fit_tfidf(docs)
+    model = tfidf.fit_tfidf(docs, rounds=2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(tfidf.TfidfModel, "_measured", watched)
+    try:
+        found = model.transform_in_rounds(vectors, "doc_id", 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(standing) == 5 and standing == sorted(standing, reverse=True)
+    assert "Exchange" not in plan_of(found)
+
+    def rows(df):
+        return Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    assert rows(model.vocabulary) == rows(once.vocabulary) and model.n_terms == once.n_terms
+    assert rows(found) == rows(once.transform(vectors, "doc_id"))
+
+
+def test_tfidf_query_works_in_rounds(spark, tmp_path, monkeypatch):
+    texts = TEXTS + ["great items", "broken phone great", "phone broken items", "great"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = queries.document_tfidf(spark, str(tmp_path))
+    monkeypatch.setattr(tfidf, "ROUND_BYTES", 1)
+    monkeypatch.setattr(tfidf, "MOST_ROUNDS", 3)
+    rounds = queries.document_tfidf(spark, str(tmp_path))
+    assert "Exchange" not in plan_of(rounds)
+    wanted = {k: round(v, 6) for k, v in tfidf_by_hand(texts, 2, 0.85).items()}
+    for weights in (whole, rounds):
+        assert {(r["doc_id"], r["term"]): r["tfidf"] for r in weights.collect()} == pytest.approx(wanted, abs=2e-6)
+
+
 def test_terms_are_counted_and_weighted_without_moving_texts(spark):
     docs = with_terms(frame(spark, TEXTS))
     assert "Exchange" not in plan_of(tfidf.term_counts(docs, "doc_id"))
